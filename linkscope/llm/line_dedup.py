@@ -114,15 +114,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A text of which no line stays is empty. Other columns are kept, but for ones of these three names.
     """
     gone = repeated_lines(docs, id_col, text_col, edits, min_chars).groupBy("doc_id").agg(
-        F.collect_set("no").alias("gone_nos"), F.count_if(~F.col("near")).alias("gone_exact"), F.count_if("near").alias("gone_near")
-    ).withColumnRenamed("doc_id", "gone_id")
+        F.collect_set("no").alias("_gone_nos"), F.count_if(~F.col("near")).alias("_gone_exact"), F.count_if("near").alias("_gone_near")
+    ).withColumnRenamed("doc_id", "_gone_id")
     rest = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
-    out = docs.select(rest).join(gone, docs[id_col].eqNullSafe(gone.gone_id), "left")
-    text = F.when(F.col("gone_id").isNull() & F.col("gone_nos").isNull(), F.col(text_col)).otherwise(F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (l, i) -> NOT array_contains(gone_nos, i)), '\\n')"))
+    out = docs.select(rest).join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]), "left")
+    text = F.when(F.col("_gone_id").isNull() & F.col("_gone_nos").isNull(), F.col(text_col)).otherwise(F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (l, i) -> NOT array_contains(_gone_nos, i)), '\\n')"))
     n_lines = F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)).cast("long")
     return out.select(
         *[text.alias(c) if c == text_col else F.col(c) for c in rest],
         F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n_lines).cast("long").alias("n_lines"),
-        F.coalesce("gone_exact", F.lit(0)).cast("long").alias("n_exact"),
-        F.coalesce("gone_near", F.lit(0)).cast("long").alias("n_near"),
+        F.coalesce("_gone_exact", F.lit(0)).cast("long").alias("n_exact"),
+        F.coalesce("_gone_near", F.lit(0)).cast("long").alias("n_near"),
     )

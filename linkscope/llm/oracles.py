@@ -102,4 +102,21 @@ SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_exact, 0) AS n_exact,
 FROM documents LEFT JOIN kept USING (doc_id)
 """
 
-SQL = {"op1_quality_rules": OP1, "op5_decontamination": _op5(), "op9_secret_scan": _op9(), "op10_line_dedup": OP10}
+OP7 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                               ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS g
+  FROM w),
+e AS MATERIALIZED (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+pairs AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT DISTINCT a AS doc_id, a AS other FROM pairs UNION SELECT reach.doc_id, pairs.b FROM reach JOIN pairs ON reach.other = pairs.a)
+SELECT s.doc_id, len(g)::BIGINT AS n_shingles, coalesce(m.c, s.doc_id) AS component_id
+FROM s LEFT JOIN (SELECT doc_id, min(other) AS c FROM reach GROUP BY doc_id) m USING (doc_id)
+"""
+
+SQL = {"op7_ngram_join": OP7, "op1_quality_rules": OP1, "op5_decontamination": _op5(), "op9_secret_scan": _op9(), "op10_line_dedup": OP10}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import binary_ids, decontaminate, language_id, line_dedup, packing, quality_rules, secrets, token_counts, toxicity
+from . import binary_ids, decontaminate, language_id, line_dedup, ngram_join, packing, quality_rules, secrets, token_counts, toxicity
 from .common import held_out, table
 
 
@@ -37,6 +37,10 @@ def op6_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_ids.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
@@ -55,5 +59,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_language_id, op3_token_counts, op4_packing, op5_decontamination, op6_binary_ids, op8_toxicity, op9_secret_scan, op10_line_dedup)
+    for f in (op1_quality_rules, op2_language_id, op3_token_counts, op4_packing, op5_decontamination, op6_binary_ids, op7_ngram_join, op8_toxicity, op9_secret_scan, op10_line_dedup)
 }

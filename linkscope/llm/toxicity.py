@@ -167,15 +167,15 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     return fit(got["text"].tolist(), got["label"].tolist())
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The id, the columns of keep and score of each row."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), out: str = "score") -> DataFrame:
+    """The id, the columns of keep and the score, in a column named out, of each row."""
     fixed = list(dict.fromkeys([id_col, *keep]))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES weights
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [sent.value.score(t.as_py()) for t in batch.column(len(fixed))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fixed)], pa.array(got, pa.float64())], [*fixed, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fixed)], pa.array(got, pa.float64())], [*fixed, out])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in fixed)
-    return docs.select(*fixed, F.col(text_col).alias("scored_text")).mapInArrow(run, schema + ", score double")
+    return docs.select(*fixed, F.col(text_col).alias("scored_text")).mapInArrow(run, schema + f", `{out}` double")
