@@ -71,3 +71,8 @@ def database_of(port: str) -> Column:
     """The database that usually listens on a port, or the port."""
     names = F.create_map(*[F.lit(x) for name, p in DB_PORTS.items() for x in (p, name)])
     return F.coalesce(F.element_at(names, F.col(port)), F.col(port).cast("string"))
+
+
+def once(value: Column) -> Column:
+    """The value computed once a row: a generator of one row, past which Spark moves no expression."""
+    return F.explode(F.array(value))

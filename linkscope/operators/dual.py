@@ -67,10 +67,10 @@ def match_segments(app: DataFrame, db: DataFrame, flows: DataFrame) -> DataFrame
     """One row for each match, conflict or remainder of two sessions' buckets."""
     f = flows.select("correlation_id", "app_stream", "db_stream")
     place = ["correlation_id", "direction", "seq", "tcp_len"]
-    side = lambda b, x: b.join(f, b.session_id == f[f"{x}_stream"]).select(*place, *[F.col(c).alias(f"{x}_{c}") for c in ("hash", "ts", "frame", "ack", "ord", "n")])
-    a, d = side(app, "app"), side(db, "db")
-    on = [a[c] == d[c] for c in place] + [a.app_hash.eqNullSafe(d.db_hash)]
-    j = a.join(d, on, "full_outer").select(*[F.coalesce(a[c], d[c]).alias(c) for c in place], *[c for c in a.columns if c not in place], *[c for c in d.columns if c not in place])
+    names = ("hash", "ts", "frame", "ack", "ord", "n")
+    side = lambda b, x: b.withColumnRenamed("session_id", f"{x}_stream").join(f.select("correlation_id", f"{x}_stream"), f"{x}_stream").select(*[F.col(c).alias(f"{x[0]}_{c}") for c in place], *[F.col(c).alias(f"{x}_{c}") for c in names])
+    same = [F.col(f"a_{c}") == F.col(f"d_{c}") for c in place] + [F.col("app_hash").eqNullSafe(F.col("db_hash"))]
+    j = side(app, "app").join(side(db, "db"), same, "full_outer").select(*[F.coalesce(f"a_{c}", f"d_{c}").alias(c) for c in place], *[f"{x}_{c}" for x in ("app", "db") for c in names])
     w = Window.partitionBy(*place)
     lone_a, lone_d = F.col("db_ord").isNull(), F.col("app_ord").isNull()
     count = lambda c: F.count_if(c).over(w)
