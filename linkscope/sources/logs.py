@@ -30,7 +30,7 @@ def parse_jdbc(lines: DataFrame, default_host: str | None = None, default_port:
     """One row for each network fault: a header line of ERROR, or of WARN with an exception, and the lines up to the next header."""
     order = Window.partitionBy("source_file").orderBy("line_no")
     n = lines.withColumn("is_header", F.col("value").rlike(HEADER)).withColumn("block", F.count_if("is_header").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("block > 0")
-    s = F.trim("value")
+    s = F.btrim("value", F.lit(" \t\r\x0b\f"))
     body = ~F.col("is_header") & (s != "")
     cause, exception = body & s.rlike(CAUSE), body & s.rlike(EXCEPTION) & ~s.startswith("at ") & ~s.rlike(CAUSE)
     n = n.withColumns({"s": s, "is_cause": cause, "is_exception": exception, "is_stack": body & (s.startswith("at ") | s.startswith("...") | s.startswith("Caused by:"))})
