@@ -11,7 +11,9 @@ its own less `edits`: lengths are part of the key, and the displacements tried a
 leave enough edits for either side (multi-match-aware selection). Candidates are verified by a
 banded bit-parallel edit distance: the band of 2 * edits + 1 diagonals fits one long.
 
-Lines are known by two 64-bit hashes; texts are shuffled once, when copies are merged.
+Lines are known by two 64-bit hashes. The one shuffle of whole texts is by document id; it serves
+the keys, which only first occurrences enter, the verification, which fetches the lines of
+candidates, and the result. All else that is shuffled is hashes and places.
 
 Defined cases: null texts stay null and have no lines; empty lines stay; rows that share an id
 and line number tie and both count as first; null ids sort first; an empty table stays empty.
@@ -22,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 EDITS = 2
 MIN_CHARS = 25
 
@@ -61,7 +65,7 @@ def banded_distance(a: str, b: str, edits: int) -> str:
     match = " | ".join(f"IF(get(p, j - {edits} + {r}) <=> c, {1 << r}L, 0L)" for r in range(width))
     return f"""
     CASE WHEN abs(length({a}) - length({b})) > {edits} THEN {edits + 1} ELSE
-    transform(array(named_struct('p', split({a}, ''), 't', split({b}, ''), 'corner', {edits} + length({a}) - length({b}))), z ->
+    transform(array(named_struct('p', split({a}, ''), 't', filter(split({b}, ''), c -> c <> ''), 'corner', {edits} + length({a}) - length({b}))), z ->
       transform(array(z.p), p ->
         aggregate(
           transform(z.t, (c, j) -> {match}),
@@ -76,36 +80,53 @@ def banded_distance(a: str, b: str, edits: int) -> str:
           s -> s.d))[0])[0] END"""
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """doc_id, no, line and its hashes, of all lines that are long enough."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("no", "line")).where(F.length("line") >= min_chars)
-    return d.select("doc_id", "no", "line", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
+def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
+    """doc_id, no and the hashes of all lines that are long enough; docs has doc_id and text."""
+    d = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.length("line") >= min_chars)
+    return d.select("doc_id", "no", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
+
+
+def texts_of(places: DataFrame, docs: DataFrame) -> DataFrame:
+    """h1, h2 and the line itself of places (doc_id, no, h1, h2)."""
+    asked = places.groupBy(F.col("doc_id").alias("asked_id")).agg(F.collect_list(F.struct("no", "h1", "h2")).alias("asked"))
+    both = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("asked_id")))
+    lines = both.select(F.explode("asked").alias("x"), F.split("text", "\n").alias("ls")).select("x.h1", "x.h2", F.expr("get(ls, x.no)").alias("line"))
+    # Rows that share an id are told apart by the hash.
+    return lines.where(F.xxhash64("line") == F.col("h1"))
 
 
-def similar_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Links of different lines within `edits` edits: a1, a2, b1, b2 (their hashes; a is not shorter than b), each once."""
-    d = lines.groupBy("h1", "h2").agg(F.min("line").alias("line"))
-    keyed = d.withColumn("len", F.length("line"))
-    index = keyed.select(F.explode(F.expr(index_keys(edits))).alias("key"), F.col("h1").alias("b1"), F.col("h2").alias("b2"))
-    probes = keyed.select(F.explode(F.expr(probe_keys(edits))).alias("key"), F.col("h1").alias("a1"), F.col("h2").alias("a2"))
-    pairs = probes.join(index, (probes.key == index.key) & ((probes.a1 != index.b1) | (probes.a2 != index.b2))).select("a1", "a2", "b1", "b2").distinct()
-    left = pairs.join(d.withColumnRenamed("line", "line_a"), (pairs.a1 == d.h1) & (pairs.a2 == d.h2)).select("a1", "a2", "b1", "b2", "line_a")
-    both = left.join(d.withColumnRenamed("line", "line_b"), (left.b1 == d.h1) & (left.b2 == d.h2)).select("a1", "a2", "b1", "b2", "line_a", "line_b")
+def similar_lines(first: DataFrame, docs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """Links of different lines within `edits` edits: a1, a2, b1, b2 (their hashes; a is not shorter than b), each once.
+
+    first names each distinct line and a place of it: h1, h2, doc_id, no.
+    """
+    keyed = texts_of(first, docs).withColumn("len", F.length("line"))
+    index = keyed.select(F.explode(F.expr(index_keys(edits))).alias("key"), F.col("h1").alias("b1"))
+    probes = keyed.select(F.explode(F.expr(probe_keys(edits))).alias("key"), F.col("h1").alias("a1"))
+    pairs = probes.join(index, (probes.key == index.key) & (probes.a1 != index.b1)).select("a1", "b1").distinct()
+    pairs = materialize(pairs, "line-pairs")
+    asked = pairs.select(F.col("a1").alias("x")).union(pairs.select("b1")).distinct()
+    lines = texts_of(first.join(asked, first.h1 == F.col("x"), "left_semi"), docs)
+    side = lambda x: lines.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("line").alias(f"line_{x}"))
+    both = pairs.join(side("a"), "a1").join(side("b"), "b1")
     return both.where(F.expr(f"{banded_distance('line_b', 'line_a', edits)} <= {edits}")).select("a1", "a2", "b1", "b2")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, no and near (false: an equal line stands earlier) of every line that goes."""
-    lines = lines_of(docs, id_col, text_col, min_chars)
-    at = lines.select("h1", "h2", "doc_id", "no")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    at = lines_of(own, min_chars)
     first = at.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count(F.lit(1)).alias("n"))
-    links = similar_lines(lines, edits)
+    first = materialize(first.select("h1", "h2", "first.doc_id", "first.no", "n"), "lines")
+    links = materialize(similar_lines(first.select("h1", "h2", "doc_id", "no"), own, edits), "line-links")
     ways = links.select(F.col("a1").alias("x1"), F.col("a2").alias("x2"), F.col("b1").alias("y1"), F.col("b2").alias("y2"))
-    ways = ways.unionByName(ways.select(F.col("y1").alias("x1"), F.col("y2").alias("x2"), F.col("x1").alias("y1"), F.col("x2").alias("y2")))
-    other = ways.join(first, (F.col("y1") == first.h1) & (F.col("y2") == first.h2)).groupBy("x1", "x2").agg(F.min("first").alias("near_first"))
-    seen = first.join(other, (first.h1 == F.col("x1")) & (first.h2 == F.col("x2")), "left").select("h1", "h2", "first", F.coalesce(F.col("near_first") < F.col("first"), F.lit(False)).alias("near"), "n")
-    seen = seen.where("n > 1 OR near").select("h1", "h2", "first", "near")
-    return at.join(seen, ["h1", "h2"]).where("near OR NOT (first.doc_id <=> doc_id AND first.no = no)").select("doc_id", "no", (F.col("near") & (F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.no") == F.col("no"))).alias("near"))
+    ways = ways.union(ways.select("y1", "y2", "x1", "x2"))
+    place = F.struct(F.col("doc_id"), F.col("no"))
+    other = ways.join(first, (F.col("y1") == first.h1) & (F.col("y2") == first.h2)).groupBy("x1", "x2").agg(F.min(place).alias("near_first"))
+    seen = first.join(other, (first.h1 == F.col("x1")) & (first.h2 == F.col("x2")), "left").select("h1", "h2", F.col("doc_id").alias("f_id"), F.col("no").alias("f_no"), F.coalesce(F.col("near_first") < place, F.lit(False)).alias("near"), "n")
+    gone = seen.where("n > 1 OR near").drop("n")
+    is_first = F.col("f_id").eqNullSafe(F.col("doc_id")) & (F.col("f_no") == F.col("no"))
+    return at.join(gone, ["h1", "h2"]).where(F.col("near") | ~is_first).select("doc_id", "no", (F.col("near") & is_first).alias("near"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -113,16 +134,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A text of which no line stays is empty. Other columns are kept, but for ones of these three names.
     """
-    gone = repeated_lines(docs, id_col, text_col, edits, min_chars).groupBy("doc_id").agg(
-        F.collect_set("no").alias("_gone_nos"), F.count_if(~F.col("near")).alias("_gone_exact"), F.count_if("near").alias("_gone_near")
-    ).withColumnRenamed("doc_id", "_gone_id")
     rest = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
-    out = docs.select(rest).join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]), "left")
-    text = F.when(F.col("_gone_id").isNull() & F.col("_gone_nos").isNull(), F.col(text_col)).otherwise(F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (l, i) -> NOT array_contains(_gone_nos, i)), '\\n')"))
-    n_lines = F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)).cast("long")
+    ids, nos, exact, near = (next(n for n in (f"_gone{'_' * k}_{x}" for k in range(len(rest) + 1)) if n not in rest) for x in ("id", "nos", "exact", "near"))
+    found = repeated_lines(docs, id_col, text_col, edits, min_chars)
+    gone = found.groupBy(F.col("doc_id").alias(ids)).agg(F.collect_set("no").alias(nos), F.count_if(~F.col("near")).alias(exact), F.count_if("near").alias(near))
+    out = docs.select(rest).join(gone, F.col(id_col).eqNullSafe(F.col(ids)), "left")
+    text = F.when(F.col(nos).isNull(), F.col(text_col)).otherwise(F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (l, i) -> NOT array_contains(`{nos}`, i)), '\\n')"))
     return out.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in rest],
-        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n_lines).cast("long").alias("n_lines"),
-        F.coalesce("_gone_exact", F.lit(0)).cast("long").alias("n_exact"),
-        F.coalesce("_gone_near", F.lit(0)).cast("long").alias("n_near"),
+        *[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in rest],
+        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(F.split(text_col, "\n"))).cast("long").alias("n_lines"),
+        F.coalesce(exact, F.lit(0)).cast("long").alias("n_exact"),
+        F.coalesce(near, F.lit(0)).cast("long").alias("n_near"),
     )

@@ -41,6 +41,8 @@ BAND = 1.37
 SPARE = 2
 #: Classes of a tile that one block of pairs takes from either side.
 BLOCK = 1000
+#: Rows of ids of texts to fetch again, and of tiles with several sets, that are broadcast, at about 20 bytes each; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 _TABLE_WORDS = 500_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
@@ -76,6 +78,10 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
+def name_of(h: np.ndarray) -> int:
+    return int.from_bytes(xxhash.xxh3_64_digest(h.tobytes()), "little", signed=True)
+
+
 def bands(percent: int, largest: int = 1 << 31) -> np.ndarray:
     """Lower sizes of the bands. Smaller sets link only when they are equal."""
     low = [max(1, -(-percent // (100 - percent)))] if percent < 100 else [1]
@@ -128,7 +134,7 @@ def may_link(n: np.ndarray, m: np.ndarray, apart: np.ndarray, percent: int) -> n
 
 
 def summaries(docs: DataFrame, id_col: str, text_col: str, percent: int, n: int) -> DataFrame:
-    """doc_id, set (128 bits that name it; null if empty), n_shingles, bits and keys of each row."""
+    """doc_id, set (64 bits that name it; null if empty), n_shingles, bits and keys of each row."""
     id_type = docs.schema[id_col].dataType.simpleString()
     low = bands(percent)
 
@@ -138,14 +144,14 @@ def summaries(docs: DataFrame, id_col: str, text_col: str, percent: int, n: int)
             for text in batch.column(1):
                 h = shingles(text.as_py(), n)
                 sizes.append(len(h))
-                sets.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
+                sets.append(name_of(h) if len(h) else None)
                 bits.append(bitmap(h) if len(h) else None)
                 tiles.append(keys(h, low, percent).view(np.int64))
             at = np.cumsum([0, *map(len, tiles)])
             flat = pa.array(np.concatenate(tiles) if tiles else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)], ["doc_id", "set", "n_shingles", "bits", "tiles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)], ["doc_id", "set", "n_shingles", "bits", "tiles"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {id_type}, set binary, n_shingles bigint, bits binary, tiles array<bigint>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {id_type}, set bigint, n_shingles bigint, bits binary, tiles array<bigint>")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, n: int) -> DataFrame:
@@ -164,17 +170,19 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
             yield f.loc[may_link(f["n_a"].to_numpy(), f["n_b"].to_numpy(), apart, percent), ["a", "b", "id_a", "id_b"]]
 
     id_type = classes.schema["doc_id"].dataType.simpleString()
-    left = materialize(both.mapInPandas(bound, f"a binary, b binary, id_a {id_type}, id_b {id_type}"), "pairs")
+    left = materialize(both.mapInPandas(bound, f"a bigint, b bigint, id_a {id_type}, id_b {id_type}"), "pairs")
     wanted = left.select(F.col("a").alias("set"), F.col("id_a").alias("want")).union(left.select("b", "id_b")).distinct()
 
     def arrays(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = [shingles(t.as_py(), n) for t in batch.column(1)]
-            keep = [k for k, s in enumerate(batch.column(0)) if xxhash.xxh3_128_digest(h[k].tobytes()) == s.as_py()]
+            keep = [k for k, s in enumerate(batch.column(0)) if name_of(h[k]) == s.as_py()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([h[k].tobytes() for k in keep], pa.binary())], ["set", "hashes"])
 
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     texts = docs.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text")).join(wanted, F.col("text_id").eqNullSafe(F.col("want"))).select("set", "text")
-    sets = texts.mapInArrow(arrays, "set binary, hashes binary").dropDuplicates(["set"])
+    sets = texts.mapInArrow(arrays, "set bigint, hashes binary").dropDuplicates(["set"])
 
     def intersect(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -186,7 +194,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
             yield f.loc[np.array(good, dtype=bool), ["a", "b"]]
 
     full = left.select("a", "b").join(sets.select(F.col("set").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("hashes").alias("y")), "b")
-    return materialize(full.select("a", "b", "x", "y").mapInPandas(intersect, "a binary, b binary"), "links")
+    return materialize(full.select("a", "b", "x", "y").mapInPandas(intersect, "a bigint, b bigint"), "links")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -207,7 +215,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def searched(tiles: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a tile's classes in different components that the bit counts let pass; tiles: tile, set, root, n_shingles, bits, rows."""
+    """Pairs (a, b) of a tile's classes in different components that the bit counts let pass; tiles: tile, set, root, n_shingles, bits, rows.
+
+    A pair comes out of the first tile only of all that it shares.
+    """
+    shared = tiles.groupBy("set").agg(F.array_sort(F.collect_list("tile")).alias("all_tiles"))  # a set has few tiles
+    tiles = tiles.join(shared, "set")
     t = tiles.withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     # Block i meets every block j >= i: it is the left side of (i, j) and the right one of (j, i).
     t = t.select("*", F.explode(F.expr("transform(sequence(0, blocks - 1), o -> struct(least(own, o) AS i, greatest(own, o) AS j))")).alias("at"))
@@ -221,15 +234,15 @@ def searched(tiles: DataFrame, percent: int) -> DataFrame:
             size = min(map(len, f["bits"]))
             y = np.stack([fold(np.frombuffer(b, dtype=np.uint8), size) for b in right["bits"]]).view(np.uint64)
             m, roots = right["n_shingles"].to_numpy(), right["root"].to_numpy()
-            for k, (s, root, n, bits) in enumerate(zip(left["set"], left["root"], left["n_shingles"], left["bits"])):
+            for k, (s, root, n, bits, own_tiles) in enumerate(zip(left["set"], left["root"], left["n_shingles"], left["bits"], left["all_tiles"])):
                 apart = np.bitwise_count(y ^ fold(np.frombuffer(bits, dtype=np.uint8), size).view(np.uint64)).sum(axis=1, dtype=np.int64)
                 good = may_link(n, m, apart, percent) & (roots != root)
                 if i == j:
                     good[: k + 1] = False
-                out += [(min(s, o), max(s, o)) for o in right["set"].to_numpy()[good]]
+                out += [(min(s, o), max(s, o)) for o, theirs in zip(right["set"].to_numpy()[good], right["all_tiles"].to_numpy()[good]) if np.intersect1d(own_tiles, theirs, assume_unique=True)[0] == key[0]]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return t.select("tile", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "own", "set", "root", "n_shingles", "bits").groupBy("tile", "i", "j").applyInPandas(run, "a binary, b binary").distinct()
+    return t.select("tile", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "own", "set", "root", "n_shingles", "bits", "all_tiles").groupBy("tile", "i", "j").applyInPandas(run, "a bigint, b bigint")
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, n: int = WORDS) -> DataFrame:
@@ -239,9 +252,12 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = full.groupBy("set").agg(F.min("doc_id").alias("doc_id"))
     classes = materialize(first.join(full.select(F.col("set").alias("s"), F.col("doc_id").alias("d"), "n_shingles", "bits", "tiles"), (F.col("set") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d"))).drop("s", "d").dropDuplicates(["set"]), "classes")
     members = classes.select(F.explode("tiles").alias("tile"), "set")
-    shared = members.groupBy("tile").agg(F.min("set").alias("a"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    met = materialize(members.join(shared, "tile"), "tiles")
-    links = verified(met.where("set <> a").select("a", F.col("set").alias("b")).distinct(), classes, docs, id_col, text_col, percent, n)
+    # Most tiles have one set: what the others are is found by counts alone.
+    shared = materialize(members.groupBy("tile").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "shared")
+    met = materialize(members.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "tile"), "tiles")
+    hubs = met.groupBy("tile").agg(F.min("set").alias("a"))
+    stars = met.join(hubs, "tile").where("set <> a").select("a", F.col("set").alias("b")).distinct()
+    links = verified(stars, classes, docs, id_col, text_col, percent, n)
     roots = components(links)
     rooted = met.join(roots, met.set == roots.node, "left").select("tile", "set", F.coalesce("root", "set").alias("root"))
     open_ = rooted.groupBy("tile").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("rows")).where("least <> most AND rows > 2").select("tile", "rows")

@@ -10,10 +10,17 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 #: Chunks kept by a worker, at about 200 bytes each.
-TABLE_CHUNKS = 700_000
+TABLE_CHUNKS = 600_000
+#: Chunks that the library gets at a time; each of its results takes about a kilobyte.
+LIBRARY_CHUNKS = 2048
 _CHUNK = re.compile(r"[^ \t\n\r]+")
+#: What the fast way of splitting leaves alone: white space of str.split() that is none to the tokenizer, special tokens, and apostrophes, which begin endings of words.
+_SPECIAL = ("'", "<|", "\x1c", "\x1d", "\x1e", "\x1f")
+#: A mark beside another: together they are one token's text.
+_BESIDE = re.compile(r"[.,!?;:|](?:(?=[^\w\s]|_)|(?<=[^\w\s].)|(?<=_.))")
 
 
 class WordTable:
@@ -28,37 +35,42 @@ class WordTable:
 
     @staticmethod
     def split(text: str) -> list[str]:
-        # str.split() also splits at U+001C to U+001F, which are no white space to the tokenizer.
-        return _CHUNK.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-
-    @staticmethod
-    def base(chunk: str) -> tuple[str, str]:
-        """A chunk as a lower-case word and the mark after it, where both are tokens' borders for sure; else the chunk and nothing."""
-        mark = chunk[-1] if chunk[-1] in ".,!?;:|" else ""
-        word = chunk[: len(chunk) - len(mark)]
-        return (word.lower(), mark) if word.isalpha() and max(word) < "ɐ" else (chunk, "")
+        """Chunks whose ids in a row are the text's.
+
+        Where each mark stands by itself and all characters are Latin-1 (which no normalization
+        changes), words and marks come apart, in lower case, so that few chunks are different.
+        """
+        if any(x in text for x in _SPECIAL) or _BESIDE.search(text):
+            return _CHUNK.findall(text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split()
+        text = text.lower()
+        for mark in ".,!?;:|":
+            if mark in text:
+                text = text.replace(mark, f" {mark} ")
+        return text.split()
 
     def learn(self, chunks: set[str]) -> None:
-        known = self.known
-        if len(known) + len(chunks) > self.limit:
+        known, new = self.known, list(chunks)
+        if len(known) + len(new) > self.limit:
             known.clear()
-        bases = {c: self.base(c) for c in chunks}
-        new = list({x for pair in bases.values() for x in pair if x} - known.keys())
-        for chunk, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[chunk] = b"".join(i.to_bytes(4, "little") for i in got.ids)
-        for chunk, (word, mark) in bases.items():
-            known[chunk] = known[word] + (known[mark] if mark else b"")
+        for at in range(0, len(new), LIBRARY_CHUNKS):
+            part = new[at : at + LIBRARY_CHUNKS]
+            for chunk, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                known[chunk] = array("I", got.ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        waiting, new = [], set()
+        waiting, new, known = [], set(), self.known
         for k, text in enumerate(texts):
             chunks = self.split(text) if text else []
             try:
-                out[k] = b"".join(map(self.known.__getitem__, chunks))
+                out[k] = b"".join(map(known.__getitem__, chunks))
             except KeyError:
                 waiting.append((k, chunks))
-                new.update(c for c in set(chunks) if c not in self.known)
+                new.update(set(chunks).difference(known))
             if waiting and len(new) > self.limit // 8:
                 self._settle(out, waiting, new)
                 waiting, new = [], set()
@@ -69,12 +81,12 @@ class WordTable:
     def _settle(self, out, waiting, new) -> None:
         self.learn(new)
         for k, chunks in waiting:
-            while True:
-                try:
-                    out[k] = b"".join(map(self.known.__getitem__, chunks))
-                    break
-                except KeyError:  # the table was emptied in between
-                    self.learn(set(chunks) - self.known.keys())
+            try:
+                out[k] = b"".join(map(self.known.__getitem__, chunks))
+            except KeyError:  # the table was emptied in between
+                own = set(chunks).difference(self.known)
+                self.learn(own if len(self.known) + len(own) <= self.limit else set(chunks))
+                out[k] = b"".join(map(self.known.__getitem__, chunks))
 
 
 _TABLES: dict[str, WordTable] = {}

@@ -10,8 +10,8 @@ fits a generative model of the unseen label: each voter has its own accuracy for
 Voters' correlations given the label are estimated from the pooled votes and discount the votes
 of those that only repeat others. The result is a probability of the label for each row.
 
-Classifier. Logistic regression on words and stems is trained on those probabilities, and scores
-any text by its own words, so it generalizes past the voters.
+Classifier. Logistic regression on the listed words and stems, each with a weight of its own, is
+trained on those probabilities, and scores any text by its words.
 
 Fitting takes at most about TRAIN_ROWS labelled rows by a hash of their ids, each text once.
 Defined cases: null and empty texts have no words and score by the intercept; labels of null
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 5_000
 #: Insults that any such list has.
 INSULTS = frozenset("idiot idiots moron morons stupid scum trash loser losers clown pathetic disgusting worthless imbecile bastard bastards idiota idioten dummkopf arschloch abschaum imbécile connard ordure salaud estúpido imbécil basura escoria".split())
 WORD = re.compile(r"[^\W\d_]+")
@@ -40,9 +39,9 @@ MAX_FEATURES = 6000
 
 
 def features(text: str | None) -> set[str]:
-    """Lower-case words, and their stems (a stem ends with *)."""
+    """Lower-case words, and the stems (a stem ends with *) of those that are no listed insult: what an insult shows says nothing of other words that begin alike."""
     words = set(WORD.findall(text.lower())) if text else set()
-    return words | {w[:n] + "*" for w in words for n in STEMS if len(w) >= n}
+    return words | {w[:n] + "*" for w in words - INSULTS for n in STEMS if len(w) >= n}
 
 
 def patterns(text: str) -> list[bool]:
@@ -102,6 +101,7 @@ class Model:
         if text:
             found = set(WORD.findall(text.lower()))
             hit = found & weights.keys()
+            found -= INSULTS
             for n, stems in self.listed.items():
                 hit |= {w[:n] + "*" for w in found} & stems if stems else set()
             z += sum(weights[w] for w in sorted(hit))
@@ -110,51 +110,60 @@ class Model:
 
 def fit(texts: list[str], labels: list[int]) -> Model:
     """A classifier from texts and their labels (1: toxic)."""
-    seen, own, y = set(), [], []
+    number: dict[str, int] = {}
+    seen, own, shapes, y = set(), [], [], []
     for text, label in zip(texts, labels):
         f = features(text)
         near = tuple(sorted(zlib.crc32(w.encode()) for w in f)[:3])  # near copies share it mostly
         if (near, label) not in seen:
             seen.add((near, label))
-            own.append((text, f))
+            own.append(np.fromiter((number.setdefault(w, len(number)) for w in sorted(f)), dtype=np.int32, count=len(f)))
+            shapes.append(patterns(text or ""))
             y.append(label)
-    y = np.array(y, dtype=float)
+    names, y = list(number), np.array(y, dtype=float)
     if not len(y) or not y.any():
         return Model({w: 6.0 for w in INSULTS}, -3.0)
-    toxic, all_ = Counter(), Counter()
-    for (_, f), label in zip(own, y):
-        all_.update(f)
-        if label:
-            toxic.update(f)
-    share = y.mean()
+    size, share = len(names), float(y.mean())
+    count = lambda rows: np.bincount(np.concatenate([own[r] for r in rows]), minlength=size) if len(rows) else np.zeros(size, dtype=np.int64)
+    toxic = count(np.flatnonzero(y == 1))
+    df = toxic + count(np.flatnonzero(y == 0))
     # Lower bound of the precision of a word, and enough rows: in small tables chance pairs rare words with a label.
-    bound = {w: (t - 1.3 * np.sqrt(t * (1 - t / (n + 1)) + 0.5)) / n for w, t in toxic.items() if (n := all_[w]) and t >= 4}
-    lexicon = sorted((w for w, b in bound.items() if b > max(0.5, 2 * share)), key=lambda w: (-bound[w], w))
-    groups = [INSULTS, *({w for k, w in enumerate(lexicon) if k % GROUPS == g} for g in range(GROUPS)), {w for w in lexicon if w.endswith("*")}, {w for w in lexicon if not w.endswith("*")}]
-    top = set(lexicon) | INSULTS
-    votes = np.array([[1 if f & g else -1 for g in groups] + [1 if p else -1 for p in patterns(t or "")] + [-1 if f & top else 0, -1 if f & groups[-2] else 0, int(label)] for (t, f), label in zip(own, y)])
+    bound = np.where(toxic >= (3 if len(y) < 1000 else 4), (toxic - 1.3 * np.sqrt(np.maximum(0, toxic * (1 - toxic / (df + 1))) + 0.5)) / np.maximum(1, df), 0)
+    lexicon = sorted(np.flatnonzero(bound > max(0.5, 2 * share)).tolist(), key=lambda k: (-bound[k], names[k]))
+    insults = [number[w] for w in sorted(INSULTS) if w in number]
+    groups = [insults, *(lexicon[g::GROUPS] for g in range(GROUPS)), [k for k in lexicon if names[k].endswith("*")], [k for k in lexicon if not names[k].endswith("*")]]
+    member = np.zeros((size, len(groups) + 1), dtype=bool)
+    for g, ks in enumerate([*groups, lexicon + insults]):
+        member[ks, g] = True
+    hit = np.array([member[a].any(axis=0) if len(a) else np.zeros(member.shape[1], dtype=bool) for a in own])
+    votes = np.column_stack([np.where(hit[:, :-1], 1, -1), np.where(np.array(shapes), 1, -1), np.where(hit[:, -1], -1, 0), np.where(hit[:, -3], -1, 0), y.astype(int)])
     pooled, at, n = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
-    label_model = LabelModel(pooled, n.astype(float), float(share))
+    label_model = LabelModel(pooled, n.astype(float), share)
     target = label_model.posterior(label_model.said)[at.ravel()]
     # Logistic regression on the probabilities, by accelerated gradient steps on a sparse matrix.
-    names = [w for w, n in sorted(all_.items(), key=lambda x: (-(x[0] in top), -x[1], x[0])) if n >= 4 or w in top][:MAX_FEATURES]
-    number = {w: k for k, w in enumerate(names)}
-    cells = [(r, number[w]) for r, (_, f) in enumerate(own) for w in f if w in number]
-    row, col = np.array(cells, dtype=np.int64).reshape(-1, 2).T
-    df = np.bincount(col, minlength=len(names))
-    rarity = np.log((len(y) + 1) / (df + 1)) / np.log(len(y) + 2)
+    top = set(lexicon + insults)
+    chosen = sorted(top, key=lambda k: (-bound[k], -df[k], names[k]))[:MAX_FEATURES]
+    place = np.full(size, -1, dtype=np.int64)
+    place[chosen] = np.arange(len(chosen))
+    row = np.repeat(np.arange(len(own)), [len(a) for a in own])
+    col = place[np.concatenate(own)]
+    row, col = row[col >= 0], col[col >= 0]
+    rarity = np.log((len(y) + 1) / (df[chosen] + 1)) / np.log(len(y) + 2)
     value = rarity[col]
-    w, b, vw, vb = np.zeros(len(names)), float(np.log(share / (1 - share))), 0.0, 0.0
+    w, b, vw, vb = np.zeros(len(chosen)), float(np.log(share / max(1e-9, 1 - share))), 0.0, 0.0
     step = 4.0 * len(y) / max(1.0, float(np.bincount(row, weights=value**2, minlength=len(y)).max() * len(y) / 16))
     for _ in range(300):
         wl, bl = w + 0.9 * vw, b + 0.9 * vb
         z = np.bincount(row, weights=value * wl[col], minlength=len(y)) + bl
         e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
-        gw = np.bincount(col, weights=value * e[row], minlength=len(names)) / len(y) + 1e-5 * wl
+        gw = np.bincount(col, weights=value * e[row], minlength=len(chosen)) / len(y) + 1e-5 * wl
         vw, vb = 0.9 * vw - step * gw, 0.9 * vb - step * e.mean()
         w, b = w + vw, b + vb
     scaled = w * rarity
-    return Model({x: float(scaled[k]) for x, k in number.items() if abs(scaled[k]) > 1e-3}, float(b))
+    # Insults that the sample lacks weigh as much as the middle one of those that it has.
+    learned = {names[k]: float(scaled[i]) for i, k in enumerate(chosen) if abs(scaled[i]) > 1e-3}
+    usual = float(np.median([learned[w] for w in learned if w in INSULTS] or [4.0]))
+    return Model({w: max(usual, 1.0) for w in INSULTS} | learned, float(b))
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> Model:
