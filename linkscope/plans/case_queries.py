@@ -258,7 +258,7 @@ SELECT ev.event_id, CASE WHEN st.n IS NULL THEN 'NO_MATCH' WHEN st.n > 1 AND (be
 FROM ev LEFT JOIN st USING (event_id)""")
 def correlation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, d, c = scored(spark, sf_dir)
-    return correlate.correlate(e, c, correlate.accounting(e, d.flows)).select("event_id", "correlation_status", F.round(F.col("identity_score") + 1e-7, 4).alias("identity_score"), "candidate_count")
+    return correlate.correlate(e, c, correlate.accounting(e, d.flows)).select("event_id", "correlation_status", F.round(F.round("identity_score", 6) + 1e-7, 4).alias("identity_score"), "candidate_count")
 
 
 def chosen_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dual, DataFrame]:
