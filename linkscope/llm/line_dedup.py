@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, once
 
 EDITS = 2
 MIN_CHARS = 25
@@ -90,7 +90,9 @@ def texts_of(places: DataFrame, docs: DataFrame) -> DataFrame:
     """h1, h2 and the line itself of places (doc_id, no, h1, h2)."""
     asked = places.groupBy(F.col("doc_id").alias("asked_id")).agg(F.collect_list(F.struct("no", "h1", "h2")).alias("asked"))
     both = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("asked_id")))
-    lines = both.select(F.explode("asked").alias("x"), F.split("text", "\n").alias("ls")).select("x.h1", "x.h2", F.expr("get(ls, x.no)").alias("line"))
+    # A text is split once, not anew for each of its lines that are asked for.
+    split = both.select("asked", once(F.split("text", "\n")).alias("ls"))
+    lines = split.select(F.explode(F.expr("transform(asked, x -> struct(x.h1, x.h2, get(ls, x.no) AS line))")).alias("x")).select("x.*")
     # Rows that share an id are told apart by the hash.
     return lines.where(F.xxhash64("line") == F.col("h1"))
 
