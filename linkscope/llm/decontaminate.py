@@ -23,7 +23,8 @@ from .common import once
 MASKS = ("11011011", "1010011101")
 WINDOW = 13
 SIMILARITY = 0.8
-#: The seeds of a benchmark are broadcast up to this number (about 32 bytes each), else the hashes are shuffled.
+#: Up to this number the seeds of a benchmark are broadcast (hash, id, hash of the item and place each), and apart from
+#: them the words of its items, fewer than eight for each seed; beyond it both are shuffled. The result is the same.
 BROADCAST_SEEDS = 400_000
 
 
@@ -42,8 +43,9 @@ def items_of(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def seeds_of(items: DataFrame, masks=MASKS) -> DataFrame:
-    """h, the item and the place q of each seed."""
-    return items.select("item_id", "item", F.explode(F.array(*[F.expr(seeds_sql("item", m, n)) for n, m in enumerate(masks)])).alias("hs")).select("item_id", "item", F.posexplode("hs").alias("q", "h"))
+    """h, item_id, item_h (a hash of the words, which tells items of one id apart) and the place q of each seed."""
+    placed = items.select("item_id", F.xxhash64("item").alias("item_h"), F.explode(F.array(*[F.expr(seeds_sql("item", m, n)) for n, m in enumerate(masks)])).alias("hs"))
+    return placed.select("item_id", "item_h", F.posexplode("hs").alias("q", "h"))
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
@@ -51,20 +53,26 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row for each (document, item) with a verified overlap: doc_id, item_id, item_words, n_hits, first_word, agreeing.
 
     first_word is the place in the document where the earliest aligned item would begin (negative
-    if the document starts inside the item); agreeing counts equal places of the best alignment.
+    if the document starts inside the item); agreeing counts equal places of the best alignment;
+    n_hits counts a place of an item at a place of a row once for each mask that finds it.
     """
-    seeds = seeds_of(items_of(benchmark, item_id_col, item_text_col), masks)
+    items = items_of(benchmark, item_id_col, item_text_col)
+    seeds = seeds_of(items, masks).select("h", "item_id", "item_h", "q")
     small = seeds.select("h").limit(broadcast_seeds + 1).count() <= broadcast_seeds
     d = docs.select(F.col(id_col).alias("doc_id"), once(F.expr(words_sql(f"`{text_col}`"))).alias("ws"))
     hashes = F.expr("concat(" + ", ".join(seeds_sql("ws", m, n) for n, m in enumerate(masks)) + ")")
+    sought = items.where(F.size("item") >= min(map(len, masks))).select(F.col("item_id").alias("i_id"), F.xxhash64("item").alias("i_h"), "item")
+    same_item = F.col("item_id").eqNullSafe(F.col("i_id")) & (F.col("item_h") == F.col("i_h"))
     if small:
-        hits = d.select("doc_id", "ws", F.posexplode(hashes).alias("i", "h")).join(F.broadcast(seeds.select("h", "item_id", "item", "q")), "h")
-        hits = hits.select("doc_id", "ws", "item_id", "item", "q", F.expr(place_sql("ws", masks)).alias("p"))
+        found = d.select("doc_id", "ws", F.posexplode(hashes).alias("i", "h")).join(F.broadcast(seeds), "h")
+        found = found.select("doc_id", "ws", "item_id", "item_h", "q", F.expr(place_sql("ws", masks)).alias("p"))
+        hits = found.join(F.broadcast(sought), same_item)
     else:
-        found = d.select("doc_id", F.size("ws").alias("n"), F.posexplode(hashes).alias("i", "h")).join(seeds.select("h", "item_id", "q"), "h")
-        found = found.select(F.col("doc_id").alias("d_id"), F.col("item_id").alias("i_id"), "q", F.expr(place_sql(None, masks)).alias("p")).distinct()
-        items = items_of(benchmark, item_id_col, item_text_col)
-        hits = found.join(d, F.col("d_id").eqNullSafe(F.col("doc_id"))).join(items, F.col("i_id").eqNullSafe(F.col("item_id"))).select("doc_id", "ws", "item_id", "item", "q", "p")
+        found = d.select("doc_id", F.xxhash64("ws").alias("doc_h"), F.size("ws").alias("n"), F.posexplode(hashes).alias("i", "h")).join(seeds, "h")
+        # Entry i tells mask and place. Equal rows of one id meet each of their hits again in the join below.
+        found = found.select(F.col("doc_id").alias("d_id"), F.col("doc_h").alias("d_h"), "item_id", "item_h", "q", "i", F.expr(place_sql(None, masks)).alias("p")).distinct()
+        own = d.withColumn("doc_h", F.xxhash64("ws"))
+        hits = found.join(own, F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_h") == F.col("doc_h"))).join(sought, same_item)
     aligned = hits.select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("first_word"), "q", F.size("item").alias("item_words"), once(F.expr("transform(item, (w, j) -> int(coalesce(get(ws, p - q + j) = w, false)))")).alias("eq"))
     w = f"least({window}, item_words)"
     span = min(map(len, masks))

@@ -254,3 +254,17 @@ def test_empty_tables(spark):
     assert decontaminate.find_overlaps(none, bench).count() == 0
     assert secrets.find_secrets(none).count() == 0
     assert quality_rules.apply_rules(none).count() == 0
+
+
+def test_decontamination_counts_alike_on_either_side_of_the_broadcast_bound(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    items = [[word() for _ in range(20)] for _ in range(4)]
+    bench = spark.createDataFrame([(1, " ".join(items[0])), (2, " ".join(items[1])), (2, " ".join(items[2])), (None, " ".join(items[3])), (5, "too short")], "item_id long, text string")
+    texts = [[word() for _ in range(10)] + items[k] + [word()] * 3 for k in (0, 1, 2, 3, 0)]
+    docs = frame(spark, [(i, " ".join(texts[t])) for i, t in ((1, 0), (1, 0), (1, 1), (2, 2), (3, 1), (None, 3), (4, 4))])
+    rows = lambda seeds: sorted(map(str, decontaminate.find_overlaps(docs, bench, broadcast_seeds=seeds).collect()))
+    assert rows(10**6) == rows(0)
+    n = {(x.doc_id, x.item_id): x.n_hits for x in decontaminate.find_overlaps(docs, bench, broadcast_seeds=0).collect()}
+    each = sum(20 - len(m) + 1 for m in decontaminate.MASKS)
+    assert n == {(1, 1): 2 * each, (1, 2): each, (2, 2): each, (3, 2): each, (None, None): each, (4, 1): each}
