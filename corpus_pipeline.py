@@ -24,8 +24,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without lines that repeat earlier ones, or differ from them by two edits at most."""
-    out = line_dedup.dedup_lines(docs)
+    """Without lines of any length that repeat earlier ones, or ones of 25 characters or more that differ by two edits at most."""
+    out = line_dedup.dedup_lines(docs, exact_chars=1)
     gone = (F.col("n_exact") + F.col("n_near") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return out.where(~F.coalesce(gone, F.lit(False))).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 

@@ -1,7 +1,8 @@
 """Line dedup: an edit-distance join of all distinct lines by segment partition.
 
 A line goes when an equal line, or one within `edits` edits, stands earlier; earlier means a
-smaller (document id, line number) at first occurrence. Lines under `min_chars` characters stay.
+smaller (document id, line number) at first occurrence. Lines under `min_chars` characters stay,
+unless `exact_chars` names a lower bound from which equal lines that are not blank go all the same.
 
 Method: every distinct line is cut into edits + 1 even segments. If two lines are within
 `edits` edits, a segment of the shorter one occurs in the longer one, displaced by no more than
@@ -80,10 +81,12 @@ def banded_distance(a: str, b: str, edits: int) -> str:
           s -> s.d))[0])[0] END"""
 
 
-def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, no and the hashes of all lines that are long enough; docs has doc_id and text."""
-    d = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.length("line") >= min_chars)
-    return d.select("doc_id", "no", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
+def lines_of(docs: DataFrame, min_chars: int, exact_chars: int | None = None) -> DataFrame:
+    """doc_id, no, the hashes and is_long (for the near search) of all lines that are long enough; docs has doc_id and text."""
+    n = F.length("line")
+    asked = n >= min_chars if exact_chars is None else (n >= min_chars) | ((n >= exact_chars) & F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    d = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(asked)
+    return d.select("doc_id", "no", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), (n >= min_chars).alias("is_long"))
 
 
 def texts_of(places: DataFrame, docs: DataFrame) -> DataFrame:
@@ -114,13 +117,13 @@ def similar_lines(first: DataFrame, docs: DataFrame, edits: int = EDITS) -> Data
     return both.where(F.expr(f"{banded_distance('line_b', 'line_a', edits)} <= {edits}")).select("a1", "a2", "b1", "b2")
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """doc_id, no and near (false: an equal line stands earlier) of every line that goes."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    at = lines_of(own, min_chars)
-    first = at.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count(F.lit(1)).alias("n"))
-    first = materialize(first.select("h1", "h2", "first.doc_id", "first.no", "n"), "lines")
-    links = materialize(similar_lines(first.select("h1", "h2", "doc_id", "no"), own, edits), "line-links")
+    at = lines_of(own, min_chars, exact_chars)
+    first = at.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count(F.lit(1)).alias("n"), F.max("is_long").alias("is_long"))
+    first = materialize(first.select("h1", "h2", "first.doc_id", "first.no", "n", "is_long"), "lines")
+    links = materialize(similar_lines(first.where("is_long").select("h1", "h2", "doc_id", "no"), own, edits), "line-links")
     ways = links.select(F.col("a1").alias("x1"), F.col("a2").alias("x2"), F.col("b1").alias("y1"), F.col("b2").alias("y2"))
     ways = ways.union(ways.select("y1", "y2", "x1", "x2"))
     place = F.struct(F.col("doc_id"), F.col("no"))
@@ -131,14 +134,14 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return at.join(gone, ["h1", "h2"]).where(F.col("near") | ~is_first).select("doc_id", "no", (F.col("near") & is_first).alias("near"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """docs with the lines that go taken out of the text, and the columns n_lines, n_exact and n_near (long).
 
     A text of which no line stays is empty. Other columns are kept, but for ones of these three names.
     """
     rest = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
     ids, nos, exact, near = (next(n for n in (f"_gone{'_' * k}_{x}" for k in range(len(rest) + 1)) if n not in rest) for x in ("id", "nos", "exact", "near"))
-    found = repeated_lines(docs, id_col, text_col, edits, min_chars)
+    found = repeated_lines(docs, id_col, text_col, edits, min_chars, exact_chars)
     gone = found.groupBy(F.col("doc_id").alias(ids)).agg(F.collect_set("no").alias(nos), F.count_if(~F.col("near")).alias(exact), F.count_if("near").alias(near))
     out = docs.select(rest).join(gone, F.col(id_col).eqNullSafe(F.col(ids)), "left")
     text = F.when(F.col(nos).isNull(), F.col(text_col)).otherwise(F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (l, i) -> NOT array_contains(`{nos}`, i)), '\\n')"))
