@@ -2,18 +2,21 @@
 
 Two texts link when intersection * 100 >= percent * union of their shingle sets. Texts with one
 and the same set are a class, which is joined once. Classes meet in tiles: a band of sizes, cut
-further by segments. In a band the symmetric difference of a linking pair is at most d; hashes
-deal the shingles into d + 1 segments and a few more, so some segments of the two are equal, and
-their content is the tile's key. (A segment without a shingle is a key only for texts that have
-more such segments than there are spare ones; else a pair has an equal one with content.) Sizes
-that link across a band's border enter both bands. So no linking pair is missed, and texts that
-merely share a passage rarely meet.
+further by parts. In a band, hashes deal the shingles into parts; sets that link differ in at
+most d shingles, so in at most d parts, and the content of a part they have alike is a tile's key.
+Sizes that link across a band's border enter both bands. Two prefix filters thin the keys
+without losing a link. Of its parts a set sends the d + 1 + SPARE first in order of their content
+(parts without a shingle last), where d follows the set's own size: linking sets then share at
+least SPARE + 1 of those. Once all rows of each tile are counted, a set leaves its SPARE fullest
+tiles, so what a passage gives to many texts is passed over; one shared tile at least remains.
 
 A tile's pairs pass three gates. Bitmaps of hashed shingles bound the overlap from above: each
 bit in which they differ is a shingle that one text lacks. Sorted shingle arrays then give the
-exact intersection. First all members of a tile are held against its smallest one; only tiles
-whose members still lie in several components are then searched pair by pair, in square blocks,
-by bit counts in numpy. What links within one component is not sought again.
+exact intersection. First each set is held against one hub, the smallest set of most of its
+tiles. Only tiles whose members still lie in several components are then searched in square
+blocks: by bit counts, which name the sets that still may link, and with the arrays of those
+sets, of which a block gives spanning links only. Members of a tile's largest component do not
+meet one another again. All that is sent is linear in the rows of the tiles.
 
 Words are runs of bytes other than space and U+0009 to U+000D, with A-Z in lower case. Defined
 cases: null, empty and blank texts have an empty set, and are a component of their own; a text
@@ -29,19 +32,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch
 
 PERCENT = 90
 WORDS = 3
 #: A band's upper size over its lower one.
-BAND = 1.37
-SPARE = 2
+BAND = 1.7
+#: Tiles that a set enters beyond those that it needs, and then the fullest ones that it leaves.
+SPARE = 6
 #: Classes of a tile that one block of pairs takes from either side.
 BLOCK = 1000
-#: Rows of ids of texts to fetch again, and of tiles with several sets, that are broadcast, at about 20 bytes each; more are joined by a shuffle.
+#: Rows of ids of texts to fetch again, and of tiles with several sets, that are broadcast, at about 30 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 _TABLE_WORDS = 500_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
@@ -90,25 +94,29 @@ def bands(percent: int, largest: int = 1 << 31) -> np.ndarray:
     return np.array(low, dtype=np.int64)
 
 
-def most_apart(size: int, percent: int) -> int:
-    """Most shingles that lie in one set only, of two linking sets of at most this size."""
-    return 2 * size * (100 - percent) // (100 + percent)
+def most_apart(total: int, percent: int) -> int:
+    """Most shingles that lie in one set only, of two linking sets of so many shingles in total."""
+    return total * (100 - percent) // (100 + percent)
 
 
 def keys(h: np.ndarray, low: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the tiles of a set."""
+    """Keys of the tiles of a set; their last six bits are the band."""
     out, own = [], int(np.searchsorted(low, len(h), side="right")) - 1
     for band in (own, own + 1):
         if band < 0 or band + 1 >= len(low) or len(h) * 100 < percent * low[band]:
             continue
-        parts = most_apart(int(low[band + 1]) - 1, percent) + 1 + SPARE
+        largest = int(low[band + 1]) - 1
+        parts = most_apart(2 * largest, percent) + 1 + SPARE
+        asked = most_apart(len(h) + min(largest, len(h) * 100 // percent), percent) + 1 + SPARE
         part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # ascending, as h is
         has, first = np.unique(part, return_index=True)
-        content = np.add.reduceat(mix(h ^ _M3), first)
-        if parts - len(has) > SPARE:
-            lacks = np.setdiff1d(np.arange(parts), has)
-            has, content = np.append(has, lacks), np.append(content, np.zeros(len(lacks), dtype=np.uint64))
-        out.append(mix(content + mix((has + (band << 40)).astype(np.uint64) + _M1)))
+        content = mix(np.add.reduceat(mix(h ^ _M3), first) + mix((has + (band << 40)).astype(np.uint64) + _M1))
+        if len(content) > asked:
+            content = np.partition(content, asked - 1)[:asked]
+        elif len(content) < asked:
+            lacks = np.setdiff1d(np.arange(parts), has)[: asked - len(content)]
+            content = np.append(content, mix(mix((lacks + (band << 40)).astype(np.uint64) + _M1)))
+        out.append(content & ~np.uint64(63) | np.uint64(band))
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
@@ -134,14 +142,14 @@ def may_link(n: np.ndarray, m: np.ndarray, apart: np.ndarray, percent: int) -> n
 
 
 def summaries(docs: DataFrame, id_col: str, text_col: str, percent: int, n: int) -> DataFrame:
-    """doc_id, set (64 bits that name it; null if empty), n_shingles, bits and keys of each row."""
+    """doc_id, text_h (a hash of the text), set (64 bits that name it; null if empty), n_shingles, bits and tiles of each row."""
     id_type = docs.schema[id_col].dataType.simpleString()
     low = bands(percent)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets, sizes, bits, tiles = [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 h = shingles(text.as_py(), n)
                 sizes.append(len(h))
                 sets.append(name_of(h) if len(h) else None)
@@ -149,130 +157,224 @@ def summaries(docs: DataFrame, id_col: str, text_col: str, percent: int, n: int)
                 tiles.append(keys(h, low, percent).view(np.int64))
             at = np.cumsum([0, *map(len, tiles)])
             flat = pa.array(np.concatenate(tiles) if tiles else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)], ["doc_id", "set", "n_shingles", "bits", "tiles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)], ["doc_id", "text_h", "set", "n_shingles", "bits", "tiles"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {id_type}, set bigint, n_shingles bigint, bits binary, tiles array<bigint>")
+    given = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_h"), F.col(text_col).alias("text"))
+    return given.mapInArrow(run, f"doc_id {id_type}, text_h bigint, set bigint, n_shingles bigint, bits binary, tiles array<bigint>")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, n: int) -> DataFrame:
-    """The pairs (a, b) of classes that link."""
-    side = classes.select("set", "doc_id", "n_shingles", "bits")
-    both = pairs.join(side.select(F.col("set").alias("a"), F.col("doc_id").alias("id_a"), F.col("n_shingles").alias("n_a"), F.col("bits").alias("bits_a")), "a")
-    both = both.join(side.select(F.col("set").alias("b"), F.col("doc_id").alias("id_b"), F.col("n_shingles").alias("n_b"), F.col("bits").alias("bits_b")), "b")
+def sent(df: DataFrame) -> DataFrame:
+    """df, broadcast if its rows are few enough."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
-    def bound(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            apart = np.zeros(len(f), dtype=np.int64)
-            for k, (x, y) in enumerate(zip(f["bits_a"], f["bits_b"])):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                size = min(len(x), len(y))
-                apart[k] = np.bitwise_count(fold(x, size) ^ fold(y, size)).sum()
-            yield f.loc[may_link(f["n_a"].to_numpy(), f["n_b"].to_numpy(), apart, percent), ["a", "b", "id_a", "id_b"]]
 
-    id_type = classes.schema["doc_id"].dataType.simpleString()
-    left = materialize(both.mapInPandas(bound, f"a bigint, b bigint, id_a {id_type}, id_b {id_type}"), "pairs")
-    wanted = left.select(F.col("a").alias("set"), F.col("id_a").alias("want")).union(left.select("b", "id_b")).distinct()
+def arrays_of(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """set and hashes (its sorted shingles) of the sets wanted, which are named with the id of a text of theirs: set, want."""
 
     def arrays(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = [shingles(t.as_py(), n) for t in batch.column(1)]
-            keep = [k for k, s in enumerate(batch.column(0)) if name_of(h[k]) == s.as_py()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([h[k].tobytes() for k in keep], pa.binary())], ["set", "hashes"])
+            good = [k for k, s in enumerate(batch.column(0)) if name_of(h[k]) == s.as_py()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good, pa.int64())), pa.array([h[k].tobytes() for k in good], pa.binary())], ["set", "hashes"])
+
+    texts = docs.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text")).join(sent(wanted), F.col("text_id").eqNullSafe(F.col("want"))).select("set", "text")
+    return texts.mapInArrow(arrays, "set bigint, hashes binary").dropDuplicates(["set"])
+
+
+def differing(x: bytes, y: bytes) -> int:
+    x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum())
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def verified(pairs: DataFrame, sides: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, n: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of sets that link; sides: set, want, n_shingles, bits."""
+    side = lambda x: sides.select(F.col("set").alias(x), F.col("want").alias(f"want_{x}"), F.col("n_shingles").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def bound(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            apart = np.fromiter(map(differing, f["bits_a"], f["bits_b"]), dtype=np.int64, count=len(f))
+            yield f.loc[may_link(f["n_a"].to_numpy(), f["n_b"].to_numpy(), apart, percent), ["a", "b", "want_a", "want_b"]]
 
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text")).join(wanted, F.col("text_id").eqNullSafe(F.col("want"))).select("set", "text")
-    sets = texts.mapInArrow(arrays, "set bigint, hashes binary").dropDuplicates(["set"])
+    id_type = sides.schema["want"].dataType.simpleString()
+    left = scratch.keep(both.mapInPandas(bound, f"a bigint, b bigint, want_a {id_type}, want_b {id_type}"), "pairs")
+    wanted = left.select(F.col("a").alias("set"), F.col("want_a").alias("want")).union(left.select("b", "want_b")).distinct()
+    sets = arrays_of(wanted, docs, id_col, text_col, n)
 
     def intersect(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            good = []
-            for x, y in zip(f["x"], f["y"]):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * common >= percent * (len(x) + len(y) - common))
+            good = [linked(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent) for x, y in zip(f["x"], f["y"])]
             yield f.loc[np.array(good, dtype=bool), ["a", "b"]]
 
     full = left.select("a", "b").join(sets.select(F.col("set").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("hashes").alias("y")), "b")
-    return materialize(full.select("a", "b", "x", "y").mapInPandas(intersect, "a bigint, b bigint"), "links")
+    out = scratch.keep(full.select("a", "b", "x", "y").mapInPandas(intersect, "a bigint, b bigint"), "links")
+    scratch.drop(left)
+    return out
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node and root (its component's smallest node) of every node of the links, by alternating large and small stars."""
-    edges = materialize(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """node and root (its component's smallest node) of every node of the links (a, b), by alternating large and small stars."""
+    scratch = scratch or Scratch(links.sparkSession, "components")
+    edges = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     state = None
     while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == state or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
-        state = now
+        state, before = now, edges
         ways = edges.union(edges.select("v", "u"))
         least = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = ways.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", "m")).distinct()
-        edges = materialize(small, "edges")
+        edges = scratch.keep(small, "edges")
+        scratch.drop(before)
 
 
-def searched(tiles: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a tile's classes in different components that the bit counts let pass; tiles: tile, set, root, n_shingles, bits, rows.
+def open_tiles(members: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame:
+    """tile, set, root, main (of the tile's largest component), rest and most (rows of others and of it) of tiles whose sets lie in several components.
 
-    A pair comes out of the first tile only of all that it shares.
+    members: tile, set; roots: node, root; tried: pairs (a, b) that have been compared. Of tiles with the same sets one stays.
     """
-    shared = tiles.groupBy("set").agg(F.array_sort(F.collect_list("tile")).alias("all_tiles"))  # a set has few tiles
-    tiles = tiles.join(shared, "set")
-    t = tiles.withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-    # Block i meets every block j >= i: it is the left side of (i, j) and the right one of (j, i).
-    t = t.select("*", F.explode(F.expr("transform(sequence(0, blocks - 1), o -> struct(least(own, o) AS i, greatest(own, o) AS j))")).alias("at"))
-
-    def run(key, f: pd.DataFrame) -> pd.DataFrame:
-        i, j = key[1], key[2]
-        f = f.sort_values("set", ignore_index=True)
-        left, right = (f, f) if i == j else (f[f["own"] == i], f[f["own"] == j])
-        out = []
-        if len(left) and len(right):
-            size = min(map(len, f["bits"]))
-            y = np.stack([fold(np.frombuffer(b, dtype=np.uint8), size) for b in right["bits"]]).view(np.uint64)
-            m, roots = right["n_shingles"].to_numpy(), right["root"].to_numpy()
-            for k, (s, root, n, bits, own_tiles) in enumerate(zip(left["set"], left["root"], left["n_shingles"], left["bits"], left["all_tiles"])):
-                apart = np.bitwise_count(y ^ fold(np.frombuffer(bits, dtype=np.uint8), size).view(np.uint64)).sum(axis=1, dtype=np.int64)
-                good = may_link(n, m, apart, percent) & (roots != root)
-                if i == j:
-                    good[: k + 1] = False
-                out += [(min(s, o), max(s, o)) for o, theirs in zip(right["set"].to_numpy()[good], right["all_tiles"].to_numpy()[good]) if np.intersect1d(own_tiles, theirs, assume_unique=True)[0] == key[0]]
+    rooted = members.join(roots, members.set == roots.node, "left").select("tile", "set", F.coalesce("root", "set").alias("root"))
+    parts = rooted.groupBy("tile", "root").agg(F.count(F.lit(1)).alias("n"), F.min("set").alias("least"), F.max("set").alias("largest"), F.bit_xor(F.xxhash64("set")).alias("x"), F.bit_xor(F.xxhash64("set", F.lit(1))).alias("y"))
+    tiles = parts.groupBy("tile").agg(
+        F.sum("n").alias("rows"), F.max("n").alias("most"), F.max_by("root", "n").alias("top"), F.count(F.lit(1)).alias("roots"),
+        F.min("least").alias("a"), F.max("largest").alias("b"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"),
+    ).where("roots > 1")
+    tiles = tiles.join(tried.withColumn("two", F.lit(2)), (tiles.rows == F.col("two")) & (tiles.a == tried.a) & (tiles.b == tried.b), "left_anti")
+    tiles = tiles.dropDuplicates(["rows", "x", "y"]).select("tile", "top", "most", (F.col("rows") - F.col("most")).alias("rest"))
+    return rooted.join(tiles, "tile").select("tile", "set", "root", (F.col("root") == F.col("top")).alias("main"), "rest", "most")
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """rows of open_tiles() with i, j: each block of rows of other components meets itself, those after it, and the blocks of the main one."""
+    t = rows.withColumn("others", F.ceil(F.col("rest") / BLOCK).cast("int")).withColumn("mains", F.ceil(F.col("most") / BLOCK).cast("int"))
+    t = t.withColumn("own", F.pmod(F.xxhash64("set"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    meets = """
+      IF(main, transform(sequence(0, others - 1), o -> struct(o AS i, others + own AS j)),
+               concat(transform(sequence(0, others - 1), o -> struct(least(own, o) AS i, greatest(own, o) AS j)),
+                      transform(sequence(0, mains - 1), o -> struct(own AS i, others + o AS j))))"""
+    t = t.select("tile", "set", "root", F.when(F.col("main"), F.col("others") + F.col("own")).otherwise(F.col("own")).alias("own"), F.explode(F.expr(meets)).alias("at"))
+    return t.select("tile", "set", "root", "own", F.col("at.i").alias("i"), F.col("at.j").alias("j"))
+
+
+def candidates(f: pd.DataFrame, i: int, j: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Row number, and row numbers of those of other components that bit counts let link with it, of a block."""
+    left, right = np.flatnonzero(f["own"] == i), np.flatnonzero(f["own"] == j)
+    if not len(left) or not len(right):
+        return
+    size = min(map(len, f["bits"]))
+    bits = np.stack([fold(np.frombuffer(b, dtype=np.uint8), size) for b in f["bits"]]).view(np.uint64)
+    n, root = f["n_shingles"].to_numpy(), f["root"].to_numpy()
+    theirs, m, r = bits[right], n[right], root[right]
+    for k in left:
+        apart = np.bitwise_count(theirs ^ bits[k]).sum(axis=1, dtype=np.int64)
+        good = may_link(n[k], m, apart, percent) & (r != root[k])
+        if i == j:
+            good &= right > k
+        if good.any():
+            yield k, right[good]
+
+
+def searched(open_: DataFrame, sides: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, n: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that join the components of open tiles; of a block's links those that span them."""
+    rows = in_blocks(open_).join(sides, "set")
+    id_type = sides.schema["want"].dataType.simpleString()
+
+    def survivors(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        seen = [np.append(them, k) for k, them in candidates(f, key[1], key[2], percent)]
+        return f.loc[np.unique(np.concatenate(seen)) if seen else [], ["tile", "i", "j", "own", "set", "root", "want"]]
+
+    left = rows.groupBy("tile", "i", "j").applyInPandas(survivors, f"tile bigint, i int, j int, own int, set bigint, root bigint, want {id_type}")
+    left = scratch.keep(left, "survivors")
+    sets = arrays_of(left.select("set", "want").distinct(), docs, id_col, text_col, n)
+
+    def spanning(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.reset_index(drop=True)
+        arrays = [np.frombuffer(x, dtype=np.uint64) for x in f["hashes"]]
+        f["n_shingles"], f["bits"] = np.array([len(x) for x in arrays], dtype=np.int64), [bitmap(x) for x in arrays]
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while above.get(x, x) != x:
+                x = above[x]
+            return x
+
+        out, sets, roots = [], f["set"].to_numpy(), f["root"].to_numpy()
+        for k, them in candidates(f, key[1], key[2], percent):
+            for o in them:
+                x, y = top(roots[k]), top(roots[o])
+                if x != y and linked(arrays[k], arrays[o], percent):
+                    above[max(x, y)] = min(x, y)
+                    out.append((sets[k], sets[o]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return t.select("tile", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "own", "set", "root", "n_shingles", "bits", "all_tiles").groupBy("tile", "i", "j").applyInPandas(run, "a bigint, b bigint")
+    found = left.drop("want").join(sets, "set").groupBy("tile", "i", "j").applyInPandas(spanning, "a bigint, b bigint")
+    out = scratch.keep(found.distinct(), "links")
+    scratch.drop(left)
+    return out
 
 
-def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, n: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest id of its component) of each row."""
-    rows = materialize(summaries(docs, id_col, text_col, percent, n), "sets")
+def labelled(docs: DataFrame, id_col: str, text_col: str, percent: int, n: int, scratch: Scratch) -> DataFrame:
+    """doc_id, text_h, n_shingles, set and root (the component's smallest set; null for texts without words) of each row."""
+    rows = scratch.keep(summaries(docs, id_col, text_col, percent, n), "sets")
     full = rows.where(F.col("set").isNotNull())
-    first = full.groupBy("set").agg(F.min("doc_id").alias("doc_id"))
-    classes = materialize(first.join(full.select(F.col("set").alias("s"), F.col("doc_id").alias("d"), "n_shingles", "bits", "tiles"), (F.col("set") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d"))).drop("s", "d").dropDuplicates(["set"]), "classes")
-    members = classes.select(F.explode("tiles").alias("tile"), "set")
-    # Most tiles have one set: what the others are is found by counts alone.
-    shared = materialize(members.groupBy("tile").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "shared")
-    met = materialize(members.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "tile"), "tiles")
+    each = full.select(F.explode("tiles").alias("tile"), "set")
+    # Most tiles have one set. Rows of copies are merged before the shuffle, where they are many.
+    shared = scratch.keep(each.groupBy("tile").agg(F.min("set").alias("least"), F.max("set").alias("largest"), F.count(F.lit(1)).alias("n")).where("least < largest").select("tile", "n"), "shared")
+    fullest = Window.partitionBy("set", F.col("tile").bitwiseAND(F.lit(63))).orderBy(F.desc("n"), F.desc("tile"))
+    met = each.join(sent(shared), "tile").distinct().withColumn("rank", F.row_number().over(fullest)).where(F.col("rank") > SPARE)
+    met = scratch.keep(met.select("tile", "set"), "tiles")
+    scratch.drop(shared)
+    first = full.groupBy("set").agg(F.min("doc_id").alias("want"))
+    named = sent(scratch.keep(met.select("set").distinct().join(first, "set"), "named"))
+    own = full.select("set", "doc_id", "n_shingles", "bits").join(named.select(F.col("set").alias("s"), "want"), (F.col("set") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("want")))
+    sides = scratch.keep(own.select("set", "want", "n_shingles", "bits").dropDuplicates(["set"]), "sides")
+    slim = scratch.keep(rows.select("doc_id", "text_h", "n_shingles", "set"), "rows")
+    scratch.drop(rows)
     hubs = met.groupBy("tile").agg(F.min("set").alias("a"))
-    stars = met.join(hubs, "tile").where("set <> a").select("a", F.col("set").alias("b")).distinct()
-    links = verified(stars, classes, docs, id_col, text_col, percent, n)
-    roots = components(links)
-    rooted = met.join(roots, met.set == roots.node, "left").select("tile", "set", F.coalesce("root", "set").alias("root"))
-    open_ = rooted.groupBy("tile").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("rows")).where("least <> most AND rows > 2").select("tile", "rows")
-    left = rooted.join(open_, "tile").join(classes.select("set", "n_shingles", "bits"), "set")
-    more = verified(searched(left, percent), classes, docs, id_col, text_col, percent, n)
-    roots = components(links.union(more))
-    named = full.select("set", "doc_id").join(roots, full.set == roots.node, "left").select("set", "doc_id", F.coalesce("root", "set").alias("root"))
-    ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_set = classes.select(F.col("set").alias("s")).join(roots, F.col("s") == roots.node, "left").select("s", F.coalesce("root", "s").alias("root")).join(ids, "root").select("s", "component_id")
-    out = rows.select("doc_id", "n_shingles", "set").join(of_set, F.col("set") == F.col("s"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    stars = met.join(hubs, "tile").where("set > a").groupBy("set", "a").agg(F.count(F.lit(1)).alias("n")).groupBy("set").agg(F.max_by("a", "n").alias("a"))
+    stars = scratch.keep(stars.select("a", F.col("set").alias("b")), "stars")
+    links = verified(stars, sides, docs, id_col, text_col, percent, n, scratch)
+    roots = components(links, scratch)
+    more = searched(open_tiles(met, roots, stars), sides, docs, id_col, text_col, percent, n, scratch)
+    roots = scratch.keep(components(links.union(more), scratch), "roots")
+    scratch.drop_all_but(slim, roots)
+    return slim.join(roots, slim.set == roots.node, "left").select("doc_id", "text_h", "n_shingles", "set", F.coalesce("root", "set").alias("root"))
+
+
+def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, n: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest id of its component) of each row."""
+    rows = labelled(docs, id_col, text_col, percent, n, Scratch(docs.sparkSession, "ngram-join"))
+    ids = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(ids, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, n: int = WORDS) -> DataFrame:
-    """docs with the row of the smallest id of each component; copies within an id go too, but rows without words stay."""
-    found = join_components(docs, id_col, text_col, percent, n)
-    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone.gone_id, "left_anti")
+    """docs with one row of each component, that of the smallest (id, hash of the text); null ids come last.
+
+    Rows are told apart by id and text, so other texts of an id that goes stay, and rows of equal
+    id and text leave one. Rows without words stay, all of them.
+    """
+    scratch = Scratch(docs.sparkSession, "ngram-join")
+    rows = labelled(docs, id_col, text_col, percent, n, scratch).where("root IS NOT NULL")
+    each = scratch.keep(rows.groupBy("root", "doc_id", "text_h").agg(F.count(F.lit(1)).alias("copies")), "each")
+    best = each.groupBy("root").agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_h")).alias("best")).where("texts > 1")
+    lost = ~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_h") == F.col("best.text_h")))
+    key = [F.col("doc_id").alias("one_id"), F.col("text_h").alias("one_h")]
+    gone = scratch.keep(each.join(best, "root").where(lost).select(key), "gone")
+    twice = scratch.keep(each.where("copies > 1").select(key), "twice")
+    scratch.drop_all_but(gone, twice)
+    same = lambda t: docs[id_col].eqNullSafe(t.one_id) & (F.xxhash64(docs[text_col]) == t.one_h)
+    kept = docs.join(sent(gone), same(gone), "left_anti")
+    if twice.isEmpty():
+        return kept
+    extra = kept.join(sent(twice), same(twice), "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(sent(twice), same(twice), "left_anti").union(extra)

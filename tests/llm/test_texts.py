@@ -108,7 +108,7 @@ def test_ngram_join_equals_brute_force(spark, percent, n, monkeypatch):
 
 
 def test_tiles_miss_no_link():
-    """Of two sets that just link, at least one key is shared, for all sizes."""
+    """Two sets that just link share more tiles than a set may leave, for all sizes."""
     import numpy as np
 
     r, low = np.random.default_rng(3), ngram_join.bands(90)
@@ -120,7 +120,33 @@ def test_tiles_miss_no_link():
             a, b = np.unique(union[cut:]), np.unique(np.concatenate([union[: cut], union[cut + apart - cut :]]) if apart else union)
             common = len(np.intersect1d(a, b))
             if 100 * common >= 90 * (len(a) + len(b) - common) and not np.array_equal(a, b):
-                assert len(np.intersect1d(ngram_join.keys(a, low, 90), ngram_join.keys(b, low, 90)))
+                assert len(np.intersect1d(ngram_join.keys(a, low, 90), ngram_join.keys(b, low, 90))) > ngram_join.SPARE
+
+
+def test_keep_one_goes_by_id_and_text(spark):
+    t, u, v = (" ".join(f"{x}{k}" for k in range(30)) for x in "tuv")
+    rows = [(1, t), (1, t), (2, t), (2, u), (None, u), (None, v), (None, v), (3, ""), (3, ""), (4, None), (5, u.upper()), (None, None)]
+    docs = spark.createDataFrame([(i, x, "clash", k) for k, (i, x) in enumerate(rows)], "doc_id long, text string, one_id string, copies int")
+    got = ngram_join.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted((repr(x.doc_id), repr(x.text)) for x in got.collect()) == sorted((repr(i), repr(x)) for i, x in [(1, t), (2, u), (None, v), (3, ""), (3, ""), (4, None), (None, None)])
+
+
+def test_links_within_a_tile_of_many_components(spark, monkeypatch):
+    """Groups that share most of their words, so that they meet in the same tiles, but link only in part."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    r = random.Random(4)
+    base = [f"b{k}" for k in range(120)]
+    texts = []
+    for g in range(12):
+        own = base[: 95 + g % 3] + [f"g{g}x{k}" for k in range(20)]
+        for _ in range(4):
+            t = list(own)
+            t[r.randrange(len(t))] = f"y{r.randrange(9)}"
+            texts.append((len(texts), " ".join(t)))
+    want = jaccard_components(texts, 80, 5)
+    got = ngram_join.join_components(frame(spark, texts), percent=80, n=5).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
 
 
 def test_stars_find_components(spark):
