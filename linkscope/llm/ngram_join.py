@@ -43,8 +43,11 @@ WORDS = 3
 BAND = 1.7
 #: Tiles that a set enters beyond those that it needs, and then the fullest ones that it leaves.
 SPARE = 6
-#: Classes of a tile that one block of pairs takes from either side.
+#: Sets of a tile, and about shingles, that one block of pairs takes from either side.
 BLOCK = 1000
+BLOCK_SHINGLES = 4_000_000
+#: Bits of the largest bitmaps; beyond half as many shingles they bound the overlap less tightly.
+MOST_BITS = 1 << 16
 #: Rows of ids of texts to fetch again, and of tiles with several sets, that are broadcast, at about 30 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 _TABLE_WORDS = 500_000
@@ -122,7 +125,7 @@ def keys(h: np.ndarray, low: np.ndarray, percent: int) -> np.ndarray:
 
 def bitmap(h: np.ndarray) -> bytes:
     """About two bits a shingle; larger bitmaps fold onto smaller ones."""
-    bits = max(256, 1 << int(2 * len(h) - 1).bit_length()) if len(h) else 256
+    bits = min(MOST_BITS, max(256, 1 << int(2 * len(h) - 1).bit_length())) if len(h) else 256
     got = np.zeros(bits, dtype=np.uint8)
     got[(h & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(got, bitorder="little").tobytes()
@@ -253,29 +256,53 @@ def open_tiles(members: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFr
     return rooted.join(tiles, "tile").select("tile", "set", "root", (F.col("root") == F.col("top")).alias("main"), "rest", "most")
 
 
-def in_blocks(rows: DataFrame) -> DataFrame:
+def in_blocks(rows: DataFrame, percent: int) -> DataFrame:
     """rows of open_tiles() with i, j: each block of rows of other components meets itself, those after it, and the blocks of the main one."""
-    t = rows.withColumn("others", F.ceil(F.col("rest") / BLOCK).cast("int")).withColumn("mains", F.ceil(F.col("most") / BLOCK).cast("int"))
+    low = F.element_at(F.lit(bands(percent).tolist()), (F.col("tile").bitwiseAND(F.lit(63)) + 1).cast("int"))
+    block = F.least(F.lit(BLOCK), F.greatest(F.lit(2), F.lit(BLOCK_SHINGLES) / low))
+    t = rows.withColumn("others", F.ceil(F.col("rest") / block).cast("int")).withColumn("mains", F.ceil(F.col("most") / block).cast("int"))
     t = t.withColumn("own", F.pmod(F.xxhash64("set"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
     meets = """
       IF(main, transform(sequence(0, others - 1), o -> struct(o AS i, others + own AS j)),
                concat(transform(sequence(0, others - 1), o -> struct(least(own, o) AS i, greatest(own, o) AS j)),
                       transform(sequence(0, mains - 1), o -> struct(own AS i, others + o AS j))))"""
-    t = t.select("tile", "set", "root", F.when(F.col("main"), F.col("others") + F.col("own")).otherwise(F.col("own")).alias("own"), F.explode(F.expr(meets)).alias("at"))
-    return t.select("tile", "set", "root", "own", F.col("at.i").alias("i"), F.col("at.j").alias("j"))
+    t = t.select("tile", "set", "root", "rest", F.when(F.col("main"), F.col("others") + F.col("own")).otherwise(F.col("own")).alias("own"), F.explode(F.expr(meets)).alias("at"))
+    return t.select("tile", "set", "root", "own", F.col("at.i").alias("i"), F.col("at.j").alias("j")).where("i < j OR rest > 1")
 
 
-def candidates(f: pd.DataFrame, i: int, j: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Row number, and row numbers of those of other components that bit counts let link with it, of a block."""
-    left, right = np.flatnonzero(f["own"] == i), np.flatnonzero(f["own"] == j)
+def runs(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each value of the keys, from batches sorted by them."""
+    held: list[pa.Table] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        values = [t.column(k).to_numpy() for k in keys]
+        cuts = [0, *(np.flatnonzero(np.logical_or.reduce([v[1:] != v[:-1] for v in values])) + 1).tolist(), t.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            key = tuple(v[lo] for v in values)
+            if held and key != last:
+                yield pa.concat_tables(held)
+                held = []
+            held.append(t.slice(lo, hi - lo))
+            last = key
+    if held:
+        yield pa.concat_tables(held)
+
+
+def candidates(t: pa.Table, bits: list[bytes], n: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Row number, and row numbers of those of other components that bit counts let link with it, of the rows of a block."""
+    own, root = t.column("own").to_numpy(), t.column("root").to_numpy()
+    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
     if not len(left) or not len(right):
         return
-    size = min(map(len, f["bits"]))
-    bits = np.stack([fold(np.frombuffer(b, dtype=np.uint8), size) for b in f["bits"]]).view(np.uint64)
-    n, root = f["n_shingles"].to_numpy(), f["root"].to_numpy()
-    theirs, m, r = bits[right], n[right], root[right]
+    size = min(map(len, bits))
+    folded = np.stack([fold(np.frombuffer(b, dtype=np.uint8), size) for b in bits]).view(np.uint64)
+    theirs, m, r = folded[right], n[right], root[right]
     for k in left:
-        apart = np.bitwise_count(theirs ^ bits[k]).sum(axis=1, dtype=np.int64)
+        apart = np.bitwise_count(theirs ^ folded[k]).sum(axis=1, dtype=np.int64)
         good = may_link(n[k], m, apart, percent) & (r != root[k])
         if i == j:
             good &= right > k
@@ -285,38 +312,41 @@ def candidates(f: pd.DataFrame, i: int, j: int, percent: int) -> Iterator[tuple[
 
 def searched(open_: DataFrame, sides: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, n: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) that join the components of open tiles; of a block's links those that span them."""
-    rows = in_blocks(open_).join(sides, "set")
+    block = ("tile", "i", "j")
+    together = lambda rows: rows.repartition(*block).sortWithinPartitions(*block)
     id_type = sides.schema["want"].dataType.simpleString()
 
-    def survivors(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        seen = [np.append(them, k) for k, them in candidates(f, key[1], key[2], percent)]
-        return f.loc[np.unique(np.concatenate(seen)) if seen else [], ["tile", "i", "j", "own", "set", "root", "want"]]
+    def survivors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, block):
+            seen = [np.append(them, k) for k, them in candidates(t, t.column("bits").to_pylist(), t.column("n_shingles").to_numpy(), percent)]
+            if seen:
+                yield from t.take(np.unique(np.concatenate(seen))).select([*block, "own", "set", "root", "want"]).to_batches()
 
-    left = rows.groupBy("tile", "i", "j").applyInPandas(survivors, f"tile bigint, i int, j int, own int, set bigint, root bigint, want {id_type}")
-    left = scratch.keep(left, "survivors")
+    rows = in_blocks(open_, percent).join(sides, "set").select(*block, "own", "set", "root", "n_shingles", "bits", "want")
+    left = scratch.keep(together(rows).mapInArrow(survivors, f"tile bigint, i int, j int, own int, set bigint, root bigint, want {id_type}"), "survivors")
     sets = arrays_of(left.select("set", "want").distinct(), docs, id_col, text_col, n)
 
-    def spanning(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.reset_index(drop=True)
-        arrays = [np.frombuffer(x, dtype=np.uint64) for x in f["hashes"]]
-        f["n_shingles"], f["bits"] = np.array([len(x) for x in arrays], dtype=np.int64), [bitmap(x) for x in arrays]
-        above: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while above.get(x, x) != x:
-                x = above[x]
-            return x
-
-        out, sets, roots = [], f["set"].to_numpy(), f["root"].to_numpy()
-        for k, them in candidates(f, key[1], key[2], percent):
-            for o in them:
-                x, y = top(roots[k]), top(roots[o])
-                if x != y and linked(arrays[k], arrays[o], percent):
-                    above[max(x, y)] = min(x, y)
-                    out.append((sets[k], sets[o]))
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    found = left.drop("want").join(sets, "set").groupBy("tile", "i", "j").applyInPandas(spanning, "a bigint, b bigint")
+    def spanning(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, block):
+            arrays = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in t.column("hashes")]
+            above: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while above.get(x, x) != x:
+                    x = above[x]
+                return x
+
+            out, ids, roots = [], t.column("set").to_pylist(), t.column("root").to_pylist()
+            for k, them in candidates(t, [bitmap(x) for x in arrays], np.array([len(x) for x in arrays], dtype=np.int64), percent):
+                for o in them:
+                    x, y = top(roots[k]), top(roots[o])
+                    if x != y and linked(arrays[k], arrays[o], percent):
+                        above[max(x, y)] = min(x, y)
+                        out.append((ids[k], ids[o]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+    found = together(left.drop("want").join(sets, "set").select(*block, "own", "set", "root", "hashes")).mapInArrow(spanning, "a bigint, b bigint")
     out = scratch.keep(found.distinct(), "links")
     scratch.drop(left)
     return out
