@@ -1,20 +1,27 @@
 """Line dedup: an edit-distance join of all distinct lines by segment partition.
 
-A line goes when an equal line, or one within `edits` edits, stands earlier; earlier means a
-smaller (document id, line number) at first occurrence. Lines under `min_chars` characters stay,
-unless `exact_chars` names a lower bound from which equal lines that are not blank go all the same.
+A line goes when an equal line stands earlier, whatever its length, or when it has at least
+`min_chars` characters and a line of as many, within `edits` edits of it, stands earlier; earlier
+means a smaller (document id, line number) at first occurrence. Blank lines stay.
 
 Method: every distinct line is cut into edits + 1 even segments. If two lines are within
 `edits` edits, a segment of the shorter one occurs in the longer one, displaced by no more than
 the edits allow. So each line enters an index under (its length, segment number, hash of the
 segment) and probes it with the substrings of itself that may match, for each length down to
 its own less `edits`: lengths are part of the key, and the displacements tried are those that
-leave enough edits for either side (multi-match-aware selection). Candidates are verified by a
-banded bit-parallel edit distance: the band of 2 * edits + 1 diagonals fits one long.
+leave enough edits for either side (multi-match-aware selection). An index entry's key is also a
+probe of its own line, so each key of a line is sent once, with its part in it.
 
-Lines are known by two 64-bit hashes. The one shuffle of whole texts is by document id; it serves
-the keys, which only first occurrences enter, the verification, which fetches the lines of
-candidates, and the result. All else that is shuffled is hashes and places.
+Distinct lines bear a number in the order of their first places, so only earlier lines answer.
+First each line is held against the earliest line of each of its keys; lines so found are done
+with. The others meet all earlier lines of their keys, in a join whose condition compares 64-bit
+signatures: the parity of the number of each character, of which an edit changes two at most.
+What passes is verified by a banded bit-parallel edit distance: the band of 2 * edits + 1
+diagonals fits one long. So lines that merely share a segment never leave the join as pairs.
+
+Lines are known by two 64-bit hashes. Whole texts are shuffled once for the keys, which only
+first occurrences enter, and once for the result; all else is hashes, places, and the lines that
+share a key with another one.
 
 Defined cases: null texts stay null and have no lines; empty lines stay; rows that share an id
 and line number tie and both count as first; null ids sort first; an empty table stays empty.
@@ -22,13 +29,16 @@ and line number tie and both count as first; null ids sort first; an empty table
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, once
+from .common import Scratch, once
 
 EDITS = 2
+#: Characters of a line from which near lines are sought; two edits make another line of a short one.
 MIN_CHARS = 25
+#: Places of lines to fetch, or to take out, that are broadcast, at about 50 bytes each; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def segment(length: str, i: int, parts: int) -> tuple[str, str]:
@@ -38,21 +48,21 @@ def segment(length: str, i: int, parts: int) -> tuple[str, str]:
     return f"({lo} + 1)", f"({hi} - {lo})"
 
 
-def index_keys(edits: int) -> str:
-    parts = [segment("len", i, edits + 1) for i in range(edits + 1)]
-    return "array(" + ", ".join(f"xxhash64(substring(line, {p}, {n}), len, {i})" for i, (p, n) in enumerate(parts)) + ")"
-
-
-def probe_keys(edits: int) -> str:
+def keys_of(edits: int) -> str:
+    """SQL: the keys of a line, with part 3 where they are its index entries (and probes), 2 where they are probes only."""
     keys = []
     for less in range(edits + 1):
         for i in range(edits + 1):
             p, n = segment(f"(len - {less})", i, edits + 1)
             for by in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
-                keys.append(f"xxhash64(substring(line, {p} + {by}, {n}), len - {less}, {i})")
+                keys.append(f"struct(xxhash64(substring(line, {p} + {by}, {n}), len - {less}, {i}) AS key, {2 if less or by else 3} AS part)")
     return "array(" + ", ".join(keys) + ")"
 
 
+#: SQL: one bit for each character number modulo 64, set if such characters are odd in number.
+SIGNATURE = "aggregate(split(line, ''), 0L, (s, c) -> s ^ shiftleft(1L, ascii(c) % 64))"
+
+
 def banded_distance(a: str, b: str, edits: int) -> str:
     """SQL: the edit distance of the strings a and b if it is at most `edits`, else a larger number.
 
@@ -81,69 +91,91 @@ def banded_distance(a: str, b: str, edits: int) -> str:
           s -> s.d))[0])[0] END"""
 
 
-def lines_of(docs: DataFrame, min_chars: int, exact_chars: int | None = None) -> DataFrame:
-    """doc_id, no, the hashes and is_long (for the near search) of all lines that are long enough; docs has doc_id and text."""
-    n = F.length("line")
-    asked = n >= min_chars if exact_chars is None else (n >= min_chars) | ((n >= exact_chars) & F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    d = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(asked)
-    return d.select("doc_id", "no", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), (n >= min_chars).alias("is_long"))
+def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
+    """doc_id, no, the hashes and is_long (for the near search) of all lines that are not blank; docs has doc_id and text."""
+    d = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    return d.select("doc_id", "no", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), (F.length("line") >= min_chars).alias("is_long"))
 
 
 def texts_of(places: DataFrame, docs: DataFrame) -> DataFrame:
-    """h1, h2 and the line itself of places (doc_id, no, h1, h2)."""
-    asked = places.groupBy(F.col("doc_id").alias("asked_id")).agg(F.collect_list(F.struct("no", "h1", "h2")).alias("asked"))
-    both = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("asked_id")))
+    """ord and line of places (doc_id, no, h1, ord)."""
+    few = places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    asked = places.groupBy(F.col("doc_id").alias("asked_id")).agg(F.collect_list(F.struct("no", "h1", "ord")).alias("asked"))
+    both = docs.join(F.broadcast(asked) if few else asked, F.col("doc_id").eqNullSafe(F.col("asked_id")))
     # A text is split once, not anew for each of its lines that are asked for.
     split = both.select("asked", once(F.split("text", "\n")).alias("ls"))
-    lines = split.select(F.explode(F.expr("transform(asked, x -> struct(x.h1, x.h2, get(ls, x.no) AS line))")).alias("x")).select("x.*")
-    # Rows that share an id are told apart by the hash.
-    return lines.where(F.xxhash64("line") == F.col("h1"))
+    lines = split.select(F.explode(F.expr("transform(asked, x -> struct(x.ord, x.h1, get(ls, x.no) AS line))")).alias("x")).select("x.*")
+    # Rows that share an id are told apart by the hash; equal ones among them give a line twice.
+    return lines.where(F.xxhash64("line") == F.col("h1")).select("ord", "line")
 
 
-def similar_lines(first: DataFrame, docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Links of different lines within `edits` edits: a1, a2, b1, b2 (their hashes; a is not shorter than b), each once.
+def alike(x: Column, y: Column, edits: int) -> Column:
+    """Whether signatures allow so many edits."""
+    return F.bit_count(x.bitwiseXOR(y)) <= 2 * edits
 
-    first names each distinct line and a place of it: h1, h2, doc_id, no.
-    """
+
+def within(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """x of the pairs (x, y) of line numbers that are within `edits` edits; lines: ord, line, sig."""
+    side = lambda x: lines.select(F.col("ord").alias(x), F.col("line").alias(f"line_{x}"), F.col("sig").alias(f"sig_{x}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y").where(alike(F.col("sig_x"), F.col("sig_y"), edits))
+    return both.where(F.expr(f"{banded_distance('line_x', 'line_y', edits)} <= {edits}")).select("x").distinct()
+
+
+def near_lines(first: DataFrame, docs: DataFrame, edits: int, scratch: Scratch) -> DataFrame:
+    """ord of each line that has an earlier one within `edits` edits; first: ord, h1, doc_id, no of each distinct line."""
     keyed = texts_of(first, docs).withColumn("len", F.length("line"))
-    index = keyed.select(F.explode(F.expr(index_keys(edits))).alias("key"), F.col("h1").alias("b1"))
-    probes = keyed.select(F.explode(F.expr(probe_keys(edits))).alias("key"), F.col("h1").alias("a1"))
-    pairs = probes.join(index, (probes.key == index.key) & (probes.a1 != index.b1)).select("a1", "b1").distinct()
-    pairs = materialize(pairs, "line-pairs")
-    asked = pairs.select(F.col("a1").alias("x")).union(pairs.select("b1")).distinct()
-    lines = texts_of(first.join(asked, first.h1 == F.col("x"), "left_semi"), docs)
-    side = lambda x: lines.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("line").alias(f"line_{x}"))
-    both = pairs.join(side("a"), "a1").join(side("b"), "b1")
-    return both.where(F.expr(f"{banded_distance('line_b', 'line_a', edits)} <= {edits}")).select("a1", "a2", "b1", "b2")
-
-
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
+    each = keyed.select("ord", F.explode(F.expr(keys_of(edits))).alias("k")).select("ord", "k.key", "k.part")
+    of_key, entry = Window.partitionBy("key"), F.when(F.col("part") == 3, F.col("ord"))
+    met = each.select(
+        "key", "part", "ord", F.min("ord").over(of_key).alias("least"), F.max("ord").over(of_key).alias("most"),
+        F.min(entry).over(of_key).alias("least_entry"), F.max(entry).over(of_key).alias("most_entry"),
+    )
+    other = lambda lo, hi: (F.col(lo) != F.col("ord")) | (F.col(hi) != F.col("ord"))
+    met = met.where(other("least_entry", "most_entry") | ((F.col("part") == 3) & other("least", "most")))
+    met = scratch.keep(met.select("key", "part", "ord", "least", "least_entry").distinct(), "met")
+    asked = first.join(met.select("ord").distinct(), "ord", "left_semi")
+    lines = scratch.keep(texts_of(asked, docs).dropDuplicates(["ord"]).withColumn("sig", F.expr(SIGNATURE)), "texts")
+    tried = met.select(F.col("ord").alias("x"), F.explode(F.array("least_entry", F.when(F.col("part") == 3, F.col("least")))).alias("y")).where("y < x").distinct()
+    near = scratch.keep(within(tried, lines, edits), "near")
+    signed = met.join(lines.select("ord", "sig"), "ord")
+    x = signed.join(near, signed.ord == near.x, "left_anti").where("ord > least").select("key", F.col("ord").alias("x"), F.col("part").alias("part_x"), F.col("sig").alias("sig_x"), "least", "least_entry")
+    y = signed.select("key", F.col("ord").alias("y"), F.col("part").alias("part_y"), F.col("sig").alias("sig_y"))
+    new = "y < x AND ((part_y = 3 AND y <> least_entry) OR (part_x = 3 AND y <> least AND NOT (part_y = 3 AND y = least_entry)))"
+    pairs = x.join(y, (x.key == y.key) & F.expr(new) & alike(F.col("sig_x"), F.col("sig_y"), edits)).select("x", "y").distinct()
+    return near.union(within(pairs, lines, edits))
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, no and near (false: an equal line stands earlier) of every line that goes."""
+    scratch = Scratch(docs.sparkSession, "line-dedup")
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    at = lines_of(own, min_chars, exact_chars)
+    at = scratch.keep(lines_of(own, min_chars), "lines")
     first = at.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count(F.lit(1)).alias("n"), F.max("is_long").alias("is_long"))
-    first = materialize(first.select("h1", "h2", "first.doc_id", "first.no", "n", "is_long"), "lines")
-    links = materialize(similar_lines(first.where("is_long").select("h1", "h2", "doc_id", "no"), own, edits), "line-links")
-    ways = links.select(F.col("a1").alias("x1"), F.col("a2").alias("x2"), F.col("b1").alias("y1"), F.col("b2").alias("y2"))
-    ways = ways.union(ways.select("y1", "y2", "x1", "x2"))
-    place = F.struct(F.col("doc_id"), F.col("no"))
-    other = ways.join(first, (F.col("y1") == first.h1) & (F.col("y2") == first.h2)).groupBy("x1", "x2").agg(F.min(place).alias("near_first"))
-    seen = first.join(other, (first.h1 == F.col("x1")) & (first.h2 == F.col("x2")), "left").select("h1", "h2", F.col("doc_id").alias("f_id"), F.col("no").alias("f_no"), F.coalesce(F.col("near_first") < place, F.lit(False)).alias("near"), "n")
-    gone = seen.where("n > 1 OR near").drop("n")
+    unordered = scratch.keep(first.select("h1", "h2", "first.doc_id", "first.no", "n", "is_long"), "distinct")
+    # Numbers ascend with the places, as the partitions are ranges of them.
+    first = scratch.keep(unordered.repartitionByRange("doc_id", "no").sortWithinPartitions("doc_id", "no").withColumn("ord", F.monotonically_increasing_id()), "first")
+    scratch.drop(unordered)
+    near = near_lines(first.where("is_long").select("ord", "h1", "doc_id", "no"), own, edits, scratch)
+    near = near.withColumn("near", F.lit(True))
+    gone = first.join(near, first.ord == near.x, "left").where("n > 1 OR near").select("h1", "h2", F.col("doc_id").alias("f_id"), F.col("no").alias("f_no"), F.coalesce("near", F.lit(False)).alias("near"))
     is_first = F.col("f_id").eqNullSafe(F.col("doc_id")) & (F.col("f_no") == F.col("no"))
-    return at.join(gone, ["h1", "h2"]).where(F.col("near") | ~is_first).select("doc_id", "no", (F.col("near") & is_first).alias("near"))
+    found = at.join(gone, ["h1", "h2"]).where(F.col("near") | ~is_first).select("doc_id", "no", (F.col("near") & is_first).alias("near"))
+    found = scratch.keep(found, "gone")
+    scratch.drop_all_but(found)
+    return found
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the lines that go taken out of the text, and the columns n_lines, n_exact and n_near (long).
 
     A text of which no line stays is empty. Other columns are kept, but for ones of these three names.
     """
     rest = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
     ids, nos, exact, near = (next(n for n in (f"_gone{'_' * k}_{x}" for k in range(len(rest) + 1)) if n not in rest) for x in ("id", "nos", "exact", "near"))
-    found = repeated_lines(docs, id_col, text_col, edits, min_chars, exact_chars)
+    found = repeated_lines(docs, id_col, text_col, edits, min_chars)
+    few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     gone = found.groupBy(F.col("doc_id").alias(ids)).agg(F.collect_set("no").alias(nos), F.count_if(~F.col("near")).alias(exact), F.count_if("near").alias(near))
-    out = docs.select(rest).join(gone, F.col(id_col).eqNullSafe(F.col(ids)), "left")
+    out = docs.select(rest).join(F.broadcast(gone) if few else gone, F.col(id_col).eqNullSafe(F.col(ids)), "left")
     text = F.when(F.col(nos).isNull(), F.col(text_col)).otherwise(F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (l, i) -> NOT array_contains(`{nos}`, i)), '\\n')"))
     return out.select(
         *[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in rest],

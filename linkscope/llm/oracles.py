@@ -83,10 +83,11 @@ FROM d LEFT JOIN said USING (rid) GROUP BY rid, d.doc_id
 
 OP10 = f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents),
-d AS (SELECT line, length(line) AS n, min((doc_id, no)) AS first FROM l WHERE length(line) >= {MIN_CHARS} GROUP BY line),
+d AS (SELECT line, length(line) AS n, min((doc_id, no)) AS first FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY line),
+long AS (SELECT * FROM d WHERE n >= {MIN_CHARS}),
 pairs AS (
   SELECT a.line AS x, b.line AS y, a.first AS fx, b.first AS fy
-  FROM d a JOIN d b ON a.n BETWEEN b.n AND b.n + {EDITS} AND a.line <> b.line AND ({
+  FROM long a JOIN long b ON a.n BETWEEN b.n AND b.n + {EDITS} AND a.line <> b.line AND ({
       " OR ".join(f"contains(a.line, substr(b.line, ({i} * b.n) // {EDITS + 1} + 1, (({i + 1} * b.n) // {EDITS + 1}) - (({i} * b.n) // {EDITS + 1})))" for i in range(EDITS + 1))})
   WHERE levenshtein(a.line, b.line) <= {EDITS}),
 near AS (SELECT x AS line FROM pairs WHERE fy < fx UNION SELECT y FROM pairs WHERE fx < fy),

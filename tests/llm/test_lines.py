@@ -4,12 +4,12 @@ import corpus_pipeline
 from linkscope.llm import line_dedup
 
 
-def test_equal_short_lines_go_where_asked(spark):
+def test_equal_short_lines_go_(spark):
     long = "a line of more than twenty-five characters"
     texts = {1: f"Menu\n\n{long}\nMenux", 2: f"Menu\n\n  \n{long}!\nown", 3: "  \nMenu\nMenu\nlast"}
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
     want = {1: texts[1], 2: "\n  \nown", 3: "  \nlast"}
-    out = line_dedup.dedup_lines(docs, exact_chars=1).collect()
+    out = line_dedup.dedup_lines(docs).collect()
     assert {x.doc_id: x.text for x in out} == want
     assert {x.doc_id: (x.n_exact, x.n_near) for x in out} == {1: (0, 0), 2: (1, 1), 3: (2, 0)}
     assert {x.doc_id: x.text for x in corpus_pipeline.line_dedup_stage(spark, docs, "").collect()} == want

@@ -51,15 +51,15 @@ def test_banded_distance(spark, edits):
 def test_line_dedup_equals_brute_force(spark):
     r = random.Random(8)
     base = ["".join(r.choice("abcdefgh ") for _ in range(r.randint(26, 60))) for _ in range(12)]
-    texts = [(i, "\n".join(edited(r, r.choice(base), r.choice([0, 0, 1, 2, 3, 4])) if r.random() < 0.8 else r.choice(["short", ""]) for _ in range(r.randint(1, 5)))) for i in range(60)]
+    texts = [(i, "\n".join(edited(r, r.choice(base), r.choice([0, 0, 1, 2, 3, 4])) if r.random() < 0.8 else r.choice(["short", "", " "]) for _ in range(r.randint(1, 5)))) for i in range(60)]
     docs = frame(spark, texts + [e for e in EDGES if e[0]])
     first = {}
     for i, t in sorted((i, t) for i, t in texts):
         for n, line in enumerate(t.split("\n")):
-            if len(line) >= 25:
+            if line.strip(" "):
                 first.setdefault(line, (i, n))
-    near = {a for a in first for b in first if a != b and first[b] < first[a] and distance(a, b) <= 2}
-    want = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if len(x) < 25 or (first[x] == (i, n) and x not in near)) for i, t in texts}
+    near = {a for a in first for b in first if a != b and len(a) >= 25 and len(b) >= 25 and first[b] < first[a] and distance(a, b) <= 2}
+    want = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if not x.strip(" ") or (first[x] == (i, n) and x not in near)) for i, t in texts}
     got = line_dedup.dedup_lines(docs).collect()
     assert {x.doc_id: x.text for x in got if x.doc_id < 900} == want
     assert len(got) == docs.count() and {x["_gone_id"] for x in got} == {"clash"}
