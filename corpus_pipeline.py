@@ -19,13 +19,14 @@ TOXIC_FROM = 0.3
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier rejects."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
-    scored = toxicity.score(docs, model, keep=tuple(docs.columns), out="_toxicity")
-    return scored.where(F.col("_toxicity") < TOXIC_FROM).select(docs.columns)
+    out = next(c for c in (f"_toxicity{k}" for k in range(len(docs.columns) + 1)) if c not in docs.columns)
+    scored = toxicity.score(docs, model, keep=tuple(docs.columns), out=out)
+    return scored.where(F.col(out) < TOXIC_FROM).select(docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without lines of any length that repeat earlier ones, or ones of 25 characters or more that differ by two edits at most."""
-    out = line_dedup.dedup_lines(docs, exact_chars=1)
+    """Without lines that repeat earlier ones, or ones of 25 characters or more that differ by two edits at most."""
+    out = line_dedup.dedup_lines(docs)
     gone = (F.col("n_exact") + F.col("n_near") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return out.where(~F.coalesce(gone, F.lit(False))).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
