@@ -23,12 +23,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import Scratch, shared_dir
 from .token_ids import slices, word_table
 
 BLOCK_TOKENS = 1 << 20
@@ -63,53 +62,51 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n and the compressed ids of each text."""
+    """doc_id and ids of each text, and a row for each task with the ids that it met and their counts."""
     id_type = docs.schema[id_col].dataType.simpleString()
+    names = ["doc_id", "ids", "met", "counts"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, end, press = word_table(tokenizer), end_id.to_bytes(4, "little"), zstandard.ZstdCompressor(level=1)
+        table, end, total, id_pa = word_table(tokenizer), end_id.to_bytes(4, "little"), np.zeros(0, dtype=np.int64), None
         for batch in batches:
+            id_pa = batch.schema.field(0).type
             for part in slices(batch):
                 ids = [x + end for x in table.encode(part.column(1).to_pylist())]
-                packed = [press.compress(shrink(x)) for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n", "ids"])
+                n = np.bincount(np.frombuffer(b"".join(ids), dtype="<u4"))
+                if len(n) > len(total):
+                    n, total = total, n
+                total[: len(n)] += n
+                none = pa.nulls(part.num_rows, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shrink(x) for x in ids], pa.binary()), none, none], names)
+        if id_pa is not None:
+            met = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_pa), pa.nulls(1, pa.binary()), pa.array([met], pa.list_(pa.int64())), pa.array([total[met]], pa.list_(pa.int64()))], names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {id_type}, n bigint, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {id_type}, ids binary, met array<bigint>, counts array<bigint>")
 
 
 def shrink(ids: bytes) -> bytes:
-    """Two bytes an id where all fit, with a leading byte that says so; it packs twice as well."""
+    """Two bytes an id where all fit, with a leading byte that says so."""
     a = np.frombuffer(ids, dtype="<u4")
     return b"\2" + a.astype("<u2").tobytes() if a.max(initial=0) < 1 << 16 else b"\4" + ids
 
 
 def grow(packed: bytes) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(packed)
-    return np.frombuffer(raw, dtype=f"<u{raw[0]}", offset=1)
+    return np.frombuffer(packed, dtype=f"<u{packed[0]}", offset=1)
 
 
 def by_frequency(tokens: DataFrame) -> np.ndarray:
     """All ids that occur, the most frequent first (ties: the smaller id); at most as many as the vocabulary has."""
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, dtype=np.int64)
-        for batch in batches:
-            for x in batch.column(0):
-                n = np.bincount(grow(x.as_py()))
-                if len(n) > len(total):
-                    total = np.append(total, np.zeros(len(n) - len(total), dtype=np.int64))
-                total[: len(n)] += n
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
-
-    counts = tokens.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    each = tokens.where("met IS NOT NULL").select(F.explode(F.arrays_zip("met", "counts")).alias("x")).select("x.*")
+    counts = each.groupBy(F.col("met").alias("id")).agg(F.sum("counts").alias("n")).toPandas()
     return counts.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(dtype=np.uint32)
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> None:
     """Write path/blocks and path/ranks."""
     spark = docs.sparkSession
-    tokens = materialize(tokenized(docs, tokenizer, end_id, id_col, text_col), "tokens")
+    scratch = Scratch(spark, "ids")
+    tokens = scratch.keep(tokenized(docs, tokenizer, end_id, id_col, text_col), "tokens")
     ids = by_frequency(tokens)
     spark.createDataFrame(pd.DataFrame({"rank": np.arange(len(ids)), "id": ids.astype(np.int64)}), "rank bigint, id bigint").coalesce(1).write.parquet(f"{path}/ranks")
     id_type = tokens.schema["doc_id"].dataType.simpleString()
@@ -139,8 +136,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_co
         if held:
             yield block()
 
-    ordered = tokens.select("doc_id", "ids").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    ordered = tokens.where("ids IS NOT NULL").select("doc_id", "ids").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     ordered.mapInArrow(blocks, f"part int, before bigint, n bigint, doc_ids array<{id_type}>, lengths array<bigint>, control binary, data binary").write.parquet(f"{path}/blocks")
+    scratch.drop(tokens)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
