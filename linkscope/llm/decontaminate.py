@@ -1,15 +1,20 @@
 """Benchmark decontamination by spaced seeds.
 
-A mask such as 11011011 hashes the words under its ones and ignores those under its zeros, so a
-substituted word under a zero does no harm. Hashes of every place of every benchmark item meet
+A mask such as 1111011 hashes the words under its ones and ignores those under its zeros, so a
+substituted word under a zero does no harm. The two masks were chosen by enumeration: each pattern
+of substitutions that `similarity` allows in `window` words leaves some place of some mask whole
+(a test enumerates them). Items that a mask may not fit are sought whole as well, by a mask of all
+their words, so any item that a document holds verbatim is found. Hashes of every place of every benchmark item meet
 those of every place of every document; each hit fixes an alignment, which is verified on the
 words themselves: some window of `window` aligned words around the hit must agree in at least
 `similarity` of its places.
 
 Words are maximal runs of letters and digits of the lower-cased text, so case and punctuation
-do not matter. Defined cases: null and empty texts have no words and match nothing; items of
-fewer words than a mask spans are not sought with it; rows that share a doc_id or an item_id
-give one row for each pair of ids; null ids are ids like others; ties take the earliest place.
+do not matter. Defined cases: null and empty texts have no words and match nothing; items of fewer
+words than a mask spans are found if the text has all their words in a row (of 11 and 12 words,
+some patterns of two substitutions are missed, of 10 and fewer most); rows that share a doc_id or
+an item_id give one row for each pair of ids; null ids are ids like others; ties take the earliest
+place.
 """
 
 from __future__ import annotations
@@ -19,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import once
 
-#: Two masks of six words each: no single substitution pattern defeats both everywhere.
-MASKS = ("11011011", "1010011101")
+#: Six words each. Of the 78 patterns of two substitutions in 13 words, each leaves a hit.
+MASKS = ("1010001111", "1111011")
 WINDOW = 13
 SIMILARITY = 0.8
 #: Up to this number the seeds of a benchmark are broadcast (hash, id, hash of the item and place each), and apart from
@@ -32,69 +37,76 @@ def words_sql(text: str) -> str:
     return f"array_remove(split(lower(coalesce({text}, '')), '[^\\\\p{{L}}\\\\p{{N}}]+'), '')"
 
 
-def seeds_sql(ws: str, mask: str, no: int) -> str:
-    """SQL for the hashes of all places of a mask, in order; the mask's number is part of the hash."""
-    picked = ", ".join(f"{ws}[i + {k}]" if k else f"{ws}[i]" for k, c in enumerate(mask) if c == "1")
-    return f"CASE WHEN size({ws}) < {len(mask)} THEN cast(array() AS array<bigint>) ELSE transform(sequence(0, size({ws}) - {len(mask)}), i -> xxhash64({picked}, {no})) END"
+def seed_sql(ws: str, i: str, mask: str) -> str:
+    """SQL for the hash of a mask at place i (from 0) of the words; the mask is part of the hash, and null where it does not fit."""
+    picked = ", ".join(f"{ws}[{i} + {k}]" for k, c in enumerate(mask) if c == "1")
+    return f"CASE WHEN {i} + {len(mask)} <= size({ws}) THEN xxhash64({picked}, '{mask}') END"
+
+
+def seeds_of(rows: DataFrame, ws: str, masks: tuple[str, ...], place: str) -> DataFrame:
+    """rows with the columns place, mask (its number) and h, for each place of each mask.
+
+    Places are rows before they are hashed, so that the hashes are compiled code, not lambdas over arrays.
+    """
+    each = rows.where(f"size({ws}) >= {min(map(len, masks))}").select("*", F.explode(F.expr(f"sequence(0, size({ws}) - 1)")).alias(place))
+    hashes = F.array(*[F.expr(seed_sql(ws, place, m)) for m in masks])
+    return each.select("*", F.posexplode(hashes).alias("mask", "h")).where("h IS NOT NULL")
 
 
 def items_of(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return benchmark.select(F.col(id_col).alias("item_id"), once(F.expr(words_sql(f"`{text_col}`"))).alias("item")).distinct()
+    """item_id, item (its words) and item_h (their hash, which tells items of one id apart)."""
+    return benchmark.select(F.col(id_col).alias("item_id"), once(F.expr(words_sql(f"`{text_col}`"))).alias("item")).distinct().withColumn("item_h", F.xxhash64("item"))
+
 
+def masks_for(items: DataFrame, masks: tuple[str, ...]) -> tuple[str, ...]:
+    """The masks, and one of all words for each length of items that a mask may not fit."""
+    short = items.where(F.size("item").between(1, max(map(len, masks)) - 1)).select(F.size("item").alias("n")).distinct().collect()  # fewer lengths than a mask is long
+    return (*masks, *("1" * r.n for r in sorted(short)))
 
-def seeds_of(items: DataFrame, masks=MASKS) -> DataFrame:
-    """h, item_id, item_h (a hash of the words, which tells items of one id apart) and the place q of each seed."""
-    placed = items.select("item_id", F.xxhash64("item").alias("item_h"), F.explode(F.array(*[F.expr(seeds_sql("item", m, n)) for n, m in enumerate(masks)])).alias("hs"))
-    return placed.select("item_id", "item_h", F.posexplode("hs").alias("q", "h"))
+
+def verified_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
+                  masks: tuple[str, ...] = MASKS, window: int = WINDOW, similarity: float = SIMILARITY, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+    """doc_id, text_h (a hash of the text), item_id, item_words, first_word, agreeing of each verified hit."""
+    items = items_of(benchmark, item_id_col, item_text_col)
+    masks = masks_for(items, masks)
+    # A mask of all words of a short item is for items of that length only.
+    seeds = seeds_of(items, "item", masks, "q").where(F.expr(" AND ".join([f"(mask <> {k} OR size(item) = {len(m)})" for k, m in enumerate(masks) if "0" not in m] or ["true"])))
+    seeds = seeds.select("h", "item_id", "item_h", "q")
+    small = seeds.select("h").limit(broadcast_seeds + 1).count() <= broadcast_seeds
+    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_h"), once(F.expr(words_sql(f"`{text_col}`"))).alias("ws"))
+    sought = items.select(F.col("item_id").alias("i_id"), F.col("item_h").alias("i_h"), "item")
+    same_item = F.col("item_id").eqNullSafe(F.col("i_id")) & (F.col("item_h") == F.col("i_h"))
+    placed = seeds_of(d, "ws", masks, "p")
+    if small:
+        hits = placed.join(F.broadcast(seeds), "h").join(F.broadcast(sought), same_item)
+    else:
+        # Words stay behind: rows of hashes meet, and AQE splits those of a seed that many texts have.
+        found = placed.select(F.col("doc_id").alias("d_id"), F.col("text_h").alias("d_h"), "p", "mask", "h").join(seeds.hint("merge"), "h").drop("h").distinct()
+        # Estimates of sizes know nothing of exploded places and arrays of words, so the hints: neither is ever broadcast.
+        hits = found.join(d.hint("merge"), F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_h") == F.col("text_h"))).join(sought, same_item)
+    aligned = hits.select("doc_id", "text_h", "item_id", (F.col("p") - F.col("q")).alias("first_word"), "q", F.size("item").alias("item_words"), once(F.expr("transform(item, (w, j) -> int(coalesce(get(ws, p - q + j) = w, false)))")).alias("eq"))
+    w, span = f"least({window}, item_words)", min(len(m) for m in masks if "0" in m)
+    good = aligned.where(F.expr(f"exists(sequence(greatest(0, q + least({span}, {w}) - {w}), greatest(0, least(q, item_words - {w}))), s -> aggregate(slice(eq, s + 1, {w}), 0, (a, x) -> a + x) >= {similarity} * {w})"))
+    return good.select("doc_id", "text_h", "item_id", "item_words", "first_word", F.expr("aggregate(eq, 0, (a, x) -> a + x)").alias("agreeing"))
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
-                  masks=MASKS, window: int = WINDOW, similarity: float = SIMILARITY, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """One row for each (document, item) with a verified overlap: doc_id, item_id, item_words, n_hits, first_word, agreeing.
 
     first_word is the place in the document where the earliest aligned item would begin (negative
     if the document starts inside the item); agreeing counts equal places of the best alignment;
     n_hits counts a place of an item at a place of a row once for each mask that finds it.
     """
-    items = items_of(benchmark, item_id_col, item_text_col)
-    seeds = seeds_of(items, masks).select("h", "item_id", "item_h", "q")
-    small = seeds.select("h").limit(broadcast_seeds + 1).count() <= broadcast_seeds
-    d = docs.select(F.col(id_col).alias("doc_id"), once(F.expr(words_sql(f"`{text_col}`"))).alias("ws"))
-    hashes = F.expr("concat(" + ", ".join(seeds_sql("ws", m, n) for n, m in enumerate(masks)) + ")")
-    sought = items.where(F.size("item") >= min(map(len, masks))).select(F.col("item_id").alias("i_id"), F.xxhash64("item").alias("i_h"), "item")
-    same_item = F.col("item_id").eqNullSafe(F.col("i_id")) & (F.col("item_h") == F.col("i_h"))
-    if small:
-        found = d.select("doc_id", "ws", F.posexplode(hashes).alias("i", "h")).join(F.broadcast(seeds), "h")
-        found = found.select("doc_id", "ws", "item_id", "item_h", "q", F.expr(place_sql("ws", masks)).alias("p"))
-        hits = found.join(F.broadcast(sought), same_item)
-    else:
-        found = d.select("doc_id", F.xxhash64("ws").alias("doc_h"), F.size("ws").alias("n"), F.posexplode(hashes).alias("i", "h")).join(seeds, "h")
-        # Entry i tells mask and place. Equal rows of one id meet each of their hits again in the join below.
-        found = found.select(F.col("doc_id").alias("d_id"), F.col("doc_h").alias("d_h"), "item_id", "item_h", "q", "i", F.expr(place_sql(None, masks)).alias("p")).distinct()
-        own = d.withColumn("doc_h", F.xxhash64("ws"))
-        hits = found.join(own, F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_h") == F.col("doc_h"))).join(sought, same_item)
-    aligned = hits.select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("first_word"), "q", F.size("item").alias("item_words"), once(F.expr("transform(item, (w, j) -> int(coalesce(get(ws, p - q + j) = w, false)))")).alias("eq"))
-    w = f"least({window}, item_words)"
-    span = min(map(len, masks))
-    verified = aligned.where(F.expr(f"exists(sequence(greatest(0, q + {span} - {w}), greatest(0, least(q, item_words - {w}))), s -> aggregate(slice(eq, s + 1, {w}), 0, (a, x) -> a + x) >= {similarity} * {w})"))
-    return verified.groupBy("doc_id", "item_id").agg(
+    return verified_hits(docs, benchmark, **options).groupBy("doc_id", "item_id").agg(
         F.max("item_words").cast("long").alias("item_words"),
         F.count(F.lit(1)).alias("n_hits"),
         F.min("first_word").cast("long").alias("first_word"),
-        F.max(F.expr("aggregate(eq, 0, (a, x) -> a + x)")).cast("long").alias("agreeing"),
+        F.max("agreeing").cast("long").alias("agreeing"),
     )
 
 
-def place_sql(ws: str | None, masks=MASKS) -> str:
-    """The place in the text of entry i of a document's hashes, which list the places of the masks one after the other."""
-    size, starts, before = f"size({ws})" if ws else "n", [], "0"
-    for m in masks:
-        starts.append(before)
-        before += f" + greatest(0, {size} - {len(m) - 1})"
-    return "CASE " + " ".join(f"WHEN i >= {s} THEN i - ({s})" for s in reversed(starts)) + " END"
-
-
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the rows whose id has a verified overlap."""
-    bad = find_overlaps(docs, benchmark, **options).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs[options.get("id_col", "doc_id")].eqNullSafe(bad.bad_id), "left_anti")
+    """docs without the rows that have a verified overlap; other texts of their ids stay."""
+    bad = verified_hits(docs, benchmark, **options).select(F.col("doc_id").alias("bad_id"), F.col("text_h").alias("bad_h")).distinct()
+    same = docs[options.get("id_col", "doc_id")].eqNullSafe(bad.bad_id) & (F.xxhash64(docs[options.get("text_col", "text")]) == bad.bad_h)
+    return docs.join(bad, same, "left_anti")

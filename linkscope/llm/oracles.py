@@ -33,24 +33,29 @@ FROM b
 
 def _op5() -> str:
     tokens = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
-    seeds = " UNION ALL ".join(
-        f"SELECT id, ws, {n} AS mask, p, concat_ws(' ', {', '.join(f'ws[p + {k}]' for k, c in enumerate(m) if c == '1')}) AS h "
-        f"FROM (SELECT id, ws, unnest(range(1, len(ws) - {len(m) - 2})) AS p FROM {{t}})"
-        for n, m in enumerate(MASKS)
-    )
+    longest = max(map(len, MASKS))
+    all_masks = [*MASKS, *("1" * n for n in range(1, longest))]
+
+    def seeds(t: str, asked: str) -> str:
+        return " UNION ALL ".join(
+            f"SELECT id, ws, {n} AS mask, p, concat_ws(' ', {', '.join(f'ws[p + {k}]' for k, c in enumerate(m) if c == '1')}) AS h "
+            f"FROM (SELECT id, ws, unnest(range(1, len(ws) - {len(m) - 2})) AS p FROM {t}" + ("" if "0" in m else asked.format(n=len(m))) + ")"
+            for n, m in enumerate(all_masks)
+        )
+
     span = min(map(len, MASKS))
     return f"""
 WITH d AS (SELECT doc_id AS id, {tokens} AS ws FROM documents),
 b AS (SELECT DISTINCT item_id AS id, {tokens} AS ws FROM benchmark),
-ds AS ({seeds.format(t="d")}),
-bs AS ({seeds.format(t="b")}),
+ds AS ({seeds("d", " WHERE EXISTS (SELECT 1 FROM b WHERE len(b.ws) = {n})")}),
+bs AS ({seeds("b", " WHERE len(ws) = {n}")}),
 hits AS (
   SELECT ds.id AS doc_id, bs.id AS item_id, ds.p - bs.p AS first_word, bs.p - 1 AS q, len(bs.ws) AS n, least({WINDOW}, len(bs.ws)) AS w,
          list_transform(range(1, len(bs.ws) + 1), lambda j: CASE WHEN ds.p - bs.p + j >= 1 AND ds.ws[ds.p - bs.p + j] = bs.ws[j] THEN 1 ELSE 0 END) AS eq
   FROM ds JOIN bs USING (mask, h)),
 verified AS (
   SELECT * FROM hits
-  WHERE len(list_filter(range(greatest(0, q + {span} - w), greatest(0, least(q, n - w)) + 1), lambda s: list_sum(eq[s + 1:s + w]) >= {SIMILARITY} * w)) > 0)
+  WHERE len(list_filter(range(greatest(0, q + least({span}, w) - w), greatest(0, least(q, n - w)) + 1), lambda s: list_sum(eq[s + 1:s + w]) >= {SIMILARITY} * w)) > 0)
 SELECT doc_id, item_id, max(n)::BIGINT AS item_words, count(*) AS n_hits, min(first_word)::BIGINT AS first_word, max(list_sum(eq))::BIGINT AS agreeing
 FROM verified GROUP BY doc_id, item_id
 """

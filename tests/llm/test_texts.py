@@ -132,9 +132,11 @@ def test_keep_one_goes_by_id_and_text(spark):
     assert sorted((repr(x.doc_id), repr(x.text)) for x in got.collect()) == sorted((repr(i), repr(x)) for i, x in [(1, t), (2, u), (None, v), (3, ""), (3, ""), (4, None), (None, None)])
 
 
-def test_links_within_a_tile_of_many_components(spark, monkeypatch):
+@pytest.mark.parametrize("dense", [0, 8])
+def test_links_within_a_tile_of_many_components(spark, monkeypatch, dense):
     """Groups that share most of their words, so that they meet in the same tiles, but link only in part."""
     monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "PAIRS_A_ROW", dense)
     r = random.Random(4)
     base = [f"b{k}" for k in range(120)]
     texts = []
@@ -294,3 +296,26 @@ def test_decontamination_counts_alike_on_either_side_of_the_broadcast_bound(spar
     n = {(x.doc_id, x.item_id): x.n_hits for x in decontaminate.find_overlaps(docs, bench, broadcast_seeds=0).collect()}
     each = sum(20 - len(m) + 1 for m in decontaminate.MASKS)
     assert n == {(1, 1): 2 * each, (1, 2): each, (2, 2): each, (3, 2): each, (None, None): each, (4, 1): each}
+
+
+def test_masks_leave_no_substitutions_unseen():
+    """Each pattern of substitutions that passes verification in a window leaves a hit of some mask."""
+    from itertools import combinations
+
+    n = decontaminate.WINDOW
+    most = n - -(-n * int(10 * decontaminate.SIMILARITY) // 10)
+    for pattern in combinations(range(n), most):
+        assert any(not any(m[k - s] == "1" for k in pattern if s <= k < s + len(m)) for m in decontaminate.MASKS for s in range(n - len(m) + 1)), pattern
+
+
+@pytest.mark.parametrize("seeds", [decontaminate.BROADCAST_SEEDS, 0])
+def test_short_items_are_found_verbatim(spark, seeds):
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(1, 13)]
+    long = " ".join(f"own{k}" for k in range(300_000))
+    docs = [(n, f"before, {t.upper()}; after") for n, t in items] + [(100 + n, " ".join(t.split()[:-1] + ["x"])) for n, t in items[:6]] + [(200, items[4][1]), (201, long + " " + items[5][1]), (3, "other text of this id"), (202, long)]
+    bench = spark.createDataFrame([*items, (None, None), (77, "")], "item_id long, text string")
+    table = frame(spark, docs + EDGES)
+    got = {(x.doc_id, x.item_id) for x in decontaminate.find_overlaps(table, bench, broadcast_seeds=seeds).collect()}
+    assert got == {(n, n) for n in range(1, 13)} | {(200, 5), (201, 6)}
+    kept = decontaminate.remove_contaminated(table, bench, broadcast_seeds=seeds)
+    assert sorted(x.doc_id for x in kept.collect() if x.doc_id is not None and x.doc_id < 900) == sorted([3, 202, *range(101, 107)])
