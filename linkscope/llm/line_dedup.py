@@ -37,7 +37,7 @@ from .common import Scratch, once
 EDITS = 2
 #: Characters of a line from which near lines are sought; two edits make another line of a short one.
 MIN_CHARS = 25
-#: Places of lines to fetch, or to take out, that are broadcast, at about 50 bytes each; more are joined by a shuffle.
+#: Places of lines to fetch again that are broadcast, at about 50 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 
@@ -97,9 +97,8 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     return d.select("doc_id", "no", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), (F.length("line") >= min_chars).alias("is_long"))
 
 
-def texts_of(places: DataFrame, docs: DataFrame) -> DataFrame:
-    """ord and line of places (doc_id, no, h1, ord)."""
-    few = places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def texts_of(places: DataFrame, docs: DataFrame, few: bool = False) -> DataFrame:
+    """ord and line of places (doc_id, no, h1, ord); few: they may be broadcast."""
     asked = places.groupBy(F.col("doc_id").alias("asked_id")).agg(F.collect_list(F.struct("no", "h1", "ord")).alias("asked"))
     both = docs.join(F.broadcast(asked) if few else asked, F.col("doc_id").eqNullSafe(F.col("asked_id")))
     # A text is split once, not anew for each of its lines that are asked for.
@@ -134,7 +133,8 @@ def near_lines(first: DataFrame, docs: DataFrame, edits: int, scratch: Scratch)
     met = met.where(other("least_entry", "most_entry") | ((F.col("part") == 3) & other("least", "most")))
     met = scratch.keep(met.select("key", "part", "ord", "least", "least_entry").distinct(), "met")
     asked = first.join(met.select("ord").distinct(), "ord", "left_semi")
-    lines = scratch.keep(texts_of(asked, docs).dropDuplicates(["ord"]).withColumn("sig", F.expr(SIGNATURE)), "texts")
+    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    lines = scratch.keep(texts_of(asked, docs, few).dropDuplicates(["ord"]).withColumn("sig", F.expr(SIGNATURE)), "texts")
     tried = met.select(F.col("ord").alias("x"), F.explode(F.array("least_entry", F.when(F.col("part") == 3, F.col("least")))).alias("y")).where("y < x").distinct()
     near = scratch.keep(within(tried, lines, edits), "near")
     signed = met.join(lines.select("ord", "sig"), "ord")
@@ -173,9 +173,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
     ids, nos, exact, near = (next(n for n in (f"_gone{'_' * k}_{x}" for k in range(len(rest) + 1)) if n not in rest) for x in ("id", "nos", "exact", "near"))
     found = repeated_lines(docs, id_col, text_col, edits, min_chars)
-    few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     gone = found.groupBy(F.col("doc_id").alias(ids)).agg(F.collect_set("no").alias(nos), F.count_if(~F.col("near")).alias(exact), F.count_if("near").alias(near))
-    out = docs.select(rest).join(F.broadcast(gone) if few else gone, F.col(id_col).eqNullSafe(F.col(ids)), "left")
+    out = docs.select(rest).join(gone, F.col(id_col).eqNullSafe(F.col(ids)), "left")
     text = F.when(F.col(nos).isNull(), F.col(text_col)).otherwise(F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (l, i) -> NOT array_contains(`{nos}`, i)), '\\n')"))
     return out.select(
         *[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in rest],
