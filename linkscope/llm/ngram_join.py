@@ -14,8 +14,9 @@ A tile's pairs pass three gates. Bitmaps of hashed shingles bound the overlap fr
 bit in which they differ is a shingle that one text lacks. Sorted shingle arrays then give the
 exact intersection. First each set is held against one hub, the smallest set of most of its
 tiles. Only tiles whose members still lie in several components are then searched in square
-blocks: by bit counts, which name the sets that still may link, and with the arrays of those
-sets, of which a block gives spanning links only. Members of a tile's largest component do not
+blocks: by bit counts, of whose likely pairs a block gives those that would span its components, the
+nearest first; and, for tiles still open when those are verified, with the arrays of the sets that
+still may link, of which a block gives spanning links only. Members of a tile's largest component do not
 meet one another again. All that is sent is linear in the rows of the tiles.
 
 Words are runs of bytes other than space and U+0009 to U+000D, with A-Z in lower case. Defined
@@ -50,6 +51,8 @@ BLOCK_SHINGLES = 4_000_000
 MOST_BITS = 1 << 16
 #: Rows of ids of texts to fetch again, and of tiles with several sets, that are broadcast, at about 30 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Pairs for each row up to which a block names the pairs left to verify, each once over all blocks; with more, its sets' arrays come to the block.
+PAIRS_A_ROW = 8
 _TABLE_WORDS = 500_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
@@ -291,8 +294,8 @@ def runs(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[p
         yield pa.concat_tables(held)
 
 
-def candidates(t: pa.Table, bits: list[bytes], n: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Row number, and row numbers of those of other components that bit counts let link with it, of the rows of a block."""
+def candidates(t: pa.Table, bits: list[bytes], n: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Row number, row numbers of those of other components that bit counts let link with it, and bits apart, of a block's rows."""
     own, root = t.column("own").to_numpy(), t.column("root").to_numpy()
     i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
     left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
@@ -307,48 +310,91 @@ def candidates(t: pa.Table, bits: list[bytes], n: np.ndarray, percent: int) -> I
         if i == j:
             good &= right > k
         if good.any():
-            yield k, right[good]
+            yield k, right[good], apart[good]
 
 
-def searched(open_: DataFrame, sides: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, n: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) that join the components of open tiles; of a block's links those that span them."""
-    block = ("tile", "i", "j")
-    together = lambda rows: rows.repartition(*block).sortWithinPartitions(*block)
+def top(above: dict[int, int], x: int) -> int:
+    while above.get(x, x) != x:
+        above[x] = x = above.get(above[x], above[x])
+    return x
+
+
+def likely(open_: DataFrame, sides: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of open tiles that bit counts let link: of each block those that would span its components, the nearest first."""
+
+    def forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, TILE_BLOCK):
+            n, ids, roots = t.column("n_shingles").to_numpy(), t.column("set").to_numpy(), t.column("root").to_pylist()
+            found = [(np.full(len(them), k), them, apart / (n[k] + n[them])) for k, them, apart in candidates(t, t.column("bits").to_pylist(), n, percent)]
+            if not found:
+                continue
+            k, o, far = (np.concatenate(x) for x in zip(*found))
+            above: dict[int, int] = {}
+            out = []
+            for e in np.argsort(far, kind="stable").tolist():
+                x, y = top(above, roots[k[e]]), top(above, roots[o[e]])
+                if x != y:
+                    above[max(x, y)] = min(x, y)
+                    out.append(e)
+            x, y = ids[k[out]], ids[o[out]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    rows = in_blocks(open_, percent).join(sides, "set").select(*TILE_BLOCK, "own", "set", "root", "n_shingles", "bits")
+    return together(rows).mapInArrow(forest, "a bigint, b bigint").distinct()
+
+
+TILE_BLOCK = ("tile", "i", "j")
+
+
+def together(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*TILE_BLOCK).sortWithinPartitions(*TILE_BLOCK)
+
+
+def searched(open_: DataFrame, tried: DataFrame, sides: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, n: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that join the components of open tiles: all of sparse blocks that are not in tried, and of dense ones those that span them."""
     id_type = sides.schema["want"].dataType.simpleString()
+    names = [*TILE_BLOCK, "own", "set", "root", "want"]
 
     def survivors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, block):
-            seen = [np.append(them, k) for k, them in candidates(t, t.column("bits").to_pylist(), t.column("n_shingles").to_numpy(), percent)]
-            if seen:
-                yield from t.take(np.unique(np.concatenate(seen))).select([*block, "own", "set", "root", "want"]).to_batches()
-
-    rows = in_blocks(open_, percent).join(sides, "set").select(*block, "own", "set", "root", "n_shingles", "bits", "want")
-    left = scratch.keep(together(rows).mapInArrow(survivors, f"tile bigint, i int, j int, own int, set bigint, root bigint, want {id_type}"), "survivors")
+        for t in runs(batches, TILE_BLOCK):
+            found = [(np.full(len(them), k), them) for k, them, _ in candidates(t, t.column("bits").to_pylist(), t.column("n_shingles").to_numpy(), percent)]
+            if not found:
+                continue
+            k, o = (np.concatenate(x) for x in zip(*found))
+            if len(k) <= PAIRS_A_ROW * t.num_rows:
+                ids = t.column("set").to_numpy()
+                one = t.select(names).take(k).set_column(names.index("set"), "set", pa.array(np.minimum(ids[k], ids[o])))
+                out = one.append_column("other", pa.array(np.maximum(ids[k], ids[o])))
+            else:
+                out = t.select(names).take(np.unique(np.append(k, o)))
+                out = out.append_column("other", pa.nulls(out.num_rows, pa.int64()))
+            yield from out.to_batches()
+
+    rows = in_blocks(open_, percent).join(sides, "set").select(*names, "n_shingles", "bits")
+    both = scratch.keep(together(rows).mapInArrow(survivors, f"tile bigint, i int, j int, own int, set bigint, root bigint, want {id_type}, other bigint"), "survivors")
+    pairs = both.where("other IS NOT NULL").select(F.col("set").alias("a"), F.col("other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    links = verified(pairs, sides, docs, id_col, text_col, percent, n, scratch)
+    left = both.where("other IS NULL").drop("other")
     sets = arrays_of(left.select("set", "want").distinct(), docs, id_col, text_col, n)
 
     def spanning(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, block):
+        for t in runs(batches, TILE_BLOCK):
             arrays = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in t.column("hashes")]
             above: dict[int, int] = {}
-
-            def top(x: int) -> int:
-                while above.get(x, x) != x:
-                    x = above[x]
-                return x
-
             out, ids, roots = [], t.column("set").to_pylist(), t.column("root").to_pylist()
-            for k, them in candidates(t, [bitmap(x) for x in arrays], np.array([len(x) for x in arrays], dtype=np.int64), percent):
+            sizes = np.array([len(x) for x in arrays], dtype=np.int64)
+            for k, them, _ in candidates(t, [bitmap(x) for x in arrays], sizes, percent):
                 for o in them:
-                    x, y = top(roots[k]), top(roots[o])
+                    x, y = top(above, roots[k]), top(above, roots[o])
                     if x != y and linked(arrays[k], arrays[o], percent):
                         above[max(x, y)] = min(x, y)
                         out.append((ids[k], ids[o]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
-    found = together(left.drop("want").join(sets, "set").select(*block, "own", "set", "root", "hashes")).mapInArrow(spanning, "a bigint, b bigint")
-    out = scratch.keep(found.distinct(), "links")
-    scratch.drop(left)
+    found = together(left.drop("want").join(sets, "set").select(*TILE_BLOCK, "own", "set", "root", "hashes")).mapInArrow(spanning, "a bigint, b bigint")
+    out = scratch.keep(found.distinct().union(links), "links")
+    scratch.drop(both)
     return out
 
 
@@ -374,7 +420,11 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, percent: int, n: int,
     stars = scratch.keep(stars.select("a", F.col("set").alias("b")), "stars")
     links = verified(stars, sides, docs, id_col, text_col, percent, n, scratch)
     roots = components(links, scratch)
-    more = searched(open_tiles(met, roots, stars), sides, docs, id_col, text_col, percent, n, scratch)
+    pairs = scratch.keep(likely(open_tiles(met, roots, stars), sides, percent), "likely")
+    links = links.union(verified(pairs, sides, docs, id_col, text_col, percent, n, scratch))
+    roots = components(links, scratch)
+    tried = stars.union(pairs)
+    more = searched(open_tiles(met, roots, tried), tried, sides, docs, id_col, text_col, percent, n, scratch)
     roots = scratch.keep(components(links.union(more), scratch), "roots")
     scratch.drop_all_but(slim, roots)
     return slim.join(roots, slim.set == roots.node, "left").select("doc_id", "text_h", "n_shingles", "set", F.coalesce("root", "set").alias("root"))
