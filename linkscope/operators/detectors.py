@@ -48,13 +48,13 @@ def ack_stalls(directed: DataFrame, retx: DataFrame, th: Thresholds = Thresholds
     return out.select(*KEYS, F.col("direction").alias("send_direction"), "seq", "tcp_len", "payload_sha256", "expected_ack", "observed_ack", F.col("duration_ms").alias("stall_duration_ms"), F.col("count").alias("retransmission_count"), "frames", "first_ord", F.lit("HIGH").alias("severity"), "filter")
 
 
-#: What is said of each class of resets.
+#: What a report says of each class of resets.
 RST_NOTES = {
-    "RST_AFTER_FIN": "FIN 之后出现 RST，常见于应用主动关闭后的连接清理，不一定是严重网络故障。",
-    "ACK_TO_RST": "数据交互后在 ACK 之后出现 RST。",
-    "RST_DURING_DATA": "数据传输过程中出现 RST，连接被中途重置。",
-    "RST_AFTER_SYN": "握手阶段或握手刚完成后出现 RST，可能是监听拒绝、防火墙或服务未就绪。",
-    "RST_OTHER": "捕获范围内未见完整握手/数据上下文的 RST。",
+    "RST_AFTER_FIN": "Reset after a FIN: usually the cleanup of a connection that its application had closed.",
+    "ACK_TO_RST": "Data had been exchanged; the reset follows an acknowledgement.",
+    "RST_DURING_DATA": "The connection was reset while data was on its way.",
+    "RST_AFTER_SYN": "Reset during or right after the handshake: look for a refused port, a firewall or a service not yet up.",
+    "RST_OTHER": "The capture shows neither handshake nor data before this reset.",
 }
 
 
