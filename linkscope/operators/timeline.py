@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -80,17 +81,23 @@ def unified(entries: DataFrame, markers: DataFrame, key: DataFrame) -> DataFrame
     k = F.broadcast(key.select(F.col("event_id").alias("key_id"), F.col("timestamp").alias("key_ts")))  # one row
     t = entries.join(k, F.col("event_id") == F.col("key_id"))
     grade = F.when((F.col("source") == "JDBC") | (F.col("event_type") == "CAPTURE_QUALITY"), "CONFIRMED").otherwise("CORRELATED")
-    own = t.select("timestamp", F.col("relative_seconds"), "source", "event_type", "correlation_id", F.when(F.col("app_stream").isNull() & F.col("side").isin("APP", "BOTH"), F.col("stream")).otherwise(F.col("app_stream")).alias("app_stream"),
+    own = t.select("event_id", "timestamp", "relative_seconds", "source", "event_type", "correlation_id", F.when(F.col("app_stream").isNull() & F.col("side").isin("APP", "BOTH"), F.col("stream")).otherwise(F.col("app_stream")).alias("app_stream"),
                    F.when(F.col("db_stream").isNull() & (F.col("side") == "DB"), F.col("stream")).otherwise(F.col("db_stream")).alias("db_stream"), "frame", "direction", "seq", "ack", "tcp_len", "description", grade.alias("evidence_class"), F.when(F.col("source") == "JDBC", "CONFIRMED").otherwise(F.col("evidence_level")).alias("confidence"))
     m = markers.select("timestamp", "event_type", "description").distinct().join(k).where("key_ts IS NOT NULL")
-    ping = m.select("timestamp", (F.col("timestamp") - F.col("key_ts")).alias("relative_seconds"), F.lit("PING").alias("source"), "event_type", "description", F.lit("SUPPORTING").alias("evidence_class"), F.lit("SUPPORTING").alias("confidence"))
+    ping = m.select(F.col("key_id").alias("event_id"), "timestamp", (F.col("timestamp") - F.col("key_ts")).alias("relative_seconds"), F.lit("PING").alias("source"), "event_type", "description", F.lit("SUPPORTING").alias("evidence_class"), F.lit("SUPPORTING").alias("confidence"))
     return collapsed(own.unionByName(ping, allowMissingColumns=True))
 
 
-def collapsed(rows: DataFrame) -> DataFrame:
-    """Adjacent rows of one data retransmission as the first of them, with n_rows and last_timestamp."""
-    order = Window.partitionBy("source").orderBy(F.asc_nulls_last("timestamp"), "event_type", F.asc_nulls_first("seq"), "tcp_len", "frame")
-    same = F.coalesce((F.col("event_type") == "DATA_RETRANSMISSION") & F.col("seq").isNotNull() & (F.lag("event_type").over(order) == F.col("event_type")) & (F.lag("seq").over(order) == F.col("seq")) & F.lag("tcp_len").over(order).eqNullSafe(F.col("tcp_len")) & F.lag("correlation_id").over(order).eqNullSafe(F.col("correlation_id")), F.lit(False))
-    r = rows.withColumn("_same", same).withColumn("_run", F.count_if(~F.col("_same")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    w = Window.partitionBy("source", "_run")
-    return r.withColumn("n_rows", F.count(F.lit(1)).over(w)).withColumn("last_timestamp", F.max("timestamp").over(w)).where(~F.col("_same")).drop("_same", "_run")
+def collapsed(rows: DataFrame, by: Sequence[str] = ("event_id",)) -> DataFrame:
+    """Runs of one data retransmission as the first row of each, with n_rows and last_timestamp.
+
+    Rows are neighbours in the order of the whole timeline of an event (or case: `by`), so any other
+    row between two of a run ends it. Without a sequence number a row stands alone.
+    """
+    order = Window.partitionBy(*by).orderBy(F.asc_nulls_last("timestamp"), "source", "event_type", F.asc_nulls_first("seq"), "tcp_len", "frame")
+    like = [F.lag(c).over(order).eqNullSafe(F.col(c)) for c in ("source", "event_type", "seq", "tcp_len", "correlation_id")]
+    same = reduce(Column.__and__, like, (F.col("event_type") == "DATA_RETRANSMISSION") & F.col("seq").isNotNull())
+    r = rows.withColumn("_same", F.coalesce(same, F.lit(False))).withColumn("_run", F.count_if(~F.col("_same")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    w = Window.partitionBy(*by, "_run")
+    r = r.withColumn("n_rows", F.count(F.lit(1)).over(w)).withColumn("last_timestamp", F.max("timestamp").over(w)).where(~F.col("_same")).drop("_same", "_run")
+    return r.withColumn("description", F.when(F.col("n_rows") > 1, F.format_string("Seq=%d Len=%d sent again: %d rows in one", "seq", "tcp_len", "n_rows")).otherwise(F.col("description")))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from ..config import Thresholds
 from ..functions.packets import payload_sha256
-from ..operators import anomalies, correlate, detectors, dual, grouping, ping, sessions, timeline
+from ..operators import anomalies, case_evidence, correlate, detectors, dual, grouping, ping, sessions, timeline
 
 
 def prepared(packets: DataFrame) -> DataFrame:
@@ -80,6 +80,10 @@ class Capture:
     def rollup(self) -> DataFrame:
         return anomalies.rollup(self.summaries, self.anomalies, self.quality)
 
+    @cached_property
+    def conclusion(self) -> DataFrame:
+        return case_evidence.conclusion(self.anomalies, self.quality)
+
     def side(self) -> dict[str, DataFrame]:
         return {"packets": self.directed, "anomalies": self.anomalies, "sessions": self.sessions, "quality": self.quality}
 
@@ -155,6 +159,12 @@ class Case:
     def key_event(self) -> DataFrame:
         return timeline.key_event(self.events)
 
+    @cached_property
+    def evidence(self) -> DataFrame:
+        """What the case may claim of its key event, in four classes."""
+        qualities = {"APP": self.dual.app.quality, "DB": self.dual.db.quality}
+        return case_evidence.evidence(self.key_event, self.events, self.correlations, self.candidates, self.timeline, qualities, self.ping_statistics)
+
     @cached_property
     def unified(self) -> DataFrame:
         spark = self.raw_events.sparkSession

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import logtext, packets as P
-from ..operators import correlate, dual, grouping, ping, timeline
+from ..operators import case_evidence, correlate, dual, grouping, ping, timeline
 from ..sources import fieldtext, logs, roles
 from . import views
 from .analyze import Capture, Dual
@@ -328,6 +328,19 @@ def unified_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.unified(t, ping.markers(e, sample_table(spark, sf_dir)), timeline.key_event(e))
 
 
+@query()
+def case_evidence_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence on the key event, picked from all events; what the evidence needs is then worked out for that event."""
+    d, e = pair(spark, sf_dir), event_table(spark, sf_dir)
+    key = timeline.key_event(e)
+    own = e.join(F.broadcast(key.select("event_id")), "event_id", "left_semi")  # one row
+    found = correlate.candidates(own, d.flows, d.app.directed, d.app.anomalies)
+    told = correlate.correlate(own, found, correlate.accounting(own, d.flows))
+    t = timeline.timeline(own, told, {"APP": d.app.side(), "DB": d.db.side()}, d.segments)
+    lines = {"timestamp_raw": F.lit(None).cast("string"), "start_line": F.lit(None).cast("int"), "end_line": F.lit(None).cast("int")}
+    return case_evidence.evidence(key, own.withColumns(lines), told, found, t, {"APP": d.app.quality, "DB": d.db.quality}, ping.statistics(own, sample_table(spark, sf_dir)))
+
+
 @query(f"""WITH ev AS ({event_rows(views.DUCK)}) SELECT arg_max(event_id, (event_type = 'CONNECTION_RESET', event_ord)) AS key_event, arg_max(event_id, (event_type = 'CONNECTION_RESET', -event_ord)) AS first_key_event FROM ev""")
 def key_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = event_table(spark, sf_dir)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import case_evidence
 from . import views
 from .analyze import Capture
 
@@ -165,3 +166,18 @@ SELECT (SELECT count(*) FROM sm) AS sessions, (SELECT sum(packet_count)::BIGINT
        CASE credibility WHEN 'LOW' THEN 'LOW' WHEN 'DEGRADED' THEN 'DEGRADED' ELSE 'OK' END AS confidence, CASE credibility WHEN 'LOW' THEN 'BLOCKING' WHEN 'DEGRADED' THEN 'DEGRADED' ELSE 'OK' END AS input_quality FROM k, c""")
 def report_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return single(spark, sf_dir).rollup.drop("capture_id")
+
+
+@query(f"""{EVERYTHING}, q AS (SELECT count(*) FILTER (cap_len < frame_len) AS n FROM p), k AS (
+  SELECT count(*) FILTER (severity = 'HIGH' AND type <> 'PACKET_TRUNCATED') AS hi, count(*) FILTER (severity = 'WARNING' AND type <> 'PACKET_TRUNCATED') AS wa, count(*) FILTER (type = 'PACKET_TRUNCATED') AS cut, count(*) AS total FROM an)
+SELECT CASE WHEN hi > 0 THEN 'HIGH_TCP_ANOMALY' WHEN wa > 0 THEN 'TCP_ATTENTION' WHEN cut > 0 OR n > 0 THEN 'CAPTURE_QUALITY_ONLY' ELSE 'NOTHING_OBSERVED' END AS verdict, CASE WHEN hi > 0 THEN 'red' WHEN wa > 0 OR cut > 0 OR n > 0 THEN 'yellow' ELSE 'green' END AS color,
+       CASE WHEN hi > 0 THEN 'HIGH' WHEN wa > 0 THEN 'WARNING' ELSE 'INFO' END AS tcp_health, least(total, 20)::INT AS n_findings, (least(hi + wa + cut, 20) + CASE WHEN n > 0 THEN 1 ELSE 0 END)::INT AS n_concerns, n > 0 AS may_be_incomplete FROM k, q""")
+def conclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return single(spark, sf_dir).conclusion.select("verdict", "color", "tcp_health", F.size("findings").alias("n_findings"), F.size("concerns").alias("n_concerns"), "may_be_incomplete")
+
+
+@query(f"""WITH {pk()}, {SESSION} SELECT asked, count(*) AS sessions, count(*) FILTER (server_ip IS DISTINCT FROM asked) AS mismatched FROM f, (SELECT unnest(['{views.SERVER_IP}', '10.9.0.2']) AS asked) GROUP BY asked""")
+def server_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = single(spark, sf_dir).sessions
+    each = [case_evidence.server_mismatch(s, ip).select(F.lit(ip).alias("asked"), "sessions", "mismatched") for ip in (views.SERVER_IP, "10.9.0.2")]
+    return each[0].union(each[1])

@@ -6,6 +6,7 @@ import html
 
 from pyspark.sql import DataFrame
 
+from ..operators import case_evidence
 from ..plans.analyze import Capture, Case, Dual
 from .tables import flat
 
@@ -42,8 +43,8 @@ def html_table(df: DataFrame, limit: int = ROWS) -> str:
 
 def capture_sections(c: Capture) -> list[tuple[str, DataFrame]]:
     return [
-        ("Rollup", c.rollup), ("Capture quality", c.quality), ("Sessions", c.summaries.orderBy("severity", "session_ord")), ("Retransmissions", c.retransmissions.orderBy("session_id", "first_ord")),
-        ("Stalled acknowledgements", c.ack_stalls), ("Resets", c.resets), ("Zero windows", c.zero_windows), ("Findings", c.anomalies.orderBy("session_id", "first_ord")),
+        ("Conclusion", c.conclusion), ("Rollup", c.rollup), ("Capture quality", c.quality), ("Sessions", c.summaries.orderBy("severity", "session_ord")), ("Retransmissions", c.retransmissions.orderBy("session_id", "first_ord")),
+        ("Stalled acknowledgements", case_evidence.explained(c.ack_stalls)), ("Resets", c.resets), ("Zero windows", c.zero_windows), ("Findings", c.anomalies.orderBy("session_id", "first_ord")),
     ]
 
 
@@ -53,7 +54,7 @@ def dual_sections(d: Dual) -> list[tuple[str, DataFrame]]:
 
 def case_sections(c: Case) -> list[tuple[str, DataFrame]]:
     ping = [("Ping around events", c.ping_statistics)] if c.samples is not None else []
-    return [("Key event", c.key_event), ("Events", c.events.orderBy("event_ord")), ("Correlation", c.correlations.orderBy("event_id")), *dual_sections(c.dual), *ping, ("Unified timeline", c.unified.orderBy("timestamp", "source", "event_type"))]
+    return [("Key event", c.key_event), ("Evidence", c.evidence.orderBy("evidence_class", "item")), ("Events", c.events.orderBy("event_ord")), ("Correlation", c.correlations.orderBy("event_id")), *dual_sections(c.dual), *ping, ("Unified timeline", c.unified.orderBy("timestamp", "source", "event_type"))]
 
 
 def markdown(title: str, sections: list[tuple[str, DataFrame]], limit: int = ROWS) -> str:
