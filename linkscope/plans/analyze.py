@@ -161,7 +161,7 @@ class Case:
 
     @cached_property
     def evidence(self) -> DataFrame:
-        """What the case may claim of its key event, in four classes."""
+        """What the case may claim of its key event, in four classes. Slow as one plan: its inputs recur in each branch and are not cut yet."""
         qualities = {"APP": self.dual.app.quality, "DB": self.dual.db.quality}
         return case_evidence.evidence(self.key_event, self.events, self.correlations, self.candidates, self.timeline, qualities, self.ping_statistics)
 
