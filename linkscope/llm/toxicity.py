@@ -1,9 +1,10 @@
 """Toxicity by weak supervision.
 
 Voters. Lexicon voters say "toxic" where a word of a list occurs: a fixed list of insults, and
-lists of words and of word stems that go with label 1 in the labelled rows, dealt into groups.
-Pattern voters look at masked words, shouting and address. Two voters say "not toxic": no
-listed word at all, and no listed stem. A labelled row's own label is one more voter.
+lists of words and of word stems that go with label 1 in labelled rows of other folds, dealt into
+groups. Pattern voters look at masked words, shouting and address. Two voters say "not toxic": no
+listed word at all, and no listed stem. No row's own label votes on it, and near copies share a
+fold, so that a voter is as accurate on the rows that the label model sees as on any others.
 
 Label model. Votes are pooled by pattern (which voters said what), and expectation maximization
 fits a generative model of the unseen label: each voter has its own accuracy for either label.
@@ -35,6 +36,8 @@ INSULTS = frozenset("idiot idiots moron morons stupid scum trash loser losers cl
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
 GROUPS = 4
+#: Parts of the labelled rows; a row's voters are mined from the other parts.
+FOLDS = 5
 MAX_FEATURES = 6000
 
 
@@ -108,10 +111,33 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def mined(toxic: np.ndarray, df: np.ndarray, n_rows: int, share: float, names: list[str]) -> tuple[list[int], np.ndarray]:
+    """Numbers of the words that go with label 1, best first, and each word's lower bound of precision: toxic of its df rows have label 1."""
+    # Enough rows as well: in small tables chance pairs rare words with a label.
+    bound = np.where(toxic >= (3 if n_rows < 1000 else 4), (toxic - 1.3 * np.sqrt(np.maximum(0, toxic * (1 - toxic / (df + 1))) + 0.5)) / np.maximum(1, df), 0)
+    return sorted(np.flatnonzero(bound > max(0.5, 2 * share)).tolist(), key=lambda k: (-bound[k], names[k])), bound
+
+
+#: Insults, mined groups, mined stems, mined words; three patterns; no listed word, no listed stem.
+VOTERS = GROUPS + 8
+
+
+def voted(own: list[np.ndarray], shapes: list[list[bool]], lexicon: list[int], insults: list[int], names: list[str]) -> np.ndarray:
+    """What each voter says of each row, which is given by its words' numbers and its patterns (1: toxic, 0: not, -1: abstains)."""
+    lists = [insults, *(lexicon[g::GROUPS] for g in range(GROUPS)), [k for k in lexicon if names[k].endswith("*")], [k for k in lexicon if not names[k].endswith("*")], lexicon + insults]
+    member = np.zeros((len(names), len(lists)), dtype=bool)
+    for g, ks in enumerate(lists):
+        member[ks, g] = True
+    hit = np.array([member[a].any(axis=0) if len(a) else np.zeros(len(lists), dtype=bool) for a in own]).reshape(len(own), len(lists))
+    shown = np.array(shapes, dtype=bool).reshape(len(own), 3)
+    stems, listed = hit[:, GROUPS + 1], hit[:, -1]
+    return np.column_stack([np.where(hit[:, :-1], 1, -1), np.where(shown, 1, -1), np.where(listed, -1, 0), np.where(stems, -1, 0)])
+
+
 def fit(texts: list[str], labels: list[int]) -> Model:
     """A classifier from texts and their labels (1: toxic)."""
     number: dict[str, int] = {}
-    seen, own, shapes, y = set(), [], [], []
+    seen, own, shapes, folds, y = set(), [], [], [], []
     for text, label in zip(texts, labels):
         f = features(text)
         near = tuple(sorted(zlib.crc32(w.encode()) for w in f)[:3])  # near copies share it mostly
@@ -119,6 +145,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
             seen.add((near, label))
             own.append(np.fromiter((number.setdefault(w, len(number)) for w in sorted(f)), dtype=np.int32, count=len(f)))
             shapes.append(patterns(text or ""))
+            folds.append(near[0] % FOLDS if near else 0)
             y.append(label)
     names, y = list(number), np.array(y, dtype=float)
     if not len(y) or not y.any():
@@ -127,16 +154,14 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     count = lambda rows: np.bincount(np.concatenate([own[r] for r in rows]), minlength=size) if len(rows) else np.zeros(size, dtype=np.int64)
     toxic = count(np.flatnonzero(y == 1))
     df = toxic + count(np.flatnonzero(y == 0))
-    # Lower bound of the precision of a word, and enough rows: in small tables chance pairs rare words with a label.
-    bound = np.where(toxic >= (3 if len(y) < 1000 else 4), (toxic - 1.3 * np.sqrt(np.maximum(0, toxic * (1 - toxic / (df + 1))) + 0.5)) / np.maximum(1, df), 0)
-    lexicon = sorted(np.flatnonzero(bound > max(0.5, 2 * share)).tolist(), key=lambda k: (-bound[k], names[k]))
+    lexicon, bound = mined(toxic, df, len(y), share, names)
     insults = [number[w] for w in sorted(INSULTS) if w in number]
-    groups = [insults, *(lexicon[g::GROUPS] for g in range(GROUPS)), [k for k in lexicon if names[k].endswith("*")], [k for k in lexicon if not names[k].endswith("*")]]
-    member = np.zeros((size, len(groups) + 1), dtype=bool)
-    for g, ks in enumerate([*groups, lexicon + insults]):
-        member[ks, g] = True
-    hit = np.array([member[a].any(axis=0) if len(a) else np.zeros(member.shape[1], dtype=bool) for a in own])
-    votes = np.column_stack([np.where(hit[:, :-1], 1, -1), np.where(np.array(shapes), 1, -1), np.where(hit[:, -1], -1, 0), np.where(hit[:, -3], -1, 0), y.astype(int)])
+    votes = np.zeros((len(own), VOTERS), dtype=np.int64)
+    for k in range(FOLDS):
+        rows = np.flatnonzero(np.array(folds) == k)
+        bad = rows[y[rows] == 1]
+        others, _ = mined(toxic - count(bad), df - count(rows), len(y) - len(rows), share, names)
+        votes[rows] = voted([own[r] for r in rows], [shapes[r] for r in rows], others, insults, names)
     pooled, at, n = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
     label_model = LabelModel(pooled, n.astype(float), share)
     target = label_model.posterior(label_model.said)[at.ravel()]
