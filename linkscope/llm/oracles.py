@@ -125,4 +125,81 @@ SELECT s.doc_id, len(g)::BIGINT AS n_shingles, coalesce(m.c, s.doc_id) AS compon
 FROM s LEFT JOIN (SELECT doc_id, min(other) AS c FROM reach GROUP BY doc_id) m USING (doc_id)
 """
 
-SQL = {"op7_ngram_join": OP7, "op1_quality_rules": OP1, "op5_decontamination": _op5(), "op9_secret_scan": _op9(), "op10_line_dedup": OP10}
+OP11 = r"""
+WITH t AS (
+  SELECT c, x, n, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, x) AS k
+  FROM (SELECT conv_id AS c, turn, substr(sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS x, length(coalesce(text, '')) AS n
+        FROM conversations WHERE conv_id IS NOT NULL)),
+cv AS (
+  -- CRC-32 bit by bit: a number of 0 or more is a byte to take in, -1 one shift.
+  SELECT c, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(c::VARCHAR, ''), lambda b: [ascii(b)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                            lambda acc, b: CASE WHEN b >= 0 THEN xor(acc, b) ELSE xor(acc >> 1, (acc % 2) * 3988292384) END), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT c FROM t)),
+r AS (
+  SELECT cv.c, k, x, n FROM cv JOIN t USING (c) WHERE k > h
+  UNION ALL SELECT cv.c, k, x, n FROM cv JOIN t ON t.c = cv.c - cv.c % 100 WHERE k <= h),
+s AS (SELECT cv.c, coalesce(xs, []) AS xs, ns FROM cv LEFT JOIN (SELECT c, list(x ORDER BY k) AS xs, list(n ORDER BY k) AS ns FROM r GROUP BY c) USING (c)),
+m AS MATERIALIZED (
+  SELECT c, d, array_to_string(xs[1:d], ',') AS key, CASE WHEN d > 0 THEN array_to_string(xs[1:d - 1], ',') END AS up, CASE WHEN d > 0 THEN ns[d] ELSE 0 END AS n, d = len(xs) AS ends
+  FROM (SELECT *, unnest(range(0, len(xs) + 1)) AS d FROM s)),
+node AS MATERIALIZED (
+  SELECT key, d, max(up) AS up, min(c) AS conv_id, count(*) AS n_convs, max(n) AS n, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY key, d),
+kids AS (SELECT up AS key, d - 1 AS d, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+v AS (SELECT node.*, coalesce(n_children, 0) AS n_children, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf, (n_convs - 1) * n AS saved FROM node LEFT JOIN kids USING (key, d)),
+sub AS (SELECT m.key, m.d, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM v JOIN m ON m.c = v.conv_id AND m.d <= v.d GROUP BY m.key, m.d)
+SELECT v.conv_id, v.d AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256
+FROM v JOIN sub USING (key, d) LEFT JOIN node p ON p.key = v.up AND p.d = v.d - 1
+"""
+
+
+def _op12() -> str:
+    """Each round as a few common table expressions."""
+    from .vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
+
+    gap = "list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i])))"
+    nearest = lambda n: f"""a{n} AS MATERIALIZED (
+  SELECT vec_id, part, x, entry, gap FROM (
+    SELECT vec_id, part, x, entry, gap, row_number() OVER (PARTITION BY vec_id, part ORDER BY gap, entry) AS place
+    FROM (SELECT p.vec_id, p.part, p.x, b.entry, {gap} AS gap FROM p JOIN b{n} b USING (part))) WHERE place = 1)"""
+    floored = "(s - ((s % n) + n) % n) // n"
+    rounds = "".join(
+        f"""{nearest(n)},
+b{n + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b{n} b LEFT JOIN (
+    SELECT part, entry, list({floored} ORDER BY i) AS x FROM (
+      SELECT part, entry, i, sum(y)::BIGINT AS s, count(*) AS n FROM (SELECT part, entry, unnest(x) AS y, unnest(range(1, len(x) + 1)) AS i FROM a{n}) GROUP BY ALL) GROUP BY part, entry) m USING (part, entry)),
+"""
+        for n in range(ROUNDS)
+    )
+    return f"""
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, v[part * (len(v) // {PARTS}) + 1:(part + 1) * (len(v) // {PARTS})] AS x FROM k, (SELECT unnest(range({PARTS})) AS part)),
+b0 AS MATERIALIZED (SELECT part, entry, x FROM (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry FROM p) WHERE entry < {ENTRIES}),
+{rounds}{nearest(ROUNDS)},
+c AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(gap)::BIGINT AS error FROM a{ROUNDS} GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM b{ROUNDS}) AS codebooks_sha256
+FROM c JOIN k USING (vec_id)
+"""
+
+
+def _op13() -> str:
+    from .substring_dedup import WINDOW as W
+
+    return rf"""
+WITH w AS (
+  SELECT doc_id, row_number() OVER () AS rid, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+win AS (SELECT rid, p, md5(array_to_string(ws[p:p + {W - 1}], ' ')) AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - {W - 2})) AS p FROM w)),
+rep AS (SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY g) AS c FROM win) WHERE c > 1),
+gone AS (SELECT DISTINCT rid, p + k AS i FROM rep, (SELECT unnest(range({W})) AS k)),
+kept AS (
+  SELECT rid, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t
+  FROM (SELECT rid, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i FROM w) ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (rid)
+"""
+
+
+SQL = {"op7_ngram_join": OP7, "op1_quality_rules": OP1, "op5_decontamination": _op5(), "op9_secret_scan": _op9(), "op10_line_dedup": OP10, "op11_prefix_trie": OP11, "op12_vector_codes": _op12(), "op13_substring_dedup": _op13()}

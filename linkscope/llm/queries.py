@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import binary_ids, decontaminate, language_id, line_dedup, ngram_join, packing, quality_rules, secrets, token_counts, toxicity
+from . import binary_ids, decontaminate, language_id, line_dedup, ngram_join, packing, prefix_trie, quality_rules, secrets, substring_dedup, token_counts, toxicity, vector_codes
 from .common import held_out, table
 
 
@@ -57,7 +57,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_exact", "n_near", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep=lambda text: F.sha2(text, 256), out="kept_sha256")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_language_id, op3_token_counts, op4_packing, op5_decontamination, op6_binary_ids, op7_ngram_join, op8_toxicity, op9_secret_scan, op10_line_dedup)
+    for f in (op1_quality_rules, op2_language_id, op3_token_counts, op4_packing, op5_decontamination, op6_binary_ids, op7_ngram_join, op8_toxicity, op9_secret_scan, op10_line_dedup, op11_prefix_trie, op12_vector_codes, op13_substring_dedup)
 }

@@ -74,5 +74,5 @@ def test_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert {f"op{n}_" for n in range(1, 11)} <= {q.split("_")[0] + "_" for q in names} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} <= {q.split("_")[0] + "_" for q in names} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
