@@ -33,18 +33,21 @@ def retransmissions(directed: DataFrame, th: Thresholds = Thresholds()) -> DataF
 
 
 def ack_stalls(directed: DataFrame, retx: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
-    """Data segments sent again for long while the peer's acknowledgement never passed them; no acknowledgement counts as 0."""
+    """Data segments sent again for long while the peer's acknowledgement never passed them; no acknowledgement counts as 0.
+
+    Acknowledgements and the segments' last times are merged in one order of time for each session and
+    direction, and the greatest acknowledgement so far is what a segment had seen: as many
+    rows as there are acknowledgements and segments, none for their pairs.
+    """
     long = retx.where((F.col("tcp_len") > 0) & (F.col("duration_ms") >= th.ack_stall_ms)).withColumn("ack_direction", P.opposite("direction"))
-    acks = directed.where(P.flag("ACK")).select(*KEYS, F.col("direction").alias("ack_direction"), F.col("timestamp").alias("ack_ts"), "tcp_ack")
-    # The key of the join is the session and direction; most acknowledgements fold into one row a session before it.
-    last = long.groupBy(*KEYS, "ack_direction").agg(F.max("last_ts").alias("until"), F.min("last_ts").alias("surely"))
-    bounded = acks.join(last, [*KEYS, "ack_direction"]).where("ack_ts <= until")
-    early = bounded.where("ack_ts <= surely").groupBy(*KEYS, "ack_direction", F.lit(None).cast("double").alias("ack_ts")).agg(F.max("tcp_ack").alias("tcp_ack"))
-    late = bounded.where("ack_ts > surely").groupBy(*KEYS, "ack_direction", "ack_ts").agg(F.max("tcp_ack").alias("tcp_ack"))
-    series = early.unionByName(late)
-    ids = [*KEYS, "ack_direction", "seq", "tcp_len", "payload_sha256"]
-    seen = long.select(*ids, "last_ts").join(series, [*KEYS, "ack_direction"]).where("ack_ts IS NULL OR ack_ts <= last_ts").groupBy(*ids).agg(F.max("tcp_ack").alias("observed_ack"))
-    out = long.join(seen, ids, "left").withColumn("observed_ack", F.coalesce("observed_ack", F.lit(0).cast("long"))).where("observed_ack < expected_ack")
+    place = [*KEYS, "ack_direction"]
+    until = long.groupBy(*place).agg(F.max("last_ts").alias("until"))
+    acks = directed.where(P.flag("ACK")).select(*KEYS, F.col("direction").alias("ack_direction"), F.col("timestamp").alias("at"), "tcp_ack")
+    acks = acks.join(until, place).where("at <= until").drop("until").withColumn("segment", F.lit(False))
+    segments = long.withColumns({"at": F.col("last_ts"), "segment": F.lit(True)})
+    so_far = Window.partitionBy(*place).orderBy("at", "segment").rowsBetween(Window.unboundedPreceding, 0)
+    both = segments.unionByName(acks, allowMissingColumns=True).withColumn("observed_ack", F.coalesce(F.max("tcp_ack").over(so_far), F.lit(0).cast("long")))
+    out = both.where("segment AND observed_ack < expected_ack")
     return out.select(*KEYS, F.col("direction").alias("send_direction"), "seq", "tcp_len", "payload_sha256", "expected_ack", "observed_ack", F.col("duration_ms").alias("stall_duration_ms"), F.col("count").alias("retransmission_count"), "frames", "first_ord", F.lit("HIGH").alias("severity"), "filter")
 
 

@@ -131,14 +131,17 @@ class Case:
     def events(self) -> DataFrame:
         return grouping.assign_groups(self.raw_events)
 
+    @cached_property
+    def accounting(self) -> DataFrame:
+        return correlate.accounting(self.events, self.dual.flows, self.grace, self.default_host, self.default_port)
+
     @cached_property
     def candidates(self) -> DataFrame:
-        return correlate.candidates(self.events, self.dual.flows, self.dual.app.directed, self.dual.app.anomalies, self.window, self.grace, self.default_host, self.default_port)
+        return correlate.candidates(self.events, self.dual.flows, self.dual.app.directed, self.dual.app.anomalies, self.window, self.grace, self.default_host, self.default_port, self.accounting)
 
     @cached_property
     def correlations(self) -> DataFrame:
-        counts = correlate.accounting(self.events, self.dual.flows, self.grace, self.default_host, self.default_port)
-        return correlate.correlate(self.events, self.candidates, counts)
+        return correlate.correlate(self.events, self.candidates, self.accounting, self.default_host, self.default_port)
 
     def _entries(self, chosen: DataFrame) -> DataFrame:
         sides = {"APP": self.dual.app.side(), "DB": self.dual.db.side()}

@@ -10,7 +10,7 @@ from ..operators import correlate, dual, grouping, ping, timeline
 from ..sources import fieldtext, logs, roles
 from . import views
 from .analyze import Capture, Dual
-from .queries import pk, query
+from .queries import ANOMALY, RESET, RETX, SESSION, SHAKE, STALL, SUMMARY, ZERO, pk, query
 
 
 def pair(spark: SparkSession, sf_dir: str, kind: str = "") -> Dual:
@@ -224,9 +224,10 @@ def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"exception_class": F.lit(None).cast("string"), "message": F.lit(None).cast("string")})
 
 
-def scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dual, DataFrame]:
+def scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dual, DataFrame, DataFrame]:
     d, e = pair(spark, sf_dir), event_table(spark, sf_dir)
-    return e, d, correlate.candidates(e, d.flows, d.app.directed, d.app.anomalies)
+    counts = correlate.accounting(e, d.flows)
+    return e, d, correlate.candidates(e, d.flows, d.app.directed, d.app.anomalies, counts=counts), counts
 
 
 ELIGIBLE = f"""{FLOWS}, ev AS ({event_rows(views.DUCK)}),
@@ -237,11 +238,20 @@ near AS (
   FROM el JOIN ap p ON p.session_id = el.app_stream GROUP BY ALL)"""
 
 
-@query(f"""WITH {ELIGIBLE} SELECT event_id, correlation_id, app_stream, n AS packets_near, round(d, 6) AS distance, frame AS nearest_frame,
-round(fixed + CASE WHEN n > 0 THEN greatest(0, 15 * (1 - least(d, 10) / 10)) + least(5, 0.1::DOUBLE * n) ELSE 0 END + 1e-7, 4) AS identity_score FROM el JOIN near USING (event_id, app_stream)""")
+SCORED = f"""{ELIGIBLE}, {", ".join([pk("app"), RETX, STALL, RESET, ZERO, SHAKE, SESSION, SUMMARY, ANOMALY])},
+hl AS (SELECT session_id, count(DISTINCT type) AS kinds FROM an WHERE session_id IS NOT NULL GROUP BY ALL),
+sc AS (
+  SELECT el.*, n, d, frame, fixed + CASE WHEN n > 0 THEN greatest(0, 15 * (1 - least(d, 10) / 10)) + least(5, 0.1::DOUBLE * n) ELSE 0 END AS identity, coalesce(least(5, 1 + 0.25::DOUBLE * kinds), 0) AS health
+  FROM el JOIN near USING (event_id, app_stream) LEFT JOIN hl ON hl.session_id = el.app_stream),
+rk AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY identity DESC, d, health DESC, app_stream, db_stream) AS rank FROM sc)"""
+
+
+@query(f"""WITH {SCORED} SELECT event_id, correlation_id, app_stream, n AS packets_near, round(d, 6) AS distance, frame AS nearest_frame, round(identity + 1e-7, 4) AS identity_score, health AS health_score,
+round(identity + 0.01::DOUBLE * health + 1e-7, 4) AS total_score, rank FROM rk WHERE rank <= 10""")
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, c = scored(spark, sf_dir)
-    return c.select("event_id", "correlation_id", "app_stream", "packets_near", F.round("distance", 6).alias("distance"), F.col("nearest.frame_number").alias("nearest_frame"), F.round(F.col("identity_score") + 1e-7, 4).alias("identity_score"))
+    _, _, c, _ = scored(spark, sf_dir)
+    points = lambda c: F.round(F.col(c) + 1e-7, 4).alias(c)
+    return c.select("event_id", "correlation_id", "app_stream", "packets_near", F.round("distance", 6).alias("distance"), F.col("nearest.frame_number").alias("nearest_frame"), points("identity_score"), "health_score", points("total_score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH {ELIGIBLE}, c AS (SELECT event_id, count(*) AS n FROM ep GROUP BY ALL), l AS (SELECT event_id, count(*) AS n FROM el GROUP BY ALL)
@@ -251,14 +261,15 @@ def candidate_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.accounting(event_table(spark, sf_dir), pair(spark, sf_dir).flows)
 
 
-@query(f"""WITH {ELIGIBLE}, sc AS (SELECT *, round(fixed + CASE WHEN n > 0 THEN greatest(0, 15 * (1 - least(d, 10) / 10)) + least(5, 0.1::DOUBLE * n) ELSE 0 END, 6) AS identity FROM el JOIN near USING (event_id, app_stream)),
-rk AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY identity DESC, d) AS r FROM sc),
-st AS (SELECT event_id, count(*) AS n, max(identity) AS best, max(identity) FILTER (r = 2) AS second, count(*) FILTER (identity >= 60) AS covering FROM rk GROUP BY ALL)
-SELECT ev.event_id, CASE WHEN st.n IS NULL THEN 'NO_MATCH' WHEN st.n > 1 AND (best < 70 OR (second >= best - 8 AND second >= 60) OR covering > 1) THEN 'AMBIGUOUS' ELSE 'MATCHED' END AS correlation_status, round(best + 1e-7, 4) AS identity_score, least(coalesce(st.n, 0), 10) AS candidate_count
+@query(f"""WITH {SCORED},
+st AS (SELECT event_id, count(*) AS n, max(identity) AS best, max(identity) FILTER (rank = 2) AS second, count(*) FILTER (identity >= 60) AS covering, arg_min(correlation_id, rank) AS correlation_id, arg_min(frame, rank) AS frame FROM rk GROUP BY ALL)
+SELECT ev.event_id, CASE WHEN st.n IS NULL THEN 'NO_MATCH' WHEN st.n > 1 AND (best < 70 OR (second >= best - 8 AND second >= 60) OR covering > 1) THEN 'AMBIGUOUS' ELSE 'MATCHED' END AS correlation_status,
+       correlation_id, frame AS nearest_tcp_frame, round(best + 1e-7, 4) AS identity_score, coalesce(st.n, 0) AS eligible_count, least(coalesce(st.n, 0), 10) AS candidate_count
 FROM ev LEFT JOIN st USING (event_id)""")
 def correlation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, d, c = scored(spark, sf_dir)
-    return correlate.correlate(e, c, correlate.accounting(e, d.flows)).select("event_id", "correlation_status", F.round(F.round("identity_score", 6) + 1e-7, 4).alias("identity_score"), "candidate_count")
+    e, _, c, counts = scored(spark, sf_dir)
+    out = correlate.correlate(e, c, counts)
+    return out.select("event_id", "correlation_status", "correlation_id", "nearest_tcp_frame", F.round(F.col("identity_score") + 1e-7, 4).alias("identity_score"), "eligible_count", "candidate_count")
 
 
 def chosen_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dual, DataFrame]:
