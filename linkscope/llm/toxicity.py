@@ -14,7 +14,8 @@ of those that only repeat others. The result is a probability of the label for e
 Classifier. Logistic regression on the listed words and stems, each with a weight of its own, is
 trained on those probabilities, and scores any text by its words.
 
-Fitting takes at most about TRAIN_ROWS labelled rows by a hash of their ids, each text once.
+Fitting takes at most about TRAIN_ROWS labelled rows by a hash of their ids. Rows with the same words, patterns
+and label are one row with a weight.
 Defined cases: null and empty texts have no words and score by the intercept; labels of null
 teach nothing; repeated rows score alike; with nothing to learn from, the fixed list decides.
 """
@@ -137,20 +138,22 @@ def voted(own: list[np.ndarray], shapes: list[list[bool]], lexicon: list[int], i
 def fit(texts: list[str], labels: list[int]) -> Model:
     """A classifier from texts and their labels (1: toxic)."""
     number: dict[str, int] = {}
-    seen, own, shapes, folds, y = set(), [], [], [], []
+    seen, own, shapes, folds, y, weight = {}, [], [], [], [], []
     for text, label in zip(texts, labels):
-        f = features(text)
-        near = tuple(sorted(zlib.crc32(w.encode()) for w in f)[:3])  # near copies share it mostly
-        if (near, label) not in seen:
-            seen.add((near, label))
+        f, shown = features(text), patterns(text or "")
+        row = seen.setdefault((frozenset(f), *shown, label), len(y))
+        if row == len(y):
             own.append(np.fromiter((number.setdefault(w, len(number)) for w in sorted(f)), dtype=np.int32, count=len(f)))
-            shapes.append(patterns(text or ""))
-            folds.append(near[0] % FOLDS if near else 0)
+            shapes.append(shown)
+            folds.append(min((zlib.crc32(w.encode()) for w in f), default=0) % FOLDS)  # near copies share it mostly
             y.append(label)
-    names, y = list(number), np.array(y, dtype=float)
+            weight.append(0)
+        weight[row] += 1
+    names, y, weight = list(number), np.array(y, dtype=float), np.array(weight, dtype=float)
     if not len(y) or not y.any():
         return Model({w: 6.0 for w in INSULTS}, -3.0)
-    size, share = len(names), float(y.mean())
+    # Copies say nothing new of which words go with a label, so words are mined from different rows; all else weighs each row by its copies.
+    size, share = len(names), float((y * weight).sum() / weight.sum())
     count = lambda rows: np.bincount(np.concatenate([own[r] for r in rows]), minlength=size) if len(rows) else np.zeros(size, dtype=np.int64)
     toxic = count(np.flatnonzero(y == 1))
     df = toxic + count(np.flatnonzero(y == 0))
@@ -162,8 +165,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         bad = rows[y[rows] == 1]
         others, _ = mined(toxic - count(bad), df - count(rows), len(y) - len(rows), share, names)
         votes[rows] = voted([own[r] for r in rows], [shapes[r] for r in rows], others, insults, names)
-    pooled, at, n = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
-    label_model = LabelModel(pooled, n.astype(float), share)
+    pooled, at = np.unique(votes, axis=0, return_inverse=True)
+    label_model = LabelModel(pooled, np.bincount(at.ravel(), weights=weight), share)
     target = label_model.posterior(label_model.said)[at.ravel()]
     # Logistic regression on the probabilities, by accelerated gradient steps on a sparse matrix.
     top = set(lexicon + insults)
@@ -180,9 +183,9 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     for _ in range(300):
         wl, bl = w + 0.9 * vw, b + 0.9 * vb
         z = np.bincount(row, weights=value * wl[col], minlength=len(y)) + bl
-        e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
-        gw = np.bincount(col, weights=value * e[row], minlength=len(chosen)) / len(y) + 1e-5 * wl
-        vw, vb = 0.9 * vw - step * gw, 0.9 * vb - step * e.mean()
+        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * weight / weight.sum()
+        gw = np.bincount(col, weights=value * e[row], minlength=len(chosen)) + 1e-5 * wl
+        vw, vb = 0.9 * vw - step * gw, 0.9 * vb - step * e.sum()
         w, b = w + vw, b + vb
     scaled = w * rarity
     # Insults that the sample lacks weigh as much as the middle one of those that it has.
