@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import packets as P
 from ..schemas import KEYS
+from ..stages import Stage
+from . import scan
 
 FLOW_KEY = ["client_ip", "client_port", "server_ip", "server_port"]
+#: Seconds between starts, at most, of sessions that do not overlap.
+NEAR = 600
+#: Sessions of one 4-tuple that meet those of the other side without a look at the time.
+FEW = 64
+#: Rounds of mutual best pairs before the rest is walked through in order.
+ROUNDS = 6
 
 
 def relative_syn(packets: DataFrame) -> DataFrame:
@@ -16,39 +28,82 @@ def relative_syn(packets: DataFrame) -> DataFrame:
     return packets.where(P.flag("SYN") & ~P.flag("ACK")).groupBy(*KEYS).agg(F.min_by("tcp_seq", "pkt_ord").alias("syn_seq"))
 
 
-def match_flows(app: DataFrame, db: DataFrame) -> DataFrame:
+def match_flows(app: DataFrame, db: DataFrame, stage: Stage | None = None) -> DataFrame:
     """One row a pair of sessions of the same connection; app and db are sessions with syn_seq.
 
     Pairs of one 4-tuple are taken greedily by overlap, longest first, each session once. Pairs
-    that do not overlap score 1 / (1 + gap), if their starts are at most 600 s apart.
+    that do not overlap score 1 / (1 + gap), if their starts are at most NEAR seconds apart.
     """
-    side = lambda s, x: s.select(*FLOW_KEY, F.col("session_id").alias(f"{x}_stream"), F.col("session_ord").alias(f"{x}_ord"), F.col("start_time").alias(f"{x}_start"), F.col("end_time").alias(f"{x}_end"), F.col("syn_seq").alias(f"{x}_syn"), F.count(F.lit(1)).over(Window.partitionBy(*FLOW_KEY)).alias(f"{x}_n"))
-    j = side(app, "app").join(side(db, "db"), FLOW_KEY)
+    stage = stage or Stage(app.sparkSession, "flows")
+    j = stage.keep(session_pairs(app, db), "pairs")
+    matched = greedy(j, stage)
+    confidence = F.when(F.col("overlap") <= 0, "SUSPECTED").when((F.col("app_n") > 1) | (F.col("db_n") > 1), "STRONG").otherwise("CONFIRMED")
+    rows = matched.withColumn("confidence", confidence).select(*FLOW_KEY, "worse", "app_ord", "db_ord", "app_stream", "db_stream", "app_start", "app_end", "db_start", "db_end", "confidence")
+    out = scan.numbered(rows, [*FLOW_KEY, "worse", "app_ord", "db_ord"], "no", stage)
+    return out.withColumn("correlation_id", F.format_string("CF%04d", "no")).drop("worse", "app_ord", "db_ord", "no")
+
+
+def session_pairs(app: DataFrame, db: DataFrame) -> DataFrame:
+    """Pairs of sessions that may be one: (4-tuple, worse, app_*, db_*, overlap). The smaller (worse, app_ord, db_ord), the better.
+
+    Sessions of a 4-tuple with few of them on a side meet at once; others only where they come near
+    in time, by buckets of it.
+    """
+    def side(s: DataFrame, x: str) -> DataFrame:
+        sized = s.groupBy(*FLOW_KEY).agg(F.count(F.lit(1)).alias(f"{x}_n"))
+        own = s.select(*FLOW_KEY, F.col("session_id").alias(f"{x}_stream"), F.col("session_ord").alias(f"{x}_ord"), F.col("start_time").alias(f"{x}_start"), F.col("end_time").alias(f"{x}_end"), F.col("syn_seq").alias(f"{x}_syn"))
+        return own.join(sized, FLOW_KEY)
+
+    a, d = side(app, "app"), side(db, "db")
+    sizes = a.select(*FLOW_KEY, "app_n").distinct().join(d.select(*FLOW_KEY, "db_n").distinct(), FLOW_KEY).select(*FLOW_KEY, (F.least("app_n", "db_n") > FEW).alias("many"))
+    a, d = a.join(sizes, FLOW_KEY), d.join(sizes.drop("many"), FLOW_KEY)
+    bucket = lambda c, more=0: F.floor(F.col(c) / NEAR) + more
+    a = a.withColumns({"a0": F.when(F.col("many"), bucket("app_start", -1)).otherwise(0), "a1": F.when(F.col("many"), bucket("app_end", 1)).otherwise(0)})
+    d = d.join(sizes, FLOW_KEY).withColumns({"d0": F.when(F.col("many"), bucket("db_start")).otherwise(0), "d1": F.when(F.col("many"), bucket("db_end")).otherwise(0)}).drop("many")
+    spread = lambda s, x: s.withColumn("bucket", F.explode(F.sequence(f"{x}0", F.greatest(f"{x}0", f"{x}1"))))
+    j = spread(a, "a").join(spread(d, "d"), [*FLOW_KEY, "bucket"]).where(F.col("bucket") == F.greatest("a0", "d0"))
     overlap = F.greatest(F.lit(0.0), F.least("app_end", "db_end") - F.greatest("app_start", "db_start"))
     gap = F.abs(F.col("app_start") - F.col("db_start"))
     j = j.where(~F.coalesce((F.col("app_syn") != 0) & (F.col("db_syn") != 0) & (F.col("app_syn") != F.col("db_syn")), F.lit(False)))
-    j = j.withColumn("overlap", F.coalesce(overlap, F.lit(0.0))).where((F.col("overlap") > 0) | (gap <= 600))
+    j = j.withColumn("overlap", F.coalesce(overlap, F.lit(0.0))).where((F.col("overlap") > 0) | (gap <= NEAR))
     score = F.when(F.col("overlap") > 0, F.col("overlap")).otherwise(1 / (1 + gap))
-    confidence = F.when(F.col("overlap") <= 0, "SUSPECTED").when((F.col("app_n") > 1) | (F.col("db_n") > 1), "STRONG").otherwise("CONFIRMED")
-    cand = F.struct((-score).alias("worse"), "app_ord", "db_ord", "app_stream", "db_stream", "app_start", "app_end", "db_start", "db_end", confidence.alias("confidence"))
-    taken = j.groupBy(*FLOW_KEY).agg(F.array_sort(F.collect_list(cand)).alias("cands"))  # few: only sessions that reuse one port
-    kept = taken.withColumn("kept", F.expr("aggregate(cands, slice(cands, 1, 0), (acc, x) -> IF(exists(acc, y -> y.app_stream = x.app_stream OR y.db_stream = x.db_stream), acc, concat(acc, array(x))))"))
-    rows = kept.select(*FLOW_KEY, F.posexplode("kept").alias("place", "k")).select(*FLOW_KEY, "place", "k.*")
-    return numbered(rows, "CF", [*FLOW_KEY, "place"], "correlation_id").drop("worse", "app_ord", "db_ord", "place")
+    return j.withColumn("worse", -score).drop("bucket", "a0", "a1", "d0", "d1", "many", "app_syn", "db_syn")
 
 
-def numbered(df: DataFrame, prefix: str, order: list[str], name: str) -> DataFrame:
-    """df with ids prefix0001, prefix0002, ... in that order.
+def greedy(pairs: DataFrame, stage: Stage) -> DataFrame:
+    """What taking pairs in the order (worse, app_ord, db_ord), each session once, gives.
 
-    Rows are numbered in range partitions, and each partition starts where the smaller ones end,
-    so no task holds all rows.
+    A pair that is the best of both its sessions is taken by any such walk, whatever comes before:
+    all of these go at once, with all pairs of their sessions, and the rest follows in rounds.
+    What is left after ROUNDS is walked through in order, 4-tuple by 4-tuple, with the sessions taken so
+    far as the only state.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    starts = sizes.select(F.col("_part").alias("_p"), (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))  # a row a partition
-    out = ranged.join(F.broadcast(starts), F.col("_part") == F.col("_p"))
-    return out.withColumn(name, F.format_string(f"{prefix}%04d", F.col("_n") + F.col("_before"))).drop("_part", "_n", "_p", "_size", "_before")
+    best, taken, left = F.struct("worse", "app_ord", "db_ord"), [], pairs
+    a, d = [*FLOW_KEY, "app_stream"], [*FLOW_KEY, "db_stream"]
+    for _ in range(ROUNDS):
+        mutual = left.withColumn("rank", best)
+        top = lambda by, name: left.groupBy(*by).agg(F.min(best).alias(name))
+        mutual = mutual.join(top(a, "a_best"), a).join(top(d, "d_best"), d).where((F.col("rank") == F.col("a_best")) & (F.col("rank") == F.col("d_best"))).select(pairs.columns)
+        taken.append(stage.keep(mutual, "mutual", readers=3))
+        left = stage.keep(left.join(taken[-1].select(*a), a, "left_anti").join(taken[-1].select(*d), d, "left_anti"), "left")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, taken)
+
+    def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, used = None, set()
+        for batch in batches:
+            keep = []
+            for k, row in enumerate(zip(*[batch.column(c).to_pylist() for c in (*FLOW_KEY, "app_stream", "db_stream")])):
+                if row[:4] != key:
+                    key, used = row[:4], set()
+                x, y = ("a", row[4]), ("d", row[5])
+                if x not in used and y not in used:
+                    used |= {x, y}
+                    keep.append(k)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    rest = left.select(pairs.columns).repartition(*FLOW_KEY).sortWithinPartitions(*FLOW_KEY, "worse", "app_ord", "db_ord").mapInArrow(walk, pairs.schema)
+    return reduce(DataFrame.unionByName, [*taken, rest])
 
 
 def unmatched(sessions: DataFrame, flows: DataFrame, stream: str) -> DataFrame:
