@@ -54,7 +54,7 @@ def quality_code(*captures: Capture) -> int:
 
 def run_case(spark: SparkSession, jdbc: str, app: str, db: str, ping: str | None, out: str, a: argparse.Namespace) -> dict:
     c = case_of(spark, jdbc, app, db, ping, a)
-    frames = {"jdbc_events": c.events, "jdbc_tcp_correlations": c.correlations, "jdbc_timeline": c.timeline, "dual_flows": c.dual.flow_counts, "dual_segments": c.dual.segments, "unified_timeline": c.unified}
+    frames = {"jdbc_events": c.events, "jdbc_tcp_correlations": c.correlations, "jdbc_timeline": c.timeline, "dual_flows": c.dual.flow_counts, "dual_segments": c.dual.segments, "unified_timeline": c.unified, "case_evidence": c.evidence}
     if c.samples is not None:
         frames |= {"ping_events": c.samples, "ping_correlation": c.ping_statistics}
     write(out, "Case report", frames, reports.case_sections(c))

@@ -9,7 +9,7 @@ from ..functions import logtext, packets as P
 from ..operators import correlate, dual, grouping, ping, timeline
 from ..sources import fieldtext, logs, roles
 from . import views
-from .analyze import Capture, Dual
+from .analyze import Capture, Case, Dual
 from .queries import ANOMALY, RESET, RETX, SESSION, SHAKE, STALL, SUMMARY, ZERO, pk, query
 
 
@@ -221,7 +221,7 @@ def event_rows(d: dict) -> str:
 
 def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(event_rows(views.SPARK).replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
-    return rows.withColumns({"exception_class": F.lit(None).cast("string"), "message": F.lit(None).cast("string")})
+    return rows.withColumns({c: F.lit(None).cast("string") for c in ("exception_class", "message", "source_file", "thread_name", "connection_hint", "timestamp_raw", "start_line", "end_line")}).withColumn("source_file", F.lit("log"))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dual, DataFrame, DataFrame]:
@@ -339,6 +339,44 @@ def unified_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.unified(t, ping.markers(e, sample_table(spark, sf_dir)), timeline.key_event(e))
 
 
+def kinds_sql(view: str) -> str:
+    """Data sent again, and stalls, of a view, at the time of their first packet."""
+    return f"""(WITH {pk(view)}, {RETX}, {STALL}
+  SELECT r.session_id, 'DATA_RETRANSMISSION' AS kind, p.timestamp AS ts FROM r JOIN p ON p.pkt_ord = r.first_ord WHERE plane = 'data'
+  UNION ALL SELECT s.session_id, 'ACK_STALLED', p.timestamp FROM s JOIN p ON p.session_id = s.session_id AND p.frame_number = s.frames[1])"""
+
+
+EVIDENCE_SEGMENTS = f"""(WITH {segments_sql('app', 'db')} SELECT ex.c, a0.ts FROM ex JOIN a0 ON (a0.c, a0.direction, a0.seq, a0.len, a0.h) = (ex.c, ex.direction, ex.seq, ex.len, ex.h) WHERE ex.h IS NOT NULL)"""
+
+
+@query(f"""WITH {SCORED},
+st AS (SELECT event_id, count(*) AS n, max(identity) AS best, max(identity) FILTER (rank = 2) AS second, count(*) FILTER (identity >= 60) AS covering FROM rk GROUP BY ALL),
+cs AS (SELECT event_id, best, CASE WHEN n > 1 AND (best < 70 OR (second >= best - 8 AND second >= 60) OR covering > 1) THEN 'AMBIGUOUS' ELSE 'MATCHED' END AS status FROM st),
+way AS (SELECT rk.event_id, rk.t0, rk.correlation_id, rk.app_stream, rk.db_stream FROM rk JOIN cs USING (event_id) WHERE rank = 1 OR (status = 'AMBIGUOUS' AND rank BETWEEN 2 AND 4 AND identity >= best - 10)),
+tm AS (
+  SELECT event_id, correlation_id, kind, ts FROM way JOIN {kinds_sql("app")} k ON k.session_id = app_stream WHERE abs(ts - t0) <= 90
+  UNION ALL SELECT event_id, correlation_id, kind, ts FROM way JOIN {kinds_sql("db")} k ON k.session_id = db_stream WHERE abs(ts - t0) <= 90
+  UNION ALL SELECT event_id, correlation_id, 'MATCHED_SEGMENT', ts FROM way JOIN {EVIDENCE_SEGMENTS} g ON c = correlation_id WHERE abs(ts - t0) <= 30
+  UNION ALL SELECT event_id, correlation_id, CASE WHEN (tcp_flags & 1) <> 0 THEN 'FIN' ELSE 'RST' END, timestamp
+    FROM way JOIN (SELECT 'a' AS side, * FROM ap UNION ALL SELECT 'd', * FROM dp) m ON (side = 'a' AND session_id = app_stream) OR (side = 'd' AND session_id = db_stream)
+    WHERE (tcp_flags & 2) = 0 AND (tcp_flags & 5) <> 0 AND abs(timestamp - t0) <= 30),
+co AS (
+  SELECT event_id, 0 AS place, NULL AS ts, 'FIRST_CANDIDATE' AS kind, correlation_id, 'AMBIGUOUS' AS confidence FROM rk JOIN cs USING (event_id) WHERE status = 'AMBIGUOUS' AND rank = 1
+  UNION ALL SELECT rk.event_id, 1, rank, 'NEAR_TIE', rk.correlation_id, 'AMBIGUOUS' FROM rk JOIN cs USING (event_id) JOIN (SELECT event_id, identity + 0.01::DOUBLE * health AS top FROM rk WHERE rank = 1) t ON t.event_id = rk.event_id
+    WHERE status = 'AMBIGUOUS' AND rank BETWEEN 2 AND 5 AND identity + 0.01::DOUBLE * health >= top - 10
+  UNION ALL SELECT event_id, 2, ts, kind, correlation_id, 'CONFIRMED' FROM tm),
+cut AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY place, ts, kind, correlation_id) AS item FROM co)
+SELECT event_id, 'CORRELATED_EVIDENCE' AS evidence_class, kind, correlation_id, confidence, count(*) AS n FROM cut WHERE item <= 40 GROUP BY ALL
+UNION ALL SELECT event_id, class, kind, NULL, confidence, n FROM ev, (VALUES ('CONFIRMED_FACTS', 'LOGGED_EVENT', 'CONFIRMED', 1), ('CONFIRMED_FACTS', 'APP_CAPTURE', 'CONFIRMED', 1), ('CONFIRMED_FACTS', 'DB_CAPTURE', 'CONFIRMED', 1), ('CONFIRMED_FACTS', 'PING_COUNTS', 'CONFIRMED', 1),
+  ('SUPPORTING_EVIDENCE', 'PING_SUMMARY', 'SUPPORTING_EVIDENCE', 1), ('SUPPORTING_EVIDENCE', 'PING_CAUTION', 'SUPPORTING_EVIDENCE', 1), ('UNKNOWN', 'CAVEAT', NULL, 3)) v(class, kind, confidence, n)
+UNION ALL SELECT event_id, 'CONFIRMED_FACTS', 'SELECTED_FLOW', correlation_id, 'STRONG', 1 FROM rk JOIN cs USING (event_id) WHERE status = 'MATCHED' AND rank = 1
+UNION ALL SELECT event_id, 'UNKNOWN', 'NO_UNIQUE_FLOW', NULL, NULL, 1 FROM cs WHERE status = 'AMBIGUOUS'""")
+def case_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of every event, counted by kind and flow."""
+    c = Case(pair(spark, sf_dir), event_table(spark, sf_dir), sample_table(spark, sf_dir))
+    return c.all_evidence.groupBy("event_id", "evidence_class", "kind", "correlation_id", "confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"""WITH ev AS ({event_rows(views.DUCK)}) SELECT arg_max(event_id, (event_type = 'CONNECTION_RESET', event_ord)) AS key_event, arg_max(event_id, (event_type = 'CONNECTION_RESET', -event_ord)) AS first_key_event FROM ev""")
 def key_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = event_table(spark, sf_dir)

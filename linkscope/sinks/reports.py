@@ -54,7 +54,7 @@ def dual_sections(d: Dual) -> list[tuple[str, DataFrame]]:
 
 def case_sections(c: Case) -> list[tuple[str, DataFrame]]:
     ping = [("Ping around events", c.ping_statistics)] if c.samples is not None else []
-    return [("Key event", c.key_event), ("Events", c.events.orderBy("event_ord")), ("Correlation", c.correlations.orderBy("event_id")), *dual_sections(c.dual), *ping, ("Unified timeline", c.unified.orderBy("timestamp", "source", "event_type"))]
+    return [("Key event", c.key_event), ("Events", c.events.orderBy("event_ord")), ("Correlation", c.correlations.orderBy("event_id")), *dual_sections(c.dual), *ping, ("What the case may claim", c.evidence.orderBy("evidence_class", "item")), ("Unified timeline", c.unified.orderBy("timestamp", "source", "event_type"))]
 
 
 def markdown(title: str, sections: list[tuple[str, DataFrame]], limit: int = ROWS) -> str:

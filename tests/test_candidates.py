@@ -56,7 +56,7 @@ def case(seed, n_flows=40, n_events=60, span=2000):
         hi = lo + r.choice([0, 3, 50, 400, span])
         flows.append((f"CF{a:04d}", "c", a, r.choice(["s1", "s1", "s2"]), r.choice([1, 1, 2]), a, 1000 + a, lo if a % 13 else None, hi))
         times = [lo, hi, *(r.uniform(lo, hi) for _ in range(r.choice([0, 2, 30])))]
-        packets += [(a, 0, t if r.random() < 0.9 else float(round(t)), 0) for t in times]
+        packets += [] if a % 11 == 5 else [(a, 0, t if r.random() < 0.9 else float(round(t)), 0) for t in times]
         found += [(a, kind) for kind in "ABCDEFGHIJKLMNOPQRSTU"[: r.choice([0, 0, 1, 3, 21])]]
     packets = [(s, k, t, 7 * k) for k, (s, _, t, _) in enumerate(packets)]
     events = [(f"E{k}", r.choice([None, float(r.randint(0, 2 * span)), r.uniform(0, 2 * span)]), r.choice([None, "s1", "s2", "s3"]), r.choice([None, 1, 2])) for k in range(n_events)]
