@@ -90,12 +90,12 @@ sm AS (
 ANOMALY = """
 an AS (
   SELECT NULL::BIGINT AS session_id, 'PACKET_TRUNCATED' AS type, 'WARNING' AS severity, 'PACKET_TRUNCATED: ' || count(*) || ' packets' AS summary, list(frame_number ORDER BY pkt_ord)[1:50] AS frames, NULL::BIGINT AS seq, NULL::INT AS len FROM p WHERE cap_len < frame_len HAVING count(*) > 0
-  UNION ALL SELECT session_id, 'HANDSHAKE_INCOMPLETE', 'INFO', 'Handshake Latency = N/A（捕获中未见 SYN）', [], NULL, NULL FROM h WHERE syn_ts IS NULL
+  UNION ALL SELECT session_id, 'HANDSHAKE_INCOMPLETE', 'INFO', 'The capture holds no SYN: latency of the handshake unknown', [], NULL, NULL FROM h WHERE syn_ts IS NULL
   UNION ALL SELECT session_id, upper(plane) || '_RETRANSMISSION', severity, upper(plane) || '_RETRANSMISSION x' || count || ' Seq=' || seq || ' Len=' || tcp_len, frames, seq, tcp_len FROM r
-  UNION ALL SELECT session_id, 'ACK_STALLED', 'HIGH', 'ACK 未推进：Expected=' || expected_ack || ' Observed=' || observed_ack, frames, seq, tcp_len FROM s
+  UNION ALL SELECT session_id, 'ACK_STALLED', 'HIGH', 'Not acknowledged: ' || expected_ack || ' expected, ' || observed_ack || ' at most seen', frames, seq, tcp_len FROM s
   UNION ALL SELECT session_id, classification, severity, classification || ' @ frame ' || frame, [frame], NULL, NULL FROM xs
   UNION ALL SELECT session_id, 'ZERO_WINDOW', CASE WHEN count(*) OVER (PARTITION BY session_id) >= 5 THEN 'HIGH' ELSE 'WARNING' END, 'Zero Window (' || direction || ')', frames, NULL, NULL FROM z
-  UNION ALL SELECT NULL, 'MULTI_STREAM_RETRANSMISSION', 'HIGH', count(DISTINCT session_id) || ' 个独立 TCP Stream 同时存在持续重传', [], NULL, NULL FROM r WHERE severity = 'HIGH' AND plane = 'data' HAVING count(DISTINCT session_id) >= 2)"""
+  UNION ALL SELECT NULL, 'MULTI_STREAM_RETRANSMISSION', 'HIGH', 'Persistent retransmissions in ' || count(DISTINCT session_id) || ' streams', [], NULL, NULL FROM r WHERE severity = 'HIGH' AND plane = 'data' HAVING count(DISTINCT session_id) >= 2)"""
 EVERYTHING = "WITH " + ", ".join([pk(), RETX, STALL, RESET, ZERO, SHAKE, SESSION, SUMMARY, ANOMALY])
 
 
