@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.packets import once
+from .lines import numbered
 
 #: The fields in order.
 FIELDS = (
@@ -39,7 +40,6 @@ def parse(lines: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, path: str, port: int | None = None, max_packets: int | None = None) -> DataFrame:
     """Packets of the field-text files under path; each file is a capture, its lines are numbered as they stand."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("capture_id"), F.posexplode(F.split("value", "\n")).alias("i", "value")).where("value <> ''")
-    p = parse(whole.select("capture_id", (F.col("i") + 1).cast("long").alias("line_no"), "value"))
+    p = parse(numbered(spark, path, "capture_id", ends="\n").where("value <> ''"))
     p = p if port is None else p.where((F.col("src_port") == port) | (F.col("dst_port") == port))
     return p if max_packets is None else p.orderBy("capture_id", "pkt_ord").limit(max_packets)

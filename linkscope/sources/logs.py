@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import logtext as L
+from ..operators import scan
+from ..stages import Stage
+from .lines import numbered
 
 #: The grammar of the logs.
 HEADER = r"^\[(ERROR|WARN|INFO|DEBUG|SQL)\s*-\s*(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\]\s+tid:(\d+)\s+-\s+\[([^\]]+)\]\s*(.*)$"
 EXCEPTION = r"(?U)^([\w.$]+(?:Exception|Error|Throwable))\s*:\s*(.*)$"
 CAUSE = r"(?U)^Caused by:\s*([\w.$]+)\s*:\s*(.*)$"
-LINE_ENDS = r"\r\n|[\n\r\x0B\f\x1C\x1D\x1E\x85\x{2028}\x{2029}]"
+#: What ends a line beside line feeds and carriage returns.
+MORE_ENDS = r"[\x0B\f\x1C\x1D\x1E\x85\x{2028}\x{2029}]"
 PING_LINE = r"^\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d+)?)\]\s*(.*)$"
 LINUX_REPLY = r"(?i)\d+\s+bytes from ([\d.]+):\s*icmp_seq=(\d+)\s+ttl=(\d+)\s+time=([\d.]+)\s*ms"
 WINDOWS_REPLY = r"(?i)Reply from ([\d.]+):\s*bytes=\d+\s*time(?:=|<)([\d.]+)ms\s*TTL=(\d+)"
@@ -20,16 +24,19 @@ BANNER = r"(?i)Ping monitor started:\s*([\d.]+)|^PING\s+([\d.]+)"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """source_file, line_no and value of every line of the files under path."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source_file"), "value")
-    lines = whole.select("source_file", F.posexplode(F.split("value", LINE_ENDS)).alias("i", "value"), F.size(F.split("value", LINE_ENDS)).alias("n"))
-    return lines.where("NOT (i = n - 1 AND value = '')").select("source_file", (F.col("i") + 1).alias("line_no"), "value")
+    """source_file, line_no and value of every line of the files under path, read in splits."""
+    return numbered(spark, path, more_ends=MORE_ENDS)
 
 
-def parse_jdbc(lines: DataFrame, default_host: str | None = None, default_port: int | None = None, timezone: str = "UTC") -> DataFrame:
-    """One row for each network fault: a header line of ERROR, or of WARN with an exception, and the lines up to the next header."""
-    order = Window.partitionBy("source_file").orderBy("line_no")
-    n = lines.withColumn("is_header", F.col("value").rlike(HEADER)).withColumn("block", F.count_if("is_header").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("block > 0")
+def parse_jdbc(lines: DataFrame, default_host: str | None = None, default_port: int | None = None, timezone: str = "UTC", stage: Stage | None = None) -> DataFrame:
+    """One row for each network fault: a header line of ERROR, or of WARN with an exception, and the lines up to the next header.
+
+    Headers and events are counted in ranges of lines, so that a file of any size is many tasks.
+    """
+    stage = stage or Stage(lines.sparkSession, "log")
+    lines = scan.ranged(lines, ["source_file"], ["line_no"], stage, "lines", readers=3)
+    header = F.when(F.col("value").rlike(HEADER), 1).otherwise(0).cast("long")
+    n = scan.running(lines, ["source_file"], ["line_no"], {"block": ("sum", header)}).drop(scan.PART).withColumn("is_header", F.col("value").rlike(HEADER)).where("block > 0")
     s = F.btrim("value", F.lit(" \t\r\x0b\f"))
     body = ~F.col("is_header") & (s != "")
     cause, exception = body & s.rlike(CAUSE), body & s.rlike(EXCEPTION) & ~s.startswith("at ") & ~s.rlike(CAUSE)
@@ -62,14 +69,18 @@ def parse_jdbc(lines: DataFrame, default_host: str | None = None, default_port:
     e = e.where("level = 'ERROR' OR (level = 'WARN' AND looks_thrown AND (exception_class IS NOT NULL OR caused_by_class IS NOT NULL))")
     e = e.withColumn("event_type", L.classify("exception_class", "raw_message", "caused_by_class", "raw_cause")).where("event_type <> 'NOT_NETWORK'")
     e = e.withColumns({"message": L.redact("raw_message"), "caused_by_message": L.redact("raw_cause")}).drop("raw_message", "raw_cause", "looks_thrown")
-    return e.withColumn("event_ord", F.row_number().over(Window.partitionBy("source_file").orderBy("start_line")).cast("long")).withColumn("event_id", F.format_string("JE%04d", "event_ord"))
+    e = scan.ranged(e, ["source_file"], ["start_line"], stage, "faults", readers=2)
+    e = scan.running(e, ["source_file"], ["start_line"], {"event_ord": ("sum", F.lit(1).cast("long"))}).drop(scan.PART)
+    return e.withColumn("event_id", F.format_string("JE%04d", "event_ord"))
 
 
-def parse_ping(lines: DataFrame, timezone: str = "UTC") -> DataFrame:
+def parse_ping(lines: DataFrame, timezone: str = "UTC", stage: Stage | None = None) -> DataFrame:
     """One row a sample; its host is its own, or that of the last banner before it."""
+    stage = stage or Stage(lines.sparkSession, "ping-log")
+    lines = scan.ranged(lines, ["source_file"], ["line_no"], stage, "lines", readers=2)
     p = lines.withColumn("ts_raw", L.found(F.col("value"), PING_LINE)).where("ts_raw IS NOT NULL").withColumn("body", F.regexp_extract("value", PING_LINE, 2))
     banner = F.coalesce(L.found(F.col("body"), BANNER, 1), L.found(F.col("body"), BANNER, 2))
-    p = p.withColumn("banner", banner).withColumn("default_host", F.last("banner", True).over(Window.partitionBy("source_file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
+    p = scan.running(p.withColumn("banner", banner), ["source_file"], ["line_no"], {"default_host": ("last", F.col("banner"))})
     p = p.where("banner IS NULL AND NOT startswith(body, '=====') AND trim(body) <> ''")
     b, low = F.col("body"), F.lower("body")
     linux, windows, silent = b.rlike(LINUX_REPLY), b.rlike(WINDOWS_REPLY), b.rlike(NO_ANSWER)
