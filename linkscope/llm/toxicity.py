@@ -22,6 +22,7 @@ teach nothing; repeated rows score alike; with nothing to learn from, the fixed
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -140,10 +141,11 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     number: dict[str, int] = {}
     seen, own, shapes, folds, y, weight = {}, [], [], [], [], []
     for text, label in zip(texts, labels):
-        f, shown = features(text), patterns(text or "")
-        row = seen.setdefault((frozenset(f), *shown, label), len(y))
+        f, shown = sorted(features(text)), patterns(text or "")
+        # A digest stands for the words, so that those of one text alone are in memory.
+        row = seen.setdefault((hashlib.blake2b(" ".join(f).encode(), digest_size=16).digest(), *shown, label), len(y))
         if row == len(y):
-            own.append(np.fromiter((number.setdefault(w, len(number)) for w in sorted(f)), dtype=np.int32, count=len(f)))
+            own.append(np.fromiter((number.setdefault(w, len(number)) for w in f), dtype=np.int32, count=len(f)))
             shapes.append(shown)
             folds.append(min((zlib.crc32(w.encode()) for w in f), default=0) % FOLDS)  # near copies share it mostly
             y.append(label)
