@@ -1,6 +1,6 @@
 """Command line: one capture, two captures, a case, or a folder of cases.
 
-Captures are field-text files of a dissector. Exit codes: 0 done, 1 failed, 2 done on a capture
+Captures are capture files or field-text files of a dissector. Exit codes: 0 done, 1 failed, 2 done on a capture
 of limited quality (or, for a batch, nothing to do).
 """
 
@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from . import config
 from .plans.analyze import Capture, Case, Dual, prepared
 from .schemas import DB_PORTS
-from .sinks import reports, tables
+from .sinks import exports, reports, tables
+from .sources import capture as capture_file
 from .sources import discover, fieldtext, logs, roles
+from .stages import Stage
 
 
 def port_of(text: str) -> int:
@@ -29,9 +31,21 @@ def port_of(text: str) -> int:
     return port
 
 
+def packets_of(spark: SparkSession, path: str, port: int | None = None, max_packets: int | None = None) -> tuple[DataFrame, bool]:
+    """Packets of a capture file or a file of field text, with ttl where it is known, and whether the file is cut short."""
+    if discover.kind_of(Path(path)) != "capture":
+        return fieldtext.read(spark, path, port, max_packets).withColumn("ttl", F.lit(None).cast("int")), False
+    packets, status = capture_file.read(spark, path, port, max_packets)
+    # A look at the first packets alone is meant to stop there.
+    return packets, max_packets is None and bool(status.agg(F.max("file_cut_short")).first()[0])
+
+
 def capture(spark: SparkSession, path: str, name: str, a: argparse.Namespace) -> Capture:
-    packets = prepared(fieldtext.read(spark, path, a.port, a.max_packets)).withColumn("capture_id", F.lit(name))
-    return Capture(packets, a.port, config.load(a.thresholds))
+    packets, cut_short = packets_of(spark, path, a.port, a.max_packets)
+    packets = packets.drop("ttl").withColumn("capture_id", F.lit(name))
+    c = Capture(prepared(packets), a.port, config.load(config.default_path(), a.thresholds), cut_short, Stage(spark, name))
+    c.raw = packets
+    return c
 
 
 def case_of(spark: SparkSession, jdbc: str, app: str, db: str, ping: str | None, a: argparse.Namespace) -> Case:
@@ -53,35 +67,63 @@ def quality_code(*captures: Capture) -> int:
 
 
 def run_case(spark: SparkSession, jdbc: str, app: str, db: str, ping: str | None, out: str, a: argparse.Namespace) -> dict:
+    """Write all of a case; what a batch says of it comes back."""
     c = case_of(spark, jdbc, app, db, ping, a)
-    frames = {"jdbc_events": c.events, "jdbc_tcp_correlations": c.correlations, "jdbc_timeline": c.timeline, "dual_flows": c.dual.flow_counts, "dual_segments": c.dual.segments, "unified_timeline": c.unified, "case_evidence": c.evidence}
+    frames = {
+        "jdbc_events": c.events, "jdbc_tcp_correlations": exports.correlations_table(c.correlations), "jdbc_tcp_candidates": exports.candidates_table(c.candidates), "jdbc_timeline": c.timeline,
+        "dual_flows": c.dual.flow_counts, "dual_segments": c.dual.segments, "unified_timeline": c.unified, "case_evidence": c.evidence,
+    }
     if c.samples is not None:
         frames |= {"ping_events": c.samples, "ping_correlation": c.ping_statistics}
     write(out, "Case report", frames, reports.case_sections(c))
-    s = c.correlations.groupBy("correlation_status").count().collect()
-    return {"events": sum(r["count"] for r in s), "correlation": {r["correlation_status"]: r["count"] for r in s}, "code": quality_code(c.dual.app, c.dual.db)}
+    exports.write_dual_anomalies(c.dual, out, a.key_seq)
+    s = {r["correlation_status"]: r["count"] for r in c.correlations.groupBy("correlation_status").count().collect()}
+    key = c.events.join(c.key_event.select("event_id"), "event_id").select("event_id", "event_type").join(c.correlations.select("event_id", "correlation_status", "eligible_count"), "event_id", "left").first()
+    quality, code = c.dual.app.quality.first(), quality_code(c.dual.app, c.dual.db)
+    said = {
+        "jdbc_event_count": sum(s.values()), "primary_event_type": key["event_type"] if key else "", "correlation_status": key["correlation_status"] if key else "", "candidate_count": key["eligible_count"] if key else "",
+        "tcp_health": c.dual.app.rollup.first()["tcp_health"] if quality else "", "capture_quality": quality["credibility"] if quality else "", "ping_status": "PROVIDED" if c.samples is not None else "NOT PROVIDED", "report_html": "report.html",
+    }
+    c.stage.close()
+    return {"events": sum(s.values()), "correlation": s, "code": code, **said}
 
 
 def run_auto(spark: SparkSession, folder: str, out: str, a: argparse.Namespace) -> dict:
-    """A case from a folder; captures without a role in their names are told apart by their packets."""
-    d = discover.discover(folder, dict(x.split("=", 1) for x in a.role))
+    """A case from a folder; captures without a role in their names are told apart by their packets. Whatever fails is this case's result."""
+    stage, status = "discovery", "ANALYSIS_FAILED"
     Path(out).mkdir(parents=True, exist_ok=True)
-    if d["status"] == "READY" and "unknown" in d["roles"].values():
-        for path in [p for p, r in d["roles"].items() if r == "unknown"]:
-            p = fieldtext.read(spark, path).withColumn("ttl", F.lit(None).cast("int"))
-            d["roles"][path] = roles.probe(p, a.server_ip, a.port).first()["role"].lower()
-        if sorted(d["roles"].values()) != ["app", "db"]:
-            d["status"] = "INPUT_AMBIGUOUS"
-    discover.write_manifest(d, f"{out}/input_manifest.json")
-    if d["status"] != "READY" or a.dry_run:
-        return {"status": d["status"], "code": 0 if a.dry_run and d["status"] == "READY" else 1}
-    side = {r: p for p, r in d["roles"].items()}
     try:
-        return {"status": "DONE", **run_case(spark, d["jdbc"][0], side["app"], side["db"], next(iter(d["ping"]), None), out, a)}
+        d = discover.discover(folder, dict(x.split("=", 1) for x in a.role))
+        if d["status"] == "READY" and "unknown" in d["roles"].values():
+            stage = "roles"
+            for path in [p for p, r in d["roles"].items() if r == "unknown"]:
+                d["roles"][path] = roles.probe(packets_of(spark, path)[0], a.server_ip, a.port).first()["role"].lower()
+            if sorted(d["roles"].values()) != ["app", "db"]:
+                d["status"] = "INPUT_AMBIGUOUS"
+        discover.write_manifest(d, f"{out}/input_manifest.json")
+        if d["status"] != "READY" or a.dry_run:
+            ready = d["status"] == "READY"
+            return {"status": d["status"], "code": 0 if ready else 1, **({} if ready else {"error_code": d["status"], "error_message": ", ".join(d["missing"])})}
+        side, stage = {r: p for p, r in d["roles"].items()}, "analysis"
+        done = run_case(spark, d["jdbc"][0], side["app"], side["db"], next(iter(d["ping"]), None), out, a)
+        return {"status": "SUCCESS_WITH_WARNINGS" if done["code"] == 2 else "SUCCESS", **done}
     except Exception as e:  # one case's failure must not end a batch
-        error = {"stage": "analysis", "error_type": type(e).__name__, "message": str(e)[:500]}
+        error = {"stage": stage, "error_type": type(e).__name__, "message": str(e)[:500]}
         Path(out, "case_error.json").write_text(json.dumps(error, ensure_ascii=False), encoding="utf-8")
-        return {"status": "ANALYSIS_FAILED", "code": 1, **error}
+        return {"status": status, "code": 1, "error_code": status, "error_message": error["message"].replace("\n", " "), **error}
+
+
+def run_batch(spark: SparkSession, folder: str, out: str, a: argparse.Namespace) -> int:
+    """Every folder of a folder as a case. 2: there is none; 1: one failed."""
+    rows = []
+    for p in sorted(Path(folder).iterdir()):
+        if p.is_dir() and p.resolve() != Path(out).resolve():
+            done = run_auto(spark, str(p), f"{out}/{p.name}", a)
+            rows.append({**done, "case_id": p.name, "case_path": str(p), "report_html": f"{p.name}/report.html" if done.get("report_html") else ""})
+    if not rows:
+        return 2
+    exports.write_batch(rows, out)
+    return int(any(not r["status"].startswith("SUCCESS") for r in rows))
 
 
 def main(args: list[str] | None = None) -> int:
@@ -95,6 +137,8 @@ def main(args: list[str] | None = None) -> int:
     common.add_argument("--log-timezone", default="UTC")
     common.add_argument("--role", action="append", default=[], help="file=app or file=db")
     common.add_argument("--dry-run", action="store_true")
+    common.add_argument("--key-seq", type=int, action="append", default=[], help="sequence numbers of segments to list in dual_anomalies")
+    common.add_argument("--save-payloads", action="store_true")
     kinds = top.add_subparsers(dest="kind", required=True)
     kinds.add_parser("single", parents=[common]).add_argument("file")
     two = kinds.add_parser("dual", parents=[common])
@@ -108,19 +152,19 @@ def main(args: list[str] | None = None) -> int:
     if a.kind == "single":
         c = capture(spark, a.file, "capture", a)
         write(a.out, "Capture report", {"flows": tables.flows_table(c.summaries), "evidence": c.evidence, "anomalies": c.anomalies}, reports.capture_sections(c))
+        if a.save_payloads:
+            exports.write_payloads(tables.payload_rows(c.bytes_of, c.retransmissions), a.out)
         return quality_code(c)
     if a.kind == "dual":
         d = Dual(capture(spark, a.app, "app", a), capture(spark, a.db, "db", a))
         write(a.out, "Two captures", {"dual_flows": d.flow_counts, "dual_segments": d.segments}, reports.dual_sections(d))
+        exports.write_dual_anomalies(d, a.out, a.key_seq)
         return quality_code(d.app, d.db)
     if a.kind == "case":
         return run_case(spark, a.jdbc, a.app, a.db, a.ping, a.out, a)["code"]
     if a.kind == "auto":
         return run_auto(spark, a.folder, a.out, a)["code"]
-    done = [{"case_id": p.name, **run_auto(spark, str(p), f"{a.out}/{p.name}", a)} for p in sorted(Path(a.folder).iterdir()) if p.is_dir()]
-    Path(a.out).mkdir(parents=True, exist_ok=True)
-    Path(a.out, "batch_summary.json").write_text(json.dumps(done, ensure_ascii=False, indent=2), encoding="utf-8")
-    return 2 if not done else int(any(r["code"] == 1 for r in done))
+    return run_batch(spark, a.folder, a.out, a)
 
 
 if __name__ == "__main__":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from dataclasses import dataclass, fields, replace
 from pathlib import Path
 
@@ -39,6 +40,14 @@ class Thresholds:
         return value if value in SEVERITIES else default
 
 
+def default_path() -> str | None:
+    """config/thresholds.json under the folder that LINKSCOPE_HOME names, or in one of the four folders above this file."""
+    home = os.environ.get("LINKSCOPE_HOME")
+    places = [Path(home)] if home else []
+    found = (p / "config" / "thresholds.json" for p in [*places, *list(Path(__file__).resolve().parents)[:4]])
+    return next((str(p) for p in found if p.is_file()), None)
+
+
 def load(*paths: str | None) -> Thresholds:
     """Defaults under each JSON file in turn; an unknown key or unreadable file leaves the defaults alone."""
     own, known = Thresholds(), {f.name for f in fields(Thresholds)}

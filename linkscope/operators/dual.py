@@ -147,12 +147,16 @@ def match_segments(app: DataFrame, db: DataFrame, flows: DataFrame) -> DataFrame
     status = F.when(both & F.col("app_hash").isNotNull(), "MATCHED_BOTH_SIDES").when(both, "HASH_UNAVAILABLE").when(many, "AMBIGUOUS").when(cross1 | cross2, "HASH_UNAVAILABLE").when(conflict, "AMBIGUOUS").when(lone_a, "ONLY_AT_APP_SIDE").otherwise("ONLY_AT_DB_SIDE")
     level = F.when(both & F.col("app_hash").isNotNull(), "CONFIRMED").when(both, "STRONG").when(many, "SUSPECTED").when(cross1 | cross2, "STRONG").when(conflict, "UNKNOWN").when(F.coalesce("app_hash", "db_hash").isNotNull(), "STRONG").otherwise("SUSPECTED")
     pick = lambda x, c: F.when(cross2, F.col(f"app_l.{c}")).otherwise(F.col(f"app_{c}")) if x == "app" else F.when(cross1, F.col(f"peer_l.{c}")).when(conflict, F.col(f"peer_h.{c}")).otherwise(F.col(f"db_{c}"))
+    # Where several buckets could be meant, the frames of all of them.
+    frames = lambda x, known: F.collect_set(F.when((lone_a if x == "app" else lone_d) & (F.col(f"{x}_hash").isNotNull() == F.lit(known)), F.col(f"{x}_frame"))).over(w)
+    j = j.withColumns({"frames1": F.array_union(frames("app", True), frames("db", False)), "frames2": F.array_union(frames("app", False), frames("db", True))})
+    meant = F.when(many, F.array_sort(F.when(cross1, F.col("frames1")).otherwise(F.col("frames2"))))
     delta = F.when(both | ((cross1 | cross2) & ~many), pick("app", "ts") - pick("db", "ts"))
     return j.where(~eaten).join(f, "correlation_id").select(
         *place, (F.col("seq") + F.col("tcp_len")).alias("expected_ack"), F.when(cross2, F.col("db_ack")).otherwise(F.coalesce("app_ack", "db_ack")).alias("ack"),
         pick("app", "frame").alias("app_frame"), pick("app", "ts").alias("app_timestamp"), "app_stream", pick("db", "frame").alias("db_frame"), pick("db", "ts").alias("db_timestamp"), "db_stream",
         pick("app", "hash").alias("payload_hash_app"), pick("db", "hash").alias("payload_hash_db"), F.when(both & F.col("app_hash").isNotNull(), True).when(conflict, False).alias("payload_hash_match"),
-        delta.alias("observed_delta"), status.alias("match_status"), level.alias("evidence_level"),
+        delta.alias("observed_delta"), status.alias("match_status"), level.alias("evidence_level"), meant.alias("candidate_frames"),
         F.coalesce(pick("app", "n"), F.lit(0)).alias("retransmission_count_app"), F.when(conflict, 0).otherwise(F.coalesce(pick("db", "n"), F.lit(0))).alias("retransmission_count_db"),
     )
 

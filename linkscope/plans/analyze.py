@@ -38,6 +38,15 @@ class Capture(Staged):
     th: Thresholds = Thresholds()
     cut_short: bool = False
     stage: Stage | None = None
+    raw: DataFrame | None = None
+
+    @cached_property
+    def bytes_of(self) -> DataFrame:
+        """Packets with their payloads, sessions and directions, where the capture was given with its raw packets."""
+        from pyspark.sql import functions as F
+
+        payloads = self.raw.select("capture_id", "pkt_ord", "payload_hex").where(F.coalesce("payload_hex", F.lit("")) != "")
+        return self.directed.join(payloads, ["capture_id", "pkt_ord"])
 
     @cached_property
     def keyed(self) -> DataFrame:

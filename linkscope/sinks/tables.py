@@ -39,6 +39,9 @@ def payload_rows(packets: DataFrame, retx: DataFrame) -> DataFrame:
     keys = ["capture_id", "session_id", "direction", "tcp_seq", "tcp_len"]
     wanted = retx.where("plane = 'data'").select("capture_id", "session_id", "direction", F.col("seq").alias("tcp_seq"), "tcp_len").distinct()
     hex_ok = F.col("payload_hex").rlike("^([0-9A-Fa-f]{2})+$")
-    first = packets.where(hex_ok).join(wanted, keys, "left_semi").groupBy(*keys).agg(F.min_by(F.struct("payload_hex", "frame_number"), "pkt_ord").alias("p"))
+    cut = F.coalesce(F.col("cap_len") < F.col("frame_len"), F.lit(False))
+    first = packets.where(hex_ok).join(wanted, keys, "left_semi").groupBy(*keys).agg(F.min_by(F.struct("payload_hex", "frame_number", cut.alias("truncated")), "pkt_ord").alias("p"))
     side = F.when(F.col("direction") == "client_to_server", "client").otherwise("server")
-    return first.select(*keys, F.format_string("stream_%d/%s_seq_%d_len_%d.bin", "session_id", side, "tcp_seq", "tcp_len").alias("file_name"), "p.frame_number", F.unhex("p.payload_hex").alias("payload"))
+    name = F.format_string("stream_%d/%s_seq_%d_len_%d.bin", "session_id", side, "tcp_seq", "tcp_len")
+    payload = F.unhex("p.payload_hex")
+    return first.select(*keys, name.alias("file_name"), "p.frame_number", payload.alias("payload"), F.sha2(payload, 256).alias("sha256"), F.length(payload).alias("bytes_written"), "p.truncated")
