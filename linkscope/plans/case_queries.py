@@ -71,7 +71,21 @@ def flow_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair(spark, sf_dir).flows.drop("server_ip", "server_port")
 
 
-@query()
+@query(f"""WITH RECURSIVE {flat("app_reuse", "a")}, {flat("db_reuse", "d")},
+pr AS (
+  SELECT a.cip, a.cport, a.session_id AS x, d.session_id AS y, a.ord AS ao, d.ord AS dord, a.s AS app_start, a.e AS app_end, d.s AS db_start, d.e AS db_end, greatest(0, least(a.e, d.e) - greatest(a.s, d.s)) AS overlap,
+         (SELECT count(*) FROM af n WHERE n.cip = a.cip AND n.cport = a.cport) AS na, (SELECT count(*) FROM df n WHERE n.cip = a.cip AND n.cport = a.cport) AS nd
+  FROM af a JOIN df d ON a.cip = d.cip AND a.cport = d.cport
+  WHERE NOT coalesce(a.syn <> 0 AND d.syn <> 0 AND a.syn <> d.syn, false) AND (least(a.e, d.e) > greatest(a.s, d.s) OR abs(a.s - d.s) <= 600)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY cip, cport ORDER BY CASE WHEN overlap > 0 THEN overlap ELSE 1 / (1 + abs(app_start - db_start)) END DESC, ao, dord) AS rn FROM pr),
+walk AS (
+  SELECT cip, cport, rn, [x] AS ux, [y] AS uy, true AS taken FROM rk WHERE rn = 1
+  UNION ALL
+  SELECT cip, cport, rn, CASE WHEN free THEN list_append(ux, x) ELSE ux END, CASE WHEN free THEN list_append(uy, y) ELSE uy END, free
+  FROM (SELECT rk.cip, rk.cport, rk.rn, x, y, ux, uy, NOT list_contains(ux, x) AND NOT list_contains(uy, y) AS free FROM walk w JOIN rk ON rk.cip = w.cip AND rk.cport = w.cport AND rk.rn = w.rn + 1))
+SELECT cip AS client_ip, cport AS client_port, '{views.SERVER_IP}' AS server_ip, {views.DB_PORT} AS server_port, x AS app_stream, y AS db_stream, app_start, app_end, db_start, db_end,
+       CASE WHEN overlap <= 0 THEN 'SUSPECTED' WHEN na > 1 OR nd > 1 THEN 'STRONG' ELSE 'CONFIRMED' END AS confidence, 'CF' || lpad(row_number() OVER (ORDER BY cip, cport, rn)::VARCHAR, 4, '0') AS correlation_id
+FROM rk JOIN walk USING (cip, cport, rn) WHERE taken""")
 def flow_match_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair(spark, sf_dir, "_reuse").flows
 
@@ -299,6 +313,39 @@ def timeline_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.timeline(e, chosen, {"APP": d.app.side(), "DB": d.db.side()}, d.segments)
 
 
+def kinds_sql(view: str) -> str:
+    """Data sent again, and stalls, of a view, at the time of their first packet."""
+    return f"""(WITH {pk(view)}, {RETX}, {STALL}
+  SELECT r.session_id, 'DATA_RETRANSMISSION' AS kind, p.timestamp AS ts FROM r JOIN p ON p.pkt_ord = r.first_ord WHERE plane = 'data'
+  UNION ALL SELECT s.session_id, 'ACK_STALLED', p.timestamp FROM s JOIN p ON p.session_id = s.session_id AND p.frame_number = s.frames[1])"""
+
+
+EVIDENCE_SEGMENTS = f"""(WITH {segments_sql('app', 'db')} SELECT ex.c, a0.ts FROM ex JOIN a0 ON (a0.c, a0.direction, a0.seq, a0.len, a0.h) = (ex.c, ex.direction, ex.seq, ex.len, ex.h) WHERE ex.h IS NOT NULL)"""
+
+
+def found_sql(view: str) -> str:
+    """Findings of a view's sessions at the time of their first packet, or else in the middle of their session."""
+    return f"""(WITH {", ".join([pk(view), RETX, STALL, RESET, ZERO, SHAKE, SESSION, SUMMARY, ANOMALY])}
+  SELECT an.session_id, an.type, coalesce(p.timestamp, (f.start_time + f.end_time) / 2) AS ts FROM an JOIN f USING (session_id) LEFT JOIN p ON p.session_id = an.session_id AND p.frame_number = an.frames[1])"""
+
+
+@query(f"""WITH {FLOWS}, ev AS ({event_rows(views.DUCK)}), ch AS (SELECT ev.event_id, ev.event_type, ev.timestamp AS t0, fl.* FROM ev JOIN events ON ev.event_id = 'E' || events.event_id JOIN fl ON app_stream = user_id),
+en AS (
+  SELECT event_id, 'JDBC' AS source, event_type, NULL AS correlation_id, 0.0 AS gap FROM ch
+  UNION ALL SELECT event_id, side || '_PCAP', CASE WHEN (tcp_flags & 18) = 2 THEN 'SYN' WHEN (tcp_flags & 2) <> 0 THEN 'SYN_ACK' WHEN (tcp_flags & 1) <> 0 THEN 'FIN' ELSE 'RST' END AS label, correlation_id, timestamp - t0
+    FROM ch JOIN (SELECT 'APP' AS side, * FROM ap UNION ALL SELECT 'DB', * FROM dp) m ON (side = 'APP' AND session_id = app_stream) OR (side = 'DB' AND session_id = db_stream)
+    WHERE (tcp_flags & 7) <> 0 AND (abs(timestamp - t0) <= 30 OR ((tcp_flags & 2) <> 0 AND abs(timestamp - t0) <= 120))
+  UNION ALL SELECT event_id, side || '_PCAP', type, correlation_id, ts - t0
+    FROM ch JOIN (SELECT 'APP' AS side, * FROM {found_sql("app")} UNION ALL SELECT 'DB', * FROM {found_sql("db")}) k ON (side = 'APP' AND session_id = app_stream) OR (side = 'DB' AND session_id = db_stream) WHERE abs(ts - t0) <= 90
+  UNION ALL SELECT event_id, 'DUAL', 'MATCHED_SEGMENT', correlation_id, ts - t0 FROM ch JOIN {EVIDENCE_SEGMENTS} g ON c = correlation_id WHERE abs(ts - t0) <= 30)
+SELECT event_id, source, event_type, correlation_id, count(*) AS n, round(min(gap), 6) AS first_seconds, round(max(gap), 6) AS last_seconds FROM en GROUP BY ALL""")
+def timeline_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the timeline of each event holds, by source, kind and flow."""
+    e, d, chosen = chosen_rows(spark, sf_dir)
+    t = timeline.timeline(e, chosen, {"APP": d.app.side(), "DB": d.db.side()}, d.segments).where("event_type <> 'CAPTURE_QUALITY'")
+    return t.groupBy("event_id", "source", "event_type", "correlation_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("relative_seconds"), 6).alias("first_seconds"), F.round(F.max("relative_seconds"), 6).alias("last_seconds"))
+
+
 # -- ping ------------------------------------------------------------------------------------
 
 SAMPLES = "SELECT t AS timestamp, CASE WHEN k % 3 = 0 THEN NULL ELSE '10.9.0.1' END AS target_host, CASE k % 8 WHEN 0 THEN 'TIMEOUT' WHEN 1 THEN 'TIMEOUT' WHEN 2 THEN 'UNREACHABLE' WHEN 3 THEN 'ERROR' ELSE 'REPLY' END AS status, CASE WHEN k % 8 > 3 THEN k / 8.0D0 END AS rtt_ms, cast(event_id AS int) AS source_line FROM ({base}) WHERE event_type = 'view'"
@@ -339,16 +386,6 @@ def unified_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.unified(t, ping.markers(e, sample_table(spark, sf_dir)), timeline.key_event(e))
 
 
-def kinds_sql(view: str) -> str:
-    """Data sent again, and stalls, of a view, at the time of their first packet."""
-    return f"""(WITH {pk(view)}, {RETX}, {STALL}
-  SELECT r.session_id, 'DATA_RETRANSMISSION' AS kind, p.timestamp AS ts FROM r JOIN p ON p.pkt_ord = r.first_ord WHERE plane = 'data'
-  UNION ALL SELECT s.session_id, 'ACK_STALLED', p.timestamp FROM s JOIN p ON p.session_id = s.session_id AND p.frame_number = s.frames[1])"""
-
-
-EVIDENCE_SEGMENTS = f"""(WITH {segments_sql('app', 'db')} SELECT ex.c, a0.ts FROM ex JOIN a0 ON (a0.c, a0.direction, a0.seq, a0.len, a0.h) = (ex.c, ex.direction, ex.seq, ex.len, ex.h) WHERE ex.h IS NOT NULL)"""
-
-
 @query(f"""WITH {SCORED},
 st AS (SELECT event_id, count(*) AS n, max(identity) AS best, max(identity) FILTER (rank = 2) AS second, count(*) FILTER (identity >= 60) AS covering FROM rk GROUP BY ALL),
 cs AS (SELECT event_id, best, CASE WHEN n > 1 AND (best < 70 OR (second >= best - 8 AND second >= 60) OR covering > 1) THEN 'AMBIGUOUS' ELSE 'MATCHED' END AS status FROM st),
