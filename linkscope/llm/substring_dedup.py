@@ -301,21 +301,23 @@ def failed_edges(spans: DataFrame, verified: DataFrame, found: DataFrame, keys:
 def repeated_spans(table: DataFrame, keys: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, place, size): spans of words of the texts' table that stand elsewhere, too. Together they hold all windows that do."""
     seeds = seed_rows(table)
-    twice = seeds.groupBy("h").agg(F.sum("weight").alias("n")).where("n >= 2").select("h")
+    # Written, so that a join does not share the shuffle of the counts, which Spark may not split where a hash is hot.
+    twice = scratch.keep(seeds.groupBy("h").agg(F.sum("weight").alias("n")).where("n >= 2").select("h"), "twice")
     hits = scratch.keep(by_text(seeds.select("h", "id", "place").join(twice, "h"), keys, F.col("place"), "hits"), "hits")
     found = table.join(hits, KEY)
     edges = edge_rows(found)
     told = edges.groupBy("e").agg(F.sum("weight").alias("n"), F.bit_or("beside").alias("some"), F.bit_and("beside").alias("every")).where("n >= 2")
     mixed_up = F.col("some").bitwiseXOR(F.col("every"))
     told = told.select("e", (F.when(mixed_up.bitwiseAND(F.lit(0xFFFFFFFF)) != 0, BEGINS).otherwise(0) + F.when(F.shiftrightunsigned(mixed_up, 32) != 0, ENDS).otherwise(0)).alias("what"))
+    told = scratch.keep(told, "repeated")
     news = edges.select("e", "id", "place").join(told, "e", "left").select("id", "place", F.coalesce("what", F.lit(LONE)).alias("what")).where("what > 0")
     news = scratch.keep(by_text(news, keys, F.col("place").cast("long") * 8 + F.col("what"), "told"), "told")
     spans = scratch.keep(span_rows(found.join(news, KEY, "left")), "spans")
-    scratch.drop(news)
-    verified = spans.groupBy("d1", "d2").agg(F.sum("weight").alias("n")).where("n >= 2").select("d1", "d2")
+    scratch.drop(news, told, twice)
+    verified = scratch.keep(spans.groupBy("d1", "d2").agg(F.sum("weight").alias("n")).where("n >= 2").select("d1", "d2"), "digests")
     good = scratch.keep(spans.join(verified, ["d1", "d2"]).select("id", "place", "size"), "verified")
     more = failed_edges(spans, verified, found, keys, scratch)
-    scratch.drop(spans, hits)
+    scratch.drop(spans, verified, hits)
     return good if more is None else good.unionByName(more)
 
 
