@@ -175,7 +175,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = repeated_lines(docs, id_col, text_col, edits, min_chars)
     gone = found.groupBy(F.col("doc_id").alias(ids)).agg(F.collect_set("no").alias(nos), F.count_if(~F.col("near")).alias(exact), F.count_if("near").alias(near))
     out = docs.select(rest).join(gone, F.col(id_col).eqNullSafe(F.col(ids)), "left")
-    text = F.when(F.col(nos).isNull(), F.col(text_col)).otherwise(F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (l, i) -> NOT array_contains(`{nos}`, i)), '\\n')"))
+    text = F.when(F.col(nos).isNull(), F.col(text_col)).otherwise(F.expr(f"transform(array(split(`{text_col}`, '\\n')), ls -> array_join(transform(array_except(sequence(0, size(ls) - 1), `{nos}`), i -> get(ls, i)), '\\n'))[0]"))
     return out.select(
         *[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in rest],
         F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(F.split(text_col, "\n"))).cast("long").alias("n_lines"),

@@ -94,16 +94,33 @@ def trigram_query(pattern: str) -> list[list[list[str]]]:
     return ands
 
 
+#: Lengths are added up in groups of so many, and in groups of groups, so that the place of a match is the sum of few numbers.
+GROUP = 128
+
+
+def running_sum(steps: str, groups: str, larger: str, i: str) -> str:
+    """SQL: the sum of steps up to place i (from 0), given the sums of groups of GROUP and of GROUP groups."""
+    total = lambda array, first, n: f"aggregate(slice({array}, {first} + 1, {n}), 0, (a, y) -> a + y)"
+    g, h = f"int({i} div {GROUP})", f"int({i} div {GROUP * GROUP})"
+    return f"{total(larger, '0', h)} + {total(groups, f'{h} * {GROUP}', f'{g} % {GROUP}')} + {total(steps, f'{g} * {GROUP}', f'{i} % {GROUP} + 1')}"
+
+
+def grouped(array: str) -> str:
+    """SQL: the sums of groups of GROUP numbers."""
+    return f"transform(sequence(0, int(size({array}) div {GROUP})), k -> aggregate(slice({array}, k * {GROUP} + 1, {GROUP}), 0, (a, y) -> a + y))"
+
+
 def spans_sql(rule: Rule, no: int) -> str:
     """SQL for the spans of a rule in txt: places follow from the lengths of the matches and of what lies between."""
     p = quoted(rule.pattern)
     return f"""
     transform(array(named_struct('m', regexp_extract_all(txt, {p}, 0), 'g', regexp_extract_all(txt, {p}, {rule.group}), 'b', split(txt, {p}))), r ->
-      filter(
-        transform(r.m, (x, i) -> named_struct(
-          'at', aggregate(slice(r.b, 1, i + 1), 0, (a, y) -> a + length(y)) + aggregate(slice(r.m, 1, i), 0, (a, y) -> a + length(y)),
-          'no', {no}, 'kind', '{rule.kind}', 'chars', length(x), 'good', length(r.g[i]) >= {rule.least})),
-        x -> x.good))[0]"""
+      transform(array(transform(r.m, (x, i) -> length(r.b[i]) + IF(i = 0, 0, length(r.m[i - 1])))), steps ->
+        transform(array({grouped("steps")}), groups ->
+          transform(array({grouped("groups")}), larger ->
+            filter(
+              transform(r.m, (x, i) -> named_struct('at', {running_sum("steps", "groups", "larger", "i")}, 'no', {no}, 'kind', '{rule.kind}', 'chars', length(x), 'good', length(r.g[i]) >= {rule.least})),
+              x -> x.good))[0])[0])[0])[0]"""
 
 
 NO_SPANS = "cast(array() AS array<struct<at: int, no: int, kind: string, chars: int, good: boolean>>)"
