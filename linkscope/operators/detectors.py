@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..config import Thresholds
 from ..functions import packets as P
 from ..schemas import KEYS
+from . import scan
+
+#: Packets of a capture in whose ranges sessions are followed.
+CHUNK = 1 << 20
 
 
 def retransmissions(directed: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
@@ -63,10 +67,9 @@ RST_NOTES = {
 
 def resets(directed: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
     """One row a reset, with its class by what came before it in the session."""
-    order = Window.partitionBy(*KEYS).orderBy("pkt_ord")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    p = directed.select(*KEYS, "pkt_ord", "frame_number", "timestamp", "direction", P.flag("RST").alias("is_rst"), F.max(P.flag("SYN")).over(so_far).alias("saw_syn"), F.max(P.flag("FIN")).over(so_far).alias("saw_fin"),
-                        F.max((F.col("tcp_len") > 0) & ~P.flag("SYN")).over(so_far).alias("saw_data"), F.coalesce(F.lag(P.pure_ack()).over(order), F.lit(False)).alias("after_ack")).where("is_rst")
+    p = directed.select(*KEYS, "pkt_ord", "frame_number", "timestamp", "direction", P.flag("RST").alias("is_rst"), P.flag("SYN").alias("syn"), P.flag("FIN").alias("fin"), ((F.col("tcp_len") > 0) & ~P.flag("SYN")).alias("data"), P.pure_ack().alias("ack"))
+    seen = {"saw_syn": ("max", F.col("syn")), "saw_fin": ("max", F.col("fin")), "saw_data": ("max", F.col("data")), "after_ack": ("lag", F.col("ack"))}
+    p = scan.in_chunks(p, KEYS, "pkt_ord", CHUNK, seen).where("is_rst").fillna(False, ["after_ack"])
     cls = F.when(F.col("saw_fin"), "RST_AFTER_FIN").when(F.col("after_ack") & F.col("saw_data"), "ACK_TO_RST").when(F.col("saw_data"), "RST_DURING_DATA").when(F.col("saw_syn"), "RST_AFTER_SYN").otherwise("RST_OTHER")
     severity = {"RST_AFTER_FIN": th.severity("rst_after_fin_severity", "INFO"), "ACK_TO_RST": th.severity("ack_to_rst_severity", "WARNING"), "RST_DURING_DATA": th.severity("rst_during_data_severity", "HIGH"), "RST_AFTER_SYN": th.severity("rst_after_syn_severity", "WARNING"), "RST_OTHER": "WARNING"}
     of = lambda table: F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col("classification"))
@@ -75,12 +78,11 @@ def resets(directed: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
 
 def zero_windows(directed: DataFrame) -> DataFrame:
     """One row a run of packets with window 0 that are neither reset nor end; whatever packet follows ends it."""
-    order = Window.partitionBy(*KEYS).orderBy("pkt_ord")
     zero = (F.col("tcp_window") == 0) & ~P.flag("RST") & ~P.flag("FIN")
     p = directed.select(*KEYS, "pkt_ord", "timestamp", "direction", "frame_number", F.coalesce(zero, F.lit(False)).alias("zero"))
-    p = p.withColumn("run", F.count_if(~F.col("zero")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    # The packet that ends run n is the first of those numbered n + 1.
-    p = p.withColumn("next_ts", F.lead("timestamp").over(order))
+    # Packets of a run have as many other ones before them.
+    p = scan.in_chunks(p, KEYS, "pkt_ord", CHUNK, {"run": ("sum", F.when(F.col("zero"), 0).otherwise(1).cast("long"))})
+    p = scan.in_chunks(p, KEYS, "pkt_ord", CHUNK, {"next_ts": ("lag", F.col("timestamp"))}, backwards=True)
     runs = p.where("zero").groupBy(*KEYS, "run").agg(F.min_by("timestamp", "pkt_ord").alias("start_ts"), F.max_by("next_ts", "pkt_ord").alias("end_ts"), F.min_by("direction", "pkt_ord").alias("direction"),
                                                      F.transform(F.array_sort(F.collect_list(F.struct("pkt_ord", "frame_number"))), lambda x: x["frame_number"]).alias("frames"), F.min("pkt_ord").alias("first_ord"))
     return runs.drop("run").withColumn("duration_ms", F.round((F.col("end_ts") - F.col("start_ts")) * 1000, 3))

@@ -30,11 +30,12 @@ def _aggregate(kind: str, value: Column, order: Sequence[str], backwards: bool =
     return {"sum": F.sum, "max": F.max, "count": F.count}[kind](value)
 
 
-def running(rows: DataFrame, by: Sequence[str], order: Sequence[str], values: dict[str, tuple[str, Column]], backwards: bool = False) -> DataFrame:
+def running(rows: DataFrame, by: Sequence[str], order: Sequence[str], values: dict[str, tuple[str, Column]], backwards: bool = False, few: bool = True) -> DataFrame:
     """Rows of ranged() with each named value over all rows of its key up to and with its own; backwards: from its own on.
 
     values: name to ("sum" | "count" | "max" | "last" | "lag", column); "last" passes over nulls, and "lag" is the value of
-    the row before. Rows that are equal in the order come in any order, so it should tell rows apart.
+    the row before (none of its values is null). Rows that are equal in the order come in any order, so it should tell rows apart.
+    few: keys that go on from range to range are as many as there are ranges at most, as ranged() makes them.
     """
     turned = [F.desc(c) if backwards else F.asc(c) for c in order]
     whole = Window.partitionBy(PART, *by).orderBy(*turned).rowsBetween(Window.unboundedPreceding, 0)
@@ -46,13 +47,22 @@ def running(rows: DataFrame, by: Sequence[str], order: Sequence[str], values: di
     over = {n: F.last(n, True).over(earlier) if kind in ("last", "lag") else {"sum": F.sum, "count": F.sum, "max": F.max}[kind](n).over(earlier) for n, (kind, _) in values.items()}
     before = totals.select(F.col(PART).alias("_p"), *[F.col(c).alias(f"_by_{c}") for c in by], F.row_number().over(w).alias("_nth"), *[c.alias(f"_before_{n}") for n, c in over.items()]).where("_nth > 1").drop("_nth")
     same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], F.col(PART) == F.col("_p"))
-    out = rows.withColumns(local).join(F.broadcast(before), same, "left")
+    out = rows.withColumns(local).join(F.broadcast(before) if few else before, same, "left")
     both = {"sum": lambda n: F.when(F.col(n).isNull(), F.col(f"_before_{n}")).otherwise(F.col(n) + F.coalesce(F.col(f"_before_{n}"), F.lit(0))), "max": lambda n: F.greatest(n, f"_before_{n}"), "last": lambda n: F.coalesce(n, f"_before_{n}")}
     both["count"], both["lag"] = both["sum"], both["last"]
     out = out.withColumns({n: both[kind](n) for n, (kind, _) in values.items()})
     return out.drop("_p", *[f"_by_{c}" for c in by], *[f"_before_{n}" for n in values])
 
 
+def in_chunks(df: DataFrame, by: Sequence[str], number: str, chunk: int, values: dict[str, tuple[str, Column]], backwards: bool = False) -> DataFrame:
+    """running() of rows that a column numbers: they are cut where it passes a multiple of chunk, and nothing is written.
+
+    A key with most rows is as many tasks as it has chunks.
+    """
+    rows = df.withColumn(PART, F.floor(F.col(number) / chunk))
+    return running(rows, by, [number], values, backwards, few=False).drop(PART)
+
+
 def numbered(df: DataFrame, order: Sequence[str], name: str, stage: Stage) -> DataFrame:
     """df with its rows numbered from 1 in this order, which tells rows apart."""
     return running(ranged(df, [], order, stage, name, readers=2), [], order, {name: ("sum", F.lit(1).cast("long"))}).drop(PART)

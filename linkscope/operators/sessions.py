@@ -47,15 +47,16 @@ def with_direction(packets: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def handshakes(packets: DataFrame) -> DataFrame:
     """One row a session: the first SYN, the first SYN-ACK after it, the first ACK after that, and the latency between the first two."""
-    w = Window.partitionBy(*KEYS)
     syn, synack = P.flag("SYN") & ~P.flag("ACK"), P.flag("SYN") & P.flag("ACK")
     ack = P.flag("ACK") & ~P.flag("SYN") & ~P.flag("RST")
     p = packets.select(*KEYS, "pkt_ord", "timestamp", syn.alias("is_syn"), synack.alias("is_synack"), ack.alias("is_ack"))
-    p = p.withColumn("o1", F.min(F.when(F.col("is_syn"), F.col("pkt_ord"))).over(w))
-    p = p.withColumn("o2", F.min(F.when(F.col("is_synack") & (F.col("pkt_ord") > F.col("o1")), F.col("pkt_ord"))).over(w))
-    p = p.withColumn("o3", F.min(F.when(F.col("is_ack") & (F.col("pkt_ord") > F.col("o2")), F.col("pkt_ord"))).over(w))
-    at = lambda o: F.max(F.when(F.col("pkt_ord") == F.col(o), F.col("timestamp")))
-    h = p.groupBy(*KEYS).agg(at("o1").alias("syn_ts"), at("o2").alias("synack_ts"), at("o3").alias("ack_ts"), F.count_if(F.col("is_syn") & (F.col("pkt_ord") > F.col("o1"))).alias("syn_retransmissions"))
+    first = lambda rows, n: rows.groupBy(*KEYS).agg(F.min("pkt_ord").alias(f"o{n}"), F.min_by("timestamp", "pkt_ord").alias(f"t{n}"))
+    all_, one = p.select(*KEYS).distinct(), first(p.where("is_syn"), 1)
+    two = first(p.where("is_synack").join(one.select(*KEYS, "o1"), KEYS).where("pkt_ord > o1"), 2)
+    three = first(p.where("is_ack").join(two.select(*KEYS, "o2"), KEYS).where("pkt_ord > o2"), 3)
+    again = p.where("is_syn").groupBy(*KEYS).agg((F.count(F.lit(1)) - 1).alias("again"))
+    h = all_.join(one, KEYS, "left").join(two, KEYS, "left").join(three, KEYS, "left").join(again, KEYS, "left")
+    h = h.select(*KEYS, F.col("t1").alias("syn_ts"), F.col("t2").alias("synack_ts"), F.col("t3").alias("ack_ts"), F.coalesce("again", F.lit(0)).cast("long").alias("syn_retransmissions"))
     return h.select(*KEYS, "syn_ts", "synack_ts", "ack_ts", "syn_retransmissions", (F.col("ack_ts").isNotNull()).alias("complete"), F.round((F.col("synack_ts") - F.col("syn_ts")) * 1000, 3).alias("latency_ms"))
 
 

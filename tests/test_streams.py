@@ -147,3 +147,46 @@ def test_one_signature_of_many_events(spark):
     df = spark.range(300_000).select(F.lit("f").alias("source_file"), F.col("id").alias("event_ord"), (F.col("id") / 10).alias("timestamp"), *[F.lit("x").alias(c) for c in grouping.SIGNATURE[1:]])
     got = grouping.assign_groups(df).agg(F.countDistinct("group_id").alias("n"), F.max("occurrence_count").alias("most")).first()
     assert (got.n, got.most) == (300_000 // 31 + 1, 31)
+
+
+# -- chunks of packets ---------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 20])
+def test_sessions_over_many_chunks(spark, monkeypatch, chunk):
+    """Resets, zero windows and handshakes of sessions that chunks cut anywhere, against loops."""
+    from test_core import capture, packet
+
+    from linkscope.operators import detectors
+
+    monkeypatch.setattr(detectors, "CHUNK", chunk)
+    r = random.Random(11)
+    rows = [packet(n, n, r.choice([2, 18, 16, 16, 24, 17, 4]), r.random() < 0.5, 1, 1, r.choice([0, 0, 5]), r.choice([0, 0, 100]), r.randint(0, 2)) for n in range(150)]
+    c = capture(spark, rows)
+    resets, runs, shakes = [], [], {}
+    for s in range(3):
+        own = [x for x in rows if x[13] == s]
+        syn = fin = data = False
+        last_ack = False
+        run = []
+        for x in [*own, None]:
+            zero = x is not None and x[10] == 0 and not x[7] & 5
+            if run and not zero:
+                runs.append((s, [y[12] for y in run], run[0][2], x and x[2]))
+                run = []
+            if x is None:
+                break
+            if zero:
+                run.append(x)
+            syn, fin, data = syn or bool(x[7] & 2), fin or bool(x[7] & 1), data or (x[11] > 0 and not x[7] & 2)
+            if x[7] & 4:
+                resets.append((s, x[1], "RST_AFTER_FIN" if fin else "ACK_TO_RST" if last_ack and data else "RST_DURING_DATA" if data else "RST_AFTER_SYN" if syn else "RST_OTHER"))
+            last_ack = bool(x[7] & 16) and not x[7] & 7 and x[11] == 0
+        first = lambda test, after: next((x for x in own if test(x[7]) and x[1] > after), None) if after is not None else None
+        one = first(lambda f: f & 18 == 2, -1)
+        two = first(lambda f: f & 18 == 18, one and one[1])
+        three = first(lambda f: f & 16 and not f & 6, two and two[1])
+        shakes[s] = tuple(x and x[2] for x in (one, two, three))
+    assert sorted((x.session_id, x.pkt_ord, x.classification) for x in c.resets.collect()) == sorted(resets)
+    assert sorted((x.session_id, x.frames, x.start_ts, x.end_ts) for x in c.zero_windows.collect()) == sorted(runs)
+    assert {x.session_id: (x.syn_ts, x.synack_ts, x.ack_ts) for x in c.handshakes.collect()} == shakes
