@@ -85,7 +85,9 @@ def greedy(pairs: DataFrame, stage: Stage) -> DataFrame:
         top = lambda by, name: left.groupBy(*by).agg(F.min(best).alias(name))
         mutual = mutual.join(top(a, "a_best"), a).join(top(d, "d_best"), d).where((F.col("rank") == F.col("a_best")) & (F.col("rank") == F.col("d_best"))).select(pairs.columns)
         taken.append(stage.keep(mutual, "mutual", readers=3))
-        left = stage.keep(left.join(taken[-1].select(*a), a, "left_anti").join(taken[-1].select(*d), d, "left_anti"), "left")
+        rest = stage.keep(left.join(taken[-1].select(*a), a, "left_anti").join(taken[-1].select(*d), d, "left_anti"), "left")
+        stage.release(left)
+        left = rest
         if left.isEmpty():
             return reduce(DataFrame.unionByName, taken)
 
