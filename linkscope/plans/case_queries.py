@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -420,15 +422,48 @@ def key_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.key_event(e).select(F.col("event_id").alias("key_event")).join(timeline.key_event(e, first=True).select(F.col("event_id").alias("first_key_event")))
 
 
-@query(f"""SELECT count(*) AS packets, count(*) FILTER (dst_ip = '{views.SERVER_IP}' AND dst_port = {views.DB_PORT}) AS to_server, count(*) FILTER (src_ip = '{views.SERVER_IP}' AND src_port = {views.DB_PORT}) AS from_server, min(timestamp) AS time_start, max(timestamp) AS time_end,
-CASE WHEN count(*) FILTER (dst_ip = '{views.SERVER_IP}') >= greatest(3, 2 * count(*) FILTER (src_ip = '{views.SERVER_IP}')) THEN 'APP' WHEN count(*) FILTER (src_ip = '{views.SERVER_IP}') >= greatest(3, 2 * count(*) FILTER (dst_ip = '{views.SERVER_IP}')) THEN 'DB' ELSE 'AMBIGUOUS' END AS role FROM ({views.cte('single')})""")
+#: Hops that a packet has left, by its side: as captured at the database, so that its own packets still have what they began with.
+TTL = "CASE WHEN src_ip = '{server}' THEN CASE WHEN event_id % 50 = 0 THEN 63 ELSE 64 END ELSE 57 - event_id % 3 END"
+LOOKS = {"both": "true", "none": "false", "toward": "dst_ip = '{server}'"}
+
+
+def looks_sql(look: str, ttl: bool) -> str:
+    """Counts, times, usual hops and role of the packets of a look; ttl: whether hops are known."""
+    s, where = views.SERVER_IP, LOOKS[look].format(server=views.SERVER_IP)
+    usual = lambda at: f"(SELECT arg_max(ttl, n * 1e9 - o) FROM (SELECT ttl, count(*) AS n, min(pkt_ord) AS o FROM {{p}} WHERE ttl IS NOT NULL AND {at} = '{s}' GROUP BY ttl))"
+    p = f"(SELECT *, {TTL.format(server=s) if ttl else 'NULL::INT'} AS ttl FROM (SELECT *, pkt_ord - 1 AS event_id FROM ({views.cte('single')})) WHERE {where})"
+    return f"""SELECT '{look}' AS look, {str(ttl).lower()} AS hops, packets, to_server, from_server, time_start, time_end, server_ttl, client_ttl,
+  CASE WHEN client_ttl IN (32, 64, 128, 255) AND client_ttl > server_ttl THEN 'APP' WHEN server_ttl IN (32, 64, 128, 255) AND server_ttl > client_ttl THEN 'DB' WHEN to_server = 0 AND from_server = 0 THEN 'AMBIGUOUS'
+       WHEN to_server >= 3 AND to_server >= 2 * from_server THEN 'APP' WHEN from_server >= 3 AND from_server >= 2 * to_server THEN 'DB' ELSE 'AMBIGUOUS' END AS role
+FROM (SELECT count(*) AS packets, count(*) FILTER (dst_ip = '{s}') AS to_server, count(*) FILTER (src_ip = '{s}') AS from_server, min(timestamp) AS time_start, max(timestamp) AS time_end, {usual("src_ip").format(p=p)} AS server_ttl, {usual("dst_ip").format(p=p)} AS client_ttl FROM {p})"""
+
+
+@query(" UNION ALL ".join(looks_sql(look, ttl) for look in LOOKS for ttl in (True, False)))
 def role_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return roles.probe(views.view(spark, sf_dir, "single").withColumn("ttl", F.lit(None).cast("int")), views.SERVER_IP, views.DB_PORT, max_packets=None).select("packets", "to_server", "from_server", "time_start", "time_end", "role")
+    """The side of a capture by hops and by counts: of all packets, of those toward the server only, and of none."""
+    parts = []
+    for look, where in LOOKS.items():
+        for ttl in (True, False):
+            p = views.view(spark, sf_dir, "single").withColumn("event_id", F.col("pkt_ord") - 1).where(where.format(server=views.SERVER_IP))
+            p = p.withColumn("ttl", (F.expr(TTL.format(server=views.SERVER_IP)) if ttl else F.lit(None)).cast("int"))
+            parts.append(roles.probe(p, views.SERVER_IP, views.DB_PORT, max_packets=None).select(F.lit(look).alias("look"), F.lit(ttl).alias("hops"), "packets", "to_server", "from_server", "time_start", "time_end", "server_ttl", "client_ttl", "role"))
+    return reduce(DataFrame.unionByName, parts)
 
 
-@query(f"SELECT tcp_flags, count(*) AS packets FROM ({views.cte('single')}) GROUP BY ALL")
+@query(f"SELECT coalesce(nullif(concat_ws(',', CASE WHEN (tcp_flags & 2) <> 0 THEN 'SYN' END, CASE WHEN (tcp_flags & 16) <> 0 THEN 'ACK' END, CASE WHEN (tcp_flags & 1) <> 0 THEN 'FIN' END, CASE WHEN (tcp_flags & 4) <> 0 THEN 'RST' END, CASE WHEN (tcp_flags & 8) <> 0 THEN 'PSH' END), ''), '.') AS flags, count(*) AS packets, sum(tcp_len)::BIGINT AS bytes FROM ({views.cte('single')}) GROUP BY ALL")
 def flags_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.view(spark, sf_dir, "single").groupBy("tcp_flags").agg(F.count(F.lit(1)).alias("packets"))
+    return views.view(spark, sf_dir, "single").groupBy(P.flags_text().alias("flags")).agg(F.count(F.lit(1)).alias("packets"), F.sum("tcp_len").alias("bytes"))
+
+
+@query(f"""WITH {SCORED},
+st AS (SELECT event_id, count(*) AS n, max(identity) AS best, max(identity) FILTER (rank = 2) AS second, count(*) FILTER (identity >= 60) AS covering FROM rk GROUP BY ALL)
+SELECT event_id, correlation_id, rank, round(identity + 1e-7, 4) AS identity_score FROM rk JOIN st USING (event_id)
+WHERE st.n > 1 AND (best < 70 OR (second >= best - 8 AND second >= 60) OR covering > 1) AND rank BETWEEN 2 AND 4 AND identity >= best - 10""")
+def near_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows of ambiguous events that come close to the first."""
+    e, _, c, counts = scored(spark, sf_dir)
+    close = correlate.near_ties(correlate.correlate(e, c, counts), c)
+    return close.select("event_id", "correlation_id", F.col("rank").cast("long").alias("rank"), F.round(F.col("identity_score") + 1e-7, 4).alias("identity_score"))
 
 
 @query(f"WITH {PARSED} SELECT source_file, count(*) AS events, count(DISTINCT kind) AS kinds, max(kind) FILTER (kind = 'CONNECTION_RESET') AS resets FROM e GROUP BY source_file")

@@ -89,13 +89,13 @@ sm AS (
   LEFT JOIN (SELECT session_id, count(*) AS n FROM z GROUP BY ALL) za USING (session_id))"""
 ANOMALY = """
 an AS (
-  SELECT NULL::BIGINT AS session_id, 'PACKET_TRUNCATED' AS type, 'WARNING' AS severity, 'PACKET_TRUNCATED: ' || count(*) || ' packets' AS summary, list(frame_number ORDER BY pkt_ord)[1:50] AS frames, NULL::BIGINT AS seq, NULL::INT AS len FROM p WHERE cap_len < frame_len HAVING count(*) > 0
-  UNION ALL SELECT session_id, 'HANDSHAKE_INCOMPLETE', 'INFO', 'The capture holds no SYN: latency of the handshake unknown', [], NULL, NULL FROM h WHERE syn_ts IS NULL
-  UNION ALL SELECT session_id, upper(plane) || '_RETRANSMISSION', severity, upper(plane) || '_RETRANSMISSION x' || count || ' Seq=' || seq || ' Len=' || tcp_len, frames, seq, tcp_len FROM r
-  UNION ALL SELECT session_id, 'ACK_STALLED', 'HIGH', 'Not acknowledged: ' || expected_ack || ' expected, ' || observed_ack || ' at most seen', frames, seq, tcp_len FROM s
-  UNION ALL SELECT session_id, classification, severity, classification || ' @ frame ' || frame, [frame], NULL, NULL FROM xs
-  UNION ALL SELECT session_id, 'ZERO_WINDOW', CASE WHEN count(*) OVER (PARTITION BY session_id) >= 5 THEN 'HIGH' ELSE 'WARNING' END, 'Zero Window (' || direction || ')', frames, NULL, NULL FROM z
-  UNION ALL SELECT NULL, 'MULTI_STREAM_RETRANSMISSION', 'HIGH', 'Persistent retransmissions in ' || count(DISTINCT session_id) || ' streams', [], NULL, NULL FROM r WHERE severity = 'HIGH' AND plane = 'data' HAVING count(DISTINCT session_id) >= 2)"""
+  SELECT NULL::BIGINT AS session_id, 'PACKET_TRUNCATED' AS type, 'WARNING' AS severity, 'PACKET_TRUNCATED: ' || count(*) || ' packets' AS summary, list(frame_number ORDER BY pkt_ord)[1:50] AS frames, NULL::BIGINT AS seq, NULL::INT AS len, -1 AS ord FROM p WHERE cap_len < frame_len HAVING count(*) > 0
+  UNION ALL SELECT session_id, 'HANDSHAKE_INCOMPLETE', 'INFO', 'The capture holds no SYN: latency of the handshake unknown', [], NULL, NULL, 0 FROM h WHERE syn_ts IS NULL
+  UNION ALL SELECT session_id, upper(plane) || '_RETRANSMISSION', severity, upper(plane) || '_RETRANSMISSION x' || count || ' Seq=' || seq || ' Len=' || tcp_len, frames, seq, tcp_len, first_ord FROM r
+  UNION ALL SELECT session_id, 'ACK_STALLED', 'HIGH', 'Not acknowledged: ' || expected_ack || ' expected, ' || observed_ack || ' at most seen', frames, seq, tcp_len, first_ord FROM s
+  UNION ALL SELECT session_id, classification, severity, classification || ' @ frame ' || frame, [frame], NULL, NULL, pkt_ord FROM xs
+  UNION ALL SELECT session_id, 'ZERO_WINDOW', CASE WHEN count(*) OVER (PARTITION BY session_id) >= 5 THEN 'HIGH' ELSE 'WARNING' END, 'Zero Window (' || direction || ')', frames, NULL, NULL, first_ord FROM z
+  UNION ALL SELECT NULL, 'MULTI_STREAM_RETRANSMISSION', 'HIGH', 'Persistent retransmissions in ' || count(DISTINCT session_id) || ' streams', [], NULL, NULL, NULL FROM r WHERE severity = 'HIGH' AND plane = 'data' HAVING count(DISTINCT session_id) >= 2)"""
 EVERYTHING = "WITH " + ", ".join([pk(), RETX, STALL, RESET, ZERO, SHAKE, SESSION, SUMMARY, ANOMALY])
 
 
@@ -168,12 +168,18 @@ def report_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return single(spark, sf_dir).rollup.drop("capture_id")
 
 
-@query(f"""{EVERYTHING}, q AS (SELECT count(*) FILTER (cap_len < frame_len) AS n FROM p), k AS (
-  SELECT count(*) FILTER (severity = 'HIGH' AND type <> 'PACKET_TRUNCATED') AS hi, count(*) FILTER (severity = 'WARNING' AND type <> 'PACKET_TRUNCATED') AS wa, count(*) FILTER (type = 'PACKET_TRUNCATED') AS cut, count(*) AS total FROM an)
+@query(f"""{EVERYTHING}, q AS (SELECT count(*) FILTER (cap_len < frame_len) AS n, count(*) AS all_ FROM p), k AS (
+  SELECT count(*) FILTER (severity = 'HIGH' AND type <> 'PACKET_TRUNCATED') AS hi, count(*) FILTER (severity = 'WARNING' AND type <> 'PACKET_TRUNCATED') AS wa, count(*) FILTER (type = 'PACKET_TRUNCATED') AS cut FROM an),
+gr AS (SELECT *, CASE WHEN type = 'PACKET_TRUNCATED' THEN 2 WHEN severity = 'HIGH' THEN 0 WHEN severity = 'WARNING' THEN 1 ELSE 3 END AS grade FROM an),
+nf AS (SELECT summary, row_number() OVER (ORDER BY session_id NULLS FIRST, ord NULLS FIRST, type, seq NULLS FIRST, len NULLS FIRST, summary) AS no FROM gr),
+nc AS (SELECT summary, row_number() OVER (ORDER BY grade, session_id NULLS FIRST, ord NULLS FIRST, type, seq NULLS FIRST, len NULLS FIRST, summary) AS no FROM gr WHERE grade < 3)
 SELECT CASE WHEN hi > 0 THEN 'HIGH_TCP_ANOMALY' WHEN wa > 0 THEN 'TCP_ATTENTION' WHEN cut > 0 OR n > 0 THEN 'CAPTURE_QUALITY_ONLY' ELSE 'NOTHING_OBSERVED' END AS verdict, CASE WHEN hi > 0 THEN 'red' WHEN wa > 0 OR cut > 0 OR n > 0 THEN 'yellow' ELSE 'green' END AS color,
-       CASE WHEN hi > 0 THEN 'HIGH' WHEN wa > 0 THEN 'WARNING' ELSE 'INFO' END AS tcp_health, least(total, 20)::INT AS n_findings, (least(hi + wa + cut, 20) + CASE WHEN n > 0 THEN 1 ELSE 0 END)::INT AS n_concerns, n > 0 AS may_be_incomplete FROM k, q""")
+       CASE WHEN hi > 0 THEN 'HIGH' WHEN wa > 0 THEN 'WARNING' ELSE 'INFO' END AS tcp_health, n > 0 AS may_be_incomplete,
+       coalesce((SELECT string_agg(summary, '; ' ORDER BY no) FROM nf WHERE no <= 20), '') AS findings,
+       concat_ws('; ', CASE WHEN n > 0 THEN 'capture quality: ' || n || ' of ' || all_ || ' packets truncated, credibility ' || CASE WHEN n / all_ >= 0.3 THEN 'LOW' ELSE 'DEGRADED' END END, (SELECT string_agg(summary, '; ' ORDER BY no) FROM nc WHERE no <= 20)) AS concerns
+FROM k, q""")
 def conclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return single(spark, sf_dir).conclusion.select("verdict", "color", "tcp_health", F.size("findings").alias("n_findings"), F.size("concerns").alias("n_concerns"), "may_be_incomplete")
+    return single(spark, sf_dir).conclusion.select("verdict", "color", "tcp_health", "may_be_incomplete", *[F.array_join(c, "; ").alias(c) for c in ("findings", "concerns")])
 
 
 @query(f"""WITH {pk()}, {SESSION} SELECT asked, count(*) AS sessions, count(*) FILTER (server_ip IS DISTINCT FROM asked) AS mismatched FROM f, (SELECT unnest(['{views.SERVER_IP}', '10.9.0.2']) AS asked) GROUP BY asked""")
