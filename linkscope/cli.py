@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import config
+from .plans import many
 from .plans.analyze import Capture, Case, Dual, prepared
 from .schemas import DB_PORTS
 from .sinks import exports, reports, tables
 from .sources import capture as capture_file
 from .sources import discover, fieldtext, logs, roles
+from .sources.lines import escaped
 from .stages import Stage
 
 
@@ -34,7 +36,7 @@ def port_of(text: str) -> int:
 def packets_of(spark: SparkSession, path: str, port: int | None = None, max_packets: int | None = None) -> tuple[DataFrame, bool]:
     """Packets of a capture file or a file of field text, with ttl where it is known, and whether the file is cut short."""
     if discover.kind_of(Path(path)) != "capture":
-        return fieldtext.read(spark, path, port, max_packets).withColumn("ttl", F.lit(None).cast("int")), False
+        return fieldtext.read(spark, escaped(path), port, max_packets).withColumn("ttl", F.lit(None).cast("int")), False
     packets, status = capture_file.read(spark, path, port, max_packets)
     # A look at the first packets alone is meant to stop there.
     return packets, max_packets is None and bool(status.agg(F.max("file_cut_short")).first()[0])
@@ -49,8 +51,8 @@ def capture(spark: SparkSession, path: str, name: str, a: argparse.Namespace) ->
 
 
 def case_of(spark: SparkSession, jdbc: str, app: str, db: str, ping: str | None, a: argparse.Namespace) -> Case:
-    samples = logs.parse_ping(logs.read_lines(spark, ping), a.log_timezone) if ping else None
-    events = logs.parse_jdbc(logs.read_lines(spark, jdbc), a.server_ip, a.port, a.log_timezone)
+    samples = logs.parse_ping(logs.read_lines(spark, escaped(ping)), a.log_timezone) if ping else None
+    events = logs.parse_jdbc(logs.read_lines(spark, escaped(jdbc)), a.server_ip, a.port, a.log_timezone)
     return Case(Dual(capture(spark, app, "app", a), capture(spark, db, "db", a)), events, samples, default_host=a.server_ip, default_port=a.port)
 
 
@@ -126,6 +128,23 @@ def run_batch(spark: SparkSession, folder: str, out: str, a: argparse.Namespace)
     return int(any(not r["status"].startswith("SUCCESS") for r in rows))
 
 
+def run_many(spark: SparkSession, folder: str, out: str, a: argparse.Namespace) -> int:
+    """Every folder of a folder as a case, all in one plan (of many.MOST cases): tables that begin with case_id, and the summary of a batch. Exit codes as run_batch's."""
+    folders = [str(p) for p in sorted(Path(folder).iterdir()) if p.is_dir() and p.resolve() != Path(out).resolve()]
+    if not folders:
+        return 2
+    rows = []
+    for k in range(0, len(folders), many.MOST):
+        with Stage(spark, "cases") as stage:
+            cases = many.Cases(spark, folders[k : k + many.MOST], a.port, a.server_ip, config.load(config.default_path(), a.thresholds), a.log_timezone, dict(x.split("=", 1) for x in a.role), stage=stage)
+            for name, df in ({"quarantine": cases.quarantine} if a.dry_run else cases.tables()).items():
+                tables.write_csv(df, f"{out}/{name}.csv" + (f"/plan={k // many.MOST}" if len(folders) > many.MOST else ""))
+            rows += (cases.listed.select("case_no", "case_id", "case_path", "status").distinct() if a.dry_run else cases.summary).orderBy("case_no").collect()  # a row a case
+    told = [{k: "" if v is None else v for k, v in r.asDict().items()} for r in rows]
+    exports.write_batch([{**r, **({"error_code": r["status"], "error_message": r.get("message", "")} if r["status"] not in ("READY", "SUCCESS", "SUCCESS_WITH_WARNINGS") else {})} for r in told], out)
+    return int(any(r["status"] not in ("READY", "SUCCESS", "SUCCESS_WITH_WARNINGS") for r in told))
+
+
 def main(args: list[str] | None = None) -> int:
     top = argparse.ArgumentParser(prog="linkscope", description=__doc__)
     common = argparse.ArgumentParser(add_help=False)
@@ -146,7 +165,8 @@ def main(args: list[str] | None = None) -> int:
     case = kinds.add_parser("case", parents=[common])
     case.add_argument("jdbc"), case.add_argument("app"), case.add_argument("db"), case.add_argument("--ping")
     kinds.add_parser("auto", parents=[common]).add_argument("folder")
-    kinds.add_parser("batch", parents=[common]).add_argument("folder")
+    kinds.add_parser("batch", parents=[common], help="case by case, with a report of each").add_argument("folder")
+    kinds.add_parser("many", parents=[common], help="all cases in one plan, as tables").add_argument("folder")
     a = top.parse_args(args)
     spark = SparkSession.builder.appName("linkscope").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.kind == "single":
@@ -164,6 +184,8 @@ def main(args: list[str] | None = None) -> int:
         return run_case(spark, a.jdbc, a.app, a.db, a.ping, a.out, a)["code"]
     if a.kind == "auto":
         return run_auto(spark, a.folder, a.out, a)["code"]
+    if a.kind == "many":
+        return run_many(spark, a.folder, a.out, a)
     return run_batch(spark, a.folder, a.out, a)
 
 

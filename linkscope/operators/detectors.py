@@ -88,12 +88,15 @@ def zero_windows(directed: DataFrame) -> DataFrame:
     return runs.drop("run").withColumn("duration_ms", F.round((F.col("end_ts") - F.col("start_ts")) * 1000, 3))
 
 
-def capture_quality(packets: DataFrame, th: Thresholds = Thresholds(), cut_short: bool = False) -> DataFrame:
-    """One row a capture: how much of the packets it holds."""
+def capture_quality(packets: DataFrame, th: Thresholds = Thresholds(), cut_short: bool | DataFrame = False) -> DataFrame:
+    """One row a capture: how much of the packets it holds. cut_short: of the capture, or (capture_id, file_cut_short) of many."""
     cut = packets.groupBy("capture_id").agg(F.count(F.lit(1)).alias("total_packets"), F.count_if(P.truncated()).alias("truncated_packets"), F.count("cap_len").alias("known"))
     modes = packets.where("cap_len IS NOT NULL").groupBy("capture_id", "cap_len").agg(F.count(F.lit(1)).alias("n"), F.min("pkt_ord").alias("first"))
     mode = modes.groupBy("capture_id").agg(F.max_by(F.struct("cap_len", "n"), F.struct("n", -F.col("first"))).alias("m"))
     q = cut.join(mode, "capture_id", "left")
+    of_many = isinstance(cut_short, DataFrame)
+    q = q.join(cut_short.select("capture_id", "file_cut_short"), "capture_id", "left") if of_many else q.withColumn("file_cut_short", F.lit(cut_short))
+    torn = F.coalesce("file_cut_short", F.lit(False))
     ratio = F.col("truncated_packets") / F.col("total_packets")
-    credibility = F.when(ratio >= th.truncated_high_ratio, "LOW").when(F.col("truncated_packets") > 0, "DEGRADED").otherwise("DEGRADED" if cut_short else "HIGH")
-    return q.select("capture_id", "total_packets", "truncated_packets", F.round(ratio, 4).alias("truncated_ratio"), F.col("m.cap_len").alias("common_cap_len"), F.coalesce((F.col("m.cap_len") == 128) & (F.col("m.n") * 2 >= F.col("known")), F.lit(False)).alias("snaplen_128_hint"), credibility.alias("credibility"), F.lit(cut_short).alias("file_cut_short"))
+    credibility = F.when(ratio >= th.truncated_high_ratio, "LOW").when(F.col("truncated_packets") > 0, "DEGRADED").when(torn, "DEGRADED").otherwise("HIGH")
+    return q.select("capture_id", "total_packets", "truncated_packets", F.round(ratio, 4).alias("truncated_ratio"), F.col("m.cap_len").alias("common_cap_len"), F.coalesce((F.col("m.cap_len") == 128) & (F.col("m.n") * 2 >= F.col("known")), F.lit(False)).alias("snaplen_128_hint"), credibility.alias("credibility"), torn.alias("file_cut_short"))

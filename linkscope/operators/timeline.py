@@ -70,10 +70,10 @@ def in_order(entries: DataFrame) -> DataFrame:
     return entries.orderBy("event_id", F.asc_nulls_last("timestamp"), "source", "event_type")
 
 
-def key_event(events: DataFrame, first: bool = False) -> DataFrame:
-    """The event that a case is about: the last connection reset, else the last event. Reports of exception logs take the first instead."""
+def key_event(events: DataFrame, first: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """The event that a case (each of `by`) is about: the last connection reset, else the last event. Reports of exception logs take the first instead."""
     at = F.struct((F.col("event_type") == "CONNECTION_RESET").alias("r"), (F.lit(-1) * F.col("event_ord") if first else F.col("event_ord")).alias("o"))
-    return events.agg(F.max_by(F.struct("event_id", "timestamp"), at).alias("k")).select("k.*")
+    return events.groupBy(*by).agg(F.max_by(F.struct("event_id", "timestamp"), at).alias("k")).select(*by, "k.*")
 
 
 def unified(entries: DataFrame, markers: DataFrame, key: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ looked into; frames that are no TCP over IPv4 or IPv6 count as frames and are no
 from __future__ import annotations
 
 import ipaddress
+import json
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -203,14 +204,19 @@ def segment(frame: bytes, link: int) -> tuple | None:
 
 
 class CaptureReader(DataSourceReader):
-    def __init__(self, path: str, split: int | None):
-        self.path, self.split = path, split
+    def __init__(self, paths: list[str], split: int | None, strict: bool = True):
+        self.paths, self.split, self.strict = paths, split, strict
 
     def partitions(self) -> list[Range]:
         out = []
-        for path, size in files_of(self.path):
+        for path, size in (found for p in self.paths for found in files_of(p)):
             with open_file(path) as f:
-                layout = layout_of(f.read(1 << 16), path)
+                try:
+                    layout = layout_of(f.read(1 << 16), path)
+                except (ValueError, struct.error):
+                    if self.strict:
+                        raise
+                    continue
             step = self.split or max(size, 1)
             out += [Range(path, size, at, min(at + step, size), layout) for at in range(0, max(size, 1), step)]
         return out
@@ -300,7 +306,11 @@ class CaptureReader(DataSourceReader):
 
 
 class CaptureSource(DataSource):
-    """spark.read.format("capture").load(path); option split: bytes of a range, 0 for whole files."""
+    """spark.read.format("capture").load(path).
+
+    Options: split, the bytes of a range, 0 for whole files; paths, a JSON list instead of one path; strict, false to pass over
+    files that are no captures.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -311,13 +321,15 @@ class CaptureSource(DataSource):
 
     def reader(self, schema) -> CaptureReader:
         split = int(self.options.get("split", SPLIT))
-        return CaptureReader(self.options["path"], split or None)
+        paths = json.loads(self.options["paths"]) if "paths" in self.options else [self.options["path"]]
+        return CaptureReader(paths, split or None, self.options.get("strict", "true") == "true")
 
 
-def records(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
+def records(spark: SparkSession, path: str | list[str], split: int = SPLIT, strict: bool = True) -> DataFrame:
     """Records of all files under path. Ranges of a file that do not fit together are taken from one more read of it, as a whole."""
     spark.dataSource.register(CaptureSource)
-    df = spark.read.format("capture").option("split", str(split)).load(path)
+    of = lambda paths, split: spark.read.format("capture").options(split=str(split), paths=json.dumps(paths), strict=str(strict).lower()).load()
+    df = of([path] if isinstance(path, str) else path, split)
     ends = df.groupBy("capture_id", "block").agg(F.min("offset").alias("first"), F.max("next_offset").alias("last"), F.min("next_offset").alias("least"), F.max("file_size").alias("size"))
     order = Window.partitionBy("capture_id").orderBy("block")  # a row a range
     ends = ends.withColumns({"before": F.lag("last").over(order), "after": F.lead("first").over(order)})
@@ -325,25 +337,23 @@ def records(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
     if not torn:
         return df
     names = [r.capture_id for r in torn]
-    whole = df.where(~F.col("capture_id").isin(names))
-    for name in names:
-        whole = whole.unionByName(spark.read.format("capture").option("split", "0").load(name))
-    return whole
+    return df.where(~F.col("capture_id").isin(names)).unionByName(of(names, 0))
 
 
-def read(spark: SparkSession, path: str, port: int | None = None, max_packets: int | None = None, split: int = SPLIT) -> tuple[DataFrame, DataFrame]:
+def read(spark: SparkSession, path: str | list[str], port: int | None = None, max_packets: int | None = None, split: int = SPLIT, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """Packets in the shape of field text, with ttl, and a row a file: capture_id, frames, packets, file_cut_short.
 
     Frames are numbered by their place in the file: a range adds the counts of earlier ones. Sequence
     numbers count from the first of each direction, windows are scaled where both sides agreed on it.
-    A file of which nothing can be read, but its beginning, is an error; an empty one is not.
+    A file of which nothing can be read, but its beginning, is an error; an empty one is not. Unless strict, its row (cut short,
+    without frames) tells it, and what is no capture at all has no row.
     """
-    rows = records(spark, path, split)
+    rows = records(spark, path, split, strict)
     sizes = rows.groupBy("capture_id", "block").agg(F.count("idx").alias("n"), F.max("cut").alias("cut"))
     order = Window.partitionBy("capture_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
     status = rows.groupBy("capture_id").agg(F.count_if(F.col("idx").isNotNull() & ~F.col("cut")).alias("frames"), F.count("raw_seq").alias("packets"), F.max("cut").alias("file_cut_short"))
-    broken = status.where("file_cut_short AND frames = 0").limit(1).collect()
+    broken = status.where("file_cut_short AND frames = 0").limit(1).collect() if strict else []
     if broken:
         raise RuntimeError(f"no packet can be read of {broken[0].capture_id}: its first record is cut short")
     p = rows.where("raw_seq IS NOT NULL AND timestamp IS NOT NULL").join(before.select("capture_id", "block", "before"), ["capture_id", "block"])

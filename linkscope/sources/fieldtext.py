@@ -38,7 +38,7 @@ def parse(lines: DataFrame) -> DataFrame:
     return p.drop("bad_0", "bad_2", "bad_3", "bad_8", "bad_18", "bad_19")
 
 
-def read(spark: SparkSession, path: str, port: int | None = None, max_packets: int | None = None) -> DataFrame:
+def read(spark: SparkSession, path: str | list[str], port: int | None = None, max_packets: int | None = None) -> DataFrame:
     """Packets of the field-text files under path; each file is a capture, its lines are numbered as they stand."""
     p = parse(numbered(spark, path, "capture_id", ends="\n").where("value <> ''"))
     p = p if port is None else p.where((F.col("src_port") == port) | (F.col("dst_port") == port))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def numbered(spark: SparkSession, path: str, name: str = "source_file", more_ends: str | None = None, ends: str | None = None) -> DataFrame:
+def escaped(path: str) -> str:
+    """A file's path for readers of text, which take patterns."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def numbered(spark: SparkSession, path: str | list[str], name: str = "source_file", more_ends: str | None = None, ends: str | None = None) -> DataFrame:
     """name (the file), line_no (from 1, long) and value of every line of the files under path.
 
     Files are read in splits. A split numbers its own lines in the order in which they are read,

@@ -23,7 +23,7 @@ NO_ANSWER = r"(?i)no answer yet for icmp_seq=(\d+)"
 BANNER = r"(?i)Ping monitor started:\s*([\d.]+)|^PING\s+([\d.]+)"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """source_file, line_no and value of every line of the files under path, read in splits."""
     return numbered(spark, path, more_ends=MORE_ENDS)
 
