@@ -137,8 +137,9 @@ def run_many(spark: SparkSession, folder: str, out: str, a: argparse.Namespace)
     for k in range(0, len(folders), many.MOST):
         with Stage(spark, "cases") as stage:
             cases = many.Cases(spark, folders[k : k + many.MOST], a.port, a.server_ip, config.load(config.default_path(), a.thresholds), a.log_timezone, dict(x.split("=", 1) for x in a.role), stage=stage)
+            shown = {"jdbc_tcp_correlations": exports.correlations_table, "jdbc_tcp_candidates": exports.candidates_table}
             for name, df in ({"quarantine": cases.quarantine} if a.dry_run else cases.tables()).items():
-                tables.write_csv(df, f"{out}/{name}.csv" + (f"/plan={k // many.MOST}" if len(folders) > many.MOST else ""))
+                tables.write_csv(shown[name](df, "case_id") if name in shown else df, f"{out}/{name}.csv" + (f"/plan={k // many.MOST}" if len(folders) > many.MOST else ""))
             rows += (cases.listed.select("case_no", "case_id", "case_path", "status").distinct() if a.dry_run else cases.summary).orderBy("case_no").collect()  # a row a case
     told = [{k: "" if v is None else v for k, v in r.asDict().items()} for r in rows]
     exports.write_batch([{**r, **({"error_code": r["status"], "error_message": r.get("message", "")} if r["status"] not in ("READY", "SUCCESS", "SUCCESS_WITH_WARNINGS") else {})} for r in told], out)

@@ -20,8 +20,8 @@ from .tables import write_csv, write_json
 # -- correlations --------------------------------------------------------------------------------
 
 
-def correlations_table(correlations: DataFrame) -> DataFrame:
-    """One row an event as it is exported, with the scores of its first candidate and the reason in words."""
+def correlations_table(correlations: DataFrame, *also: str) -> DataFrame:
+    """One row an event as it is exported (behind the columns `also`), with the scores of its first candidate and the reason in words."""
     c = F.col
     counted = F.format_string("%d flows looked at, %d at other endpoints, %d at other times, %d fit", c("flows_considered"), c("filtered_endpoint"), c("filtered_time"), c("eligible_count"))
     points = F.format_string("%s is first with %.1f points of identity and %.1f of health", c("correlation_id"), c("identity_score"), c("health_score"))
@@ -31,15 +31,15 @@ def correlations_table(correlations: DataFrame) -> DataFrame:
         .otherwise(F.concat(points, F.lit("; without a client port in the log no more than STRONG: ")))
     )
     return correlations.select(
-        "event_id", "correlation_status", "evidence_level", c("correlation_id").alias("dual_correlation_id"), "client_ip", "client_port", "server_ip", "server_port", "app_stream", "db_stream", "event_timestamp", "flow_start", "flow_end",
+        *also, "event_id", "correlation_status", "evidence_level", c("correlation_id").alias("dual_correlation_id"), "client_ip", "client_port", "server_ip", "server_port", "app_stream", "db_stream", "event_timestamp", "flow_start", "flow_end",
         F.when(c("nearest_tcp_frame").isNotNull(), F.concat(F.lit("frame "), c("nearest_tcp_frame"))).alias("nearest_tcp_event"), c("nearest_tcp_time").alias("nearest_tcp_event_time"), "delta_seconds",
         c("eligible_count").alias("candidate_count"), "flows_considered", "filtered_endpoint", "filtered_time", "eligible_count", "identity_score", "health_score", F.concat(why, counted).alias("reason"),
     )
 
 
-def candidates_table(candidates: DataFrame) -> DataFrame:
+def candidates_table(candidates: DataFrame, *also: str) -> DataFrame:
     """The ranked candidates of every event, ten at most."""
-    return candidates.select("event_id", "rank", F.col("correlation_id").alias("dual_correlation_id"), "client_ip", "client_port", "server_ip", "server_port", "app_stream", "db_stream", "app_start", "app_end", "packets_near", "distance", "identity_score", "health_score", "total_score", "anomaly_types")
+    return candidates.select(*also, "event_id", "rank", F.col("correlation_id").alias("dual_correlation_id"), "client_ip", "client_port", "server_ip", "server_port", "app_stream", "db_stream", "app_start", "app_end", "packets_near", "distance", "identity_score", "health_score", "total_score", "anomaly_types")
 
 
 # -- two captures --------------------------------------------------------------------------------

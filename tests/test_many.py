@@ -1,5 +1,6 @@
 """Many cases in one plan, against the same cases one by one."""
 
+import argparse
 import csv
 import json
 import re
@@ -33,24 +34,32 @@ def make(root):
     return root
 
 
+COMPARED = {
+    "jdbc_tcp_candidates": ("event_id", "rank", "client_port", "server_port", "app_stream", "db_stream", "packets_near", "identity_score", "health_score"),
+    "jdbc_tcp_correlations": ("event_id", "correlation_status", "server_port", "app_stream", "eligible_count", "flows_considered", "filtered_endpoint", "filtered_time"),
+    "dual_segments": ("seq", "tcp_len", "app_frame", "db_frame", "match_status", "app_stream"),
+    "jdbc_events": ("event_id", "event_type", "database_port", "group_id", "occurrence_count"),
+}
+
+
 def test_one_plan_equals_case_by_case(spark, tmp_path):
-    cases = make(tmp_path / "cases")
-    arguments = [str(cases), "--port", "5236", "--server-ip", "10.1.0.9", "--out"]
-    codes = [cli.main([kind, *arguments, str(tmp_path / kind)]) for kind in ("many", "batch")]
-    assert codes == [1, 1]
-    one, each = ({r["case_id"]: r for r in json.loads((tmp_path / kind / "batch_summary.json").read_text())} for kind in ("many", "batch"))
-    said = ("case_path", "status", "jdbc_event_count", "primary_event_type", "correlation_status", "candidate_count", "tcp_health", "capture_quality", "ping_status", "error_code")
-    assert list(one) == sorted(one) == list(each)
-    assert {k: [r[c] for c in said] for k, r in one.items()} == {k: [r[c] for c in said] for k, r in each.items()}
-    assert {k: r["status"] for k, r in one.items()} == {"bare": "MISSING_INPUT", "good [1]": "SUCCESS", "nolog": "MISSING_INPUT", "stub": "ANALYSIS_FAILED", "torn": "ANALYSIS_FAILED", "twin+x": "SUCCESS"}
-    lost = read_csv(tmp_path / "many" / "quarantine.csv")
+    root, out = make(tmp_path / "cases"), tmp_path / "many"
+    assert cli.main(["many", str(root), "--port", "5236", "--server-ip", "10.1.0.9", "--out", str(out)]) == 1
+    one = {r["case_id"]: r for r in json.loads((out / "batch_summary.json").read_text())}
+    assert {k: (r["status"], r["jdbc_event_count"], r["ping_status"]) for k, r in one.items()} == {"bare": ("MISSING_INPUT", "", ""), "good [1]": ("SUCCESS", 4, "PROVIDED"), "nolog": ("MISSING_INPUT", "", ""), "stub": ("ANALYSIS_FAILED", "", ""), "torn": ("ANALYSIS_FAILED", "", ""), "twin+x": ("SUCCESS", 6, "NOT PROVIDED")}
+    assert {k: r["error_code"] for k, r in one.items() if r["error_code"]} == {k: r["status"] for k, r in one.items() if r["status"] != "SUCCESS"}
+    lost = read_csv(out / "quarantine.csv")
     assert sorted(r["case_id"] for r in lost) == ["bare", "nolog", "stub", "torn"] and all(r["stage"] for r in lost)
-    for name, columns in (("jdbc_tcp_candidates", ("event_id", "rank", "client_port", "server_port", "app_stream", "db_stream", "packets_near", "identity_score", "health_score")), ("jdbc_tcp_correlations", ("event_id", "correlation_status", "server_port", "app_stream", "eligible_count", "flows_considered", "filtered_endpoint", "filtered_time")), ("dual_segments", ("seq", "tcp_len", "app_frame", "db_frame", "match_status", "app_stream")), ("jdbc_events", ("event_id", "event_type", "database_port", "group_id", "occurrence_count"))):
-        got = read_csv(tmp_path / "many" / f"{name}.csv")
-        for case in ("good [1]", "twin+x"):
-            want = read_csv(tmp_path / "batch" / case / f"{name}.csv")
-            assert want and sorted(tuple(r[c] for c in columns) for r in got if r["case_id"] == case) == sorted(tuple(r[c] for c in columns) for r in want), (name, case)
-    assert [r["case_id"] for r in csv.DictReader((tmp_path / "many" / "batch_summary.csv").open())] == sorted(one)
+    assert [r["case_id"] for r in csv.DictReader((out / "batch_summary.csv").open())] == sorted(one)
+    a = argparse.Namespace(port=5236, server_ip="10.1.0.9", max_packets=None, thresholds=None, log_timezone="UTC")
+    alone = cli.case_of(spark, *[str(root / "twin+x" / n) for n in ("x.log", "app.pcap", "db.pcap")], None, a)
+    tables = {"jdbc_tcp_candidates": alone.candidates, "jdbc_tcp_correlations": alone.correlations, "dual_segments": alone.dual.segments, "jdbc_events": alone.events}
+    for name, columns in COMPARED.items():
+        text = lambda x: str(float(x)) if x.replace(".", "").replace("-", "").isdigit() else x
+        told = lambda rows: sorted(tuple(text("" if r[c] is None else str(r[c])) for c in columns) for r in rows)
+        want = told(tables[name].collect())
+        assert want and told(r for r in read_csv(out / f"{name}.csv") if r["case_id"] == "twin+x") == want, name
+    alone.stage.close()
 
 
 def test_events_without_a_host_stay_in_their_case(spark, tmp_path):
