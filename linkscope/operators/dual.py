@@ -35,7 +35,7 @@ def match_flows(app: DataFrame, db: DataFrame, stage: Stage | None = None) -> Da
     that do not overlap score 1 / (1 + gap), if their starts are at most NEAR seconds apart.
     """
     stage = stage or Stage(app.sparkSession, "flows")
-    j = stage.keep(session_pairs(app, db), "pairs")
+    j = stage.keep(session_pairs(app, db, stage), "pairs")
     matched = greedy(j, stage)
     confidence = F.when(F.col("overlap") <= 0, "SUSPECTED").when((F.col("app_n") > 1) | (F.col("db_n") > 1), "STRONG").otherwise("CONFIRMED")
     rows = matched.withColumn("confidence", confidence).select(*FLOW_KEY, "worse", "app_ord", "db_ord", "app_stream", "db_stream", "app_start", "app_end", "db_start", "db_end", "confidence")
@@ -43,23 +43,21 @@ def match_flows(app: DataFrame, db: DataFrame, stage: Stage | None = None) -> Da
     return out.withColumn("correlation_id", F.format_string("CF%04d", "no")).drop("worse", "app_ord", "db_ord", "no")
 
 
-def session_pairs(app: DataFrame, db: DataFrame) -> DataFrame:
+def session_pairs(app: DataFrame, db: DataFrame, stage: Stage) -> DataFrame:
     """Pairs of sessions that may be one: (4-tuple, worse, app_*, db_*, overlap). The smaller (worse, app_ord, db_ord), the better.
 
     Sessions of a 4-tuple with few of them on a side meet at once; others only where they come near
-    in time, by buckets of it.
+    in time, by buckets of it. Both sides are written with their numbers first, so that no task sorts for all joins at once.
     """
-    def side(s: DataFrame, x: str) -> DataFrame:
-        sized = s.groupBy(*FLOW_KEY).agg(F.count(F.lit(1)).alias(f"{x}_n"))
-        own = s.select(*FLOW_KEY, F.col("session_id").alias(f"{x}_stream"), F.col("session_ord").alias(f"{x}_ord"), F.col("start_time").alias(f"{x}_start"), F.col("end_time").alias(f"{x}_end"), F.col("syn_seq").alias(f"{x}_syn"))
-        return own.join(sized, FLOW_KEY)
-
-    a, d = side(app, "app"), side(db, "db")
-    sizes = a.select(*FLOW_KEY, "app_n").distinct().join(d.select(*FLOW_KEY, "db_n").distinct(), FLOW_KEY).select(*FLOW_KEY, (F.least("app_n", "db_n") > FEW).alias("many"))
-    a, d = a.join(sizes, FLOW_KEY), d.join(sizes.drop("many"), FLOW_KEY)
+    own = lambda s, at_app: s.select(*FLOW_KEY, F.lit(at_app).alias("at_app"), "session_id", "session_ord", "start_time", "end_time", "syn_seq")
+    sides = stage.keep(own(app, True).unionByName(own(db, False)), "sides", readers=2)
+    sizes = sides.groupBy(*FLOW_KEY).agg(F.count_if("at_app").alias("app_n"), F.count_if(~F.col("at_app")).alias("db_n")).where("app_n > 0 AND db_n > 0")
+    sized = stage.keep(sides.join(sizes.withColumn("many", F.least("app_n", "db_n") > FEW), FLOW_KEY), "sized", readers=2)
+    side = lambda at_app, x: sized.where(F.col("at_app") == at_app).select(*FLOW_KEY, "many", *[F.col(c).alias(f"{x}_{n}") for c, n in (("session_id", "stream"), ("session_ord", "ord"), ("start_time", "start"), ("end_time", "end"), ("syn_seq", "syn"), (f"{x}_n", "n"))])
+    a, d = side(True, "app"), side(False, "db")
     bucket = lambda c, more=0: F.floor(F.col(c) / NEAR) + more
     a = a.withColumns({"a0": F.when(F.col("many"), bucket("app_start", -1)).otherwise(0), "a1": F.when(F.col("many"), bucket("app_end", 1)).otherwise(0)})
-    d = d.join(sizes, FLOW_KEY).withColumns({"d0": F.when(F.col("many"), bucket("db_start")).otherwise(0), "d1": F.when(F.col("many"), bucket("db_end")).otherwise(0)}).drop("many")
+    d = d.withColumns({"d0": F.when(F.col("many"), bucket("db_start")).otherwise(0), "d1": F.when(F.col("many"), bucket("db_end")).otherwise(0)}).drop("many")
     spread = lambda s, x: s.withColumn("bucket", F.explode(F.sequence(f"{x}0", F.greatest(f"{x}0", f"{x}1"))))
     j = spread(a, "a").join(spread(d, "d"), [*FLOW_KEY, "bucket"]).where(F.col("bucket") == F.greatest("a0", "d0"))
     overlap = F.greatest(F.lit(0.0), F.least("app_end", "db_end") - F.greatest("app_start", "db_start"))
@@ -78,12 +76,11 @@ def greedy(pairs: DataFrame, stage: Stage) -> DataFrame:
     What is left after ROUNDS is walked through in order, 4-tuple by 4-tuple, with the sessions taken so
     far as the only state.
     """
-    best, taken, left = F.struct("worse", "app_ord", "db_ord"), [], pairs
+    taken, left = [], pairs
     a, d = [*FLOW_KEY, "app_stream"], [*FLOW_KEY, "db_stream"]
     for _ in range(ROUNDS):
-        mutual = left.withColumn("rank", best)
-        top = lambda by, name: left.groupBy(*by).agg(F.min(best).alias(name))
-        mutual = mutual.join(top(a, "a_best"), a).join(top(d, "d_best"), d).where((F.col("rank") == F.col("a_best")) & (F.col("rank") == F.col("d_best"))).select(pairs.columns)
+        nth = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy("worse", "app_ord", "db_ord"))
+        mutual = left.withColumn("a_nth", nth(a)).withColumn("d_nth", nth(d)).where("a_nth = 1 AND d_nth = 1").select(pairs.columns)
         taken.append(stage.keep(mutual, "mutual", readers=3))
         rest = stage.keep(left.join(taken[-1].select(*a), a, "left_anti").join(taken[-1].select(*d), d, "left_anti"), "left")
         stage.release(left)
@@ -163,9 +160,20 @@ def match_segments(app: DataFrame, db: DataFrame, flows: DataFrame) -> DataFrame
     )
 
 
-def clock_alignment(segments: DataFrame) -> DataFrame:
-    """One row: the median of the deltas of segments matched on both sides, and whether it is an offset of the clocks."""
-    d = segments.where("match_status = 'MATCHED_BOTH_SIDES' AND observed_delta IS NOT NULL").agg(F.count(F.lit(1)).alias("samples"), F.median("observed_delta").alias("median"), F.min("observed_delta").alias("least"), F.max("observed_delta").alias("most"))
+def clock_alignment(segments: DataFrame, stage: Stage | None = None) -> DataFrame:
+    """One row: the median of the deltas of segments matched on both sides, and whether it is an offset of the clocks.
+
+    The median is found by counts of equal deltas in ranges of them, so no task holds all deltas.
+    """
+    stage = stage or Stage(segments.sparkSession, "clock")
+    x = segments.where("match_status = 'MATCHED_BOTH_SIDES' AND observed_delta IS NOT NULL").groupBy("observed_delta").agg(F.count(F.lit(1)).alias("n"))
+    x = scan.ranged(x, [], ["observed_delta"], stage, "deltas", readers=3)
+    d = x.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("samples"), F.min("observed_delta").alias("least"), F.max("observed_delta").alias("most"))
+    upto = scan.running(x, [], ["observed_delta"], {"upto": ("sum", F.col("n"))}).join(F.broadcast(d.select("samples")))  # one row
+    # The sample in the middle, or the two around it.
+    at = lambda place: F.max(F.when((F.col("upto") - F.col("n") <= place) & (place < F.col("upto")), F.col("observed_delta")))
+    low, high = F.floor((F.col("samples") - 1) / 2), F.floor(F.col("samples") / 2)
+    d = d.join(upto.agg((0.5 * at(low) + 0.5 * at(high)).alias("median")))
     spread = F.col("most") - F.col("least")
     unsure = (spread > 2.0) | ((F.abs("median") > 0.05) & (spread > F.greatest(F.lit(1.0), 10 * F.abs("median"))))
     status = F.when(F.col("samples") < 3, "INSUFFICIENT").when(unsure, "UNRELIABLE").otherwise("OK")

@@ -127,7 +127,7 @@ class Dual(Staged):
 
     @cached_property
     def clock(self) -> DataFrame:
-        return dual.clock_alignment(self.segments)
+        return dual.clock_alignment(self.segments, self.stage)
 
     @cached_property
     def flow_counts(self) -> DataFrame:
