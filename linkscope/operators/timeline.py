@@ -22,9 +22,9 @@ def _rows(df: DataFrame, **columns: Column) -> DataFrame:
 def anomaly_times(found: DataFrame, packets: DataFrame, sessions: DataFrame) -> DataFrame:
     """found with ts: of the first packet among its frames; else the middle of its session; else the session's start."""
     a = found.where("session_id IS NOT NULL").withColumn("a_id", F.xxhash64("session_id", "type", "seq", "tcp_len", "first_ord", "frames"))
-    hit = a.select("a_id", "session_id", F.explode("frames").alias("frame_number")).join(packets.select("session_id", "frame_number", "timestamp", "pkt_ord"), ["session_id", "frame_number"]).groupBy("a_id").agg(F.min_by("timestamp", "pkt_ord").alias("hit_ts"))
+    hit = a.select("a_id", "session_id", F.explode("frames").alias("frame_number")).hint("merge").join(packets.select("session_id", "frame_number", "timestamp", "pkt_ord"), ["session_id", "frame_number"]).groupBy("a_id").agg(F.min_by("timestamp", "pkt_ord").alias("hit_ts"))
     s = sessions.select("session_id", ((F.col("start_time") + F.col("end_time")) / 2).alias("middle"), "start_time")
-    return a.join(hit, "a_id", "left").join(s, "session_id", "left").withColumn("ts", F.coalesce("hit_ts", "middle", "start_time")).drop("a_id", "hit_ts", "middle", "start_time")
+    return a.join(hit.hint("merge"), "a_id", "left").join(s.hint("merge"), "session_id", "left").withColumn("ts", F.coalesce("hit_ts", "middle", "start_time")).drop("a_id", "hit_ts", "middle", "start_time")
 
 
 def timeline(events: DataFrame, chosen: DataFrame, sides: dict[str, dict[str, DataFrame]], segments: DataFrame, window: float = 30.0, strict_compat: bool = False) -> DataFrame:
@@ -34,7 +34,8 @@ def timeline(events: DataFrame, chosen: DataFrame, sides: dict[str, dict[str, Da
     """
     c = F.col
     e = events.select("event_id", F.col("timestamp").alias("t0"), "event_type", F.trim(F.concat(c("event_type"), F.lit(": "), F.coalesce("caused_by_class", "exception_class", F.lit("")), F.lit(" "), F.coalesce("caused_by_message", "message", F.lit("")))).alias("said"))
-    j = e.join(chosen.select("event_id", "evidence_level", "correlation_id", "app_stream", "db_stream", "client_ip", "client_port", "server_ip", "server_port"), "event_id")
+    # Joins of what grows with events or packets never go through the driver: many of them run at once.
+    j = e.hint("merge").join(chosen.select("event_id", "evidence_level", "correlation_id", "app_stream", "db_stream", "client_ip", "client_port", "server_ip", "server_port"), "event_id")
     parts = [_rows(j, event_id=c("event_id"), timestamp=c("t0"), relative_seconds=F.when(c("t0").isNotNull(), 0.0), source=F.lit("JDBC"), event_type=c("event_type"), side=F.lit("APP_LOG"), description=c("said"), evidence_level=c("evidence_level"))]
     way = F.concat(c("client_ip"), F.lit(":"), c("client_port"), F.lit(" -> "), c("server_ip"), F.lit(":"), c("server_port"))
     linked = j.where("app_stream IS NOT NULL" + (" AND app_stream <> 0" if strict_compat else ""))
@@ -45,17 +46,17 @@ def timeline(events: DataFrame, chosen: DataFrame, sides: dict[str, dict[str, Da
         label = F.when(P.flag("SYN") & ~P.flag("ACK"), "SYN").when(P.flag("SYN"), "SYN_ACK").when(P.flag("FIN"), "FIN").when(P.flag("RST"), "RST")
         marks = own["packets"].withColumn("label", label).where("label IS NOT NULL").select(c("session_id").alias("stream"), "timestamp", "label", "frame_number", "tcp_seq", "tcp_ack", "tcp_len")
         gap = F.abs(c("timestamp") - c("t0"))
-        kept = mine.join(marks, stream == c("stream")).where(c("t0").isNull() | (gap <= window) | (c("label").isin("SYN", "SYN_ACK") & (gap <= max(window, 120))))
+        kept = mine.hint("merge").join(marks, stream == c("stream")).where(c("t0").isNull() | (gap <= window) | (c("label").isin("SYN", "SYN_ACK") & (gap <= max(window, 120))))
         parts.append(_rows(kept, event_id=c("event_id"), timestamp=c("timestamp"), relative_seconds=c("timestamp") - c("t0"), source=F.lit(source), event_type=c("label"), side=F.lit(side), frame=c("frame_number"), stream=c("stream"), seq=c("tcp_seq"), ack=c("tcp_ack"), tcp_len=c("tcp_len"),
                            description=F.concat(c("label"), F.lit(f" observed at {side} capture")), evidence_level=F.lit("CONFIRMED"), **identity))
         told = anomaly_times(own["anomalies"].where(c("type").isin(*IMPORTANT) | c("type").startswith("RST")), own["packets"], own["sessions"]).select(c("session_id").alias("stream"), "type", "summary", c("evidence_level").alias("a_level"), F.get("frames", F.lit(0)).alias("a_frame"), "ts")
-        kept = mine.join(told, stream == c("stream")).where(F.coalesce(F.abs(c("ts") - c("t0")) <= 3 * window, F.lit(True)))
+        kept = mine.hint("merge").join(told, stream == c("stream")).where(F.coalesce(F.abs(c("ts") - c("t0")) <= 3 * window, F.lit(True)))
         parts.append(_rows(kept, event_id=c("event_id"), timestamp=c("ts"), relative_seconds=c("ts") - c("t0"), source=F.lit(source), event_type=c("type"), side=F.lit(side), frame=c("a_frame"), stream=c("stream"), description=c("summary"), evidence_level=c("a_level"), **identity))
         bad = own["quality"].where("credibility <> 'HIGH'").limit(1)  # a row a capture
         noted = linked.join(F.broadcast(bad.select("credibility", "truncated_packets")))
         parts.append(_rows(noted, event_id=c("event_id"), timestamp=c("t0"), relative_seconds=F.when(c("t0").isNotNull(), 0.0), source=F.lit(source), event_type=F.lit("CAPTURE_QUALITY"), side=F.lit(side), description=F.format_string(f"{side} capture credibility=%s truncated=%d", c("credibility"), c("truncated_packets")), evidence_level=F.lit("CONFIRMED")))
     segs = segments.where("match_status = 'MATCHED_BOTH_SIDES' AND app_timestamp IS NOT NULL").select("correlation_id", "app_timestamp", "app_frame", "seq", c("ack").alias("s_ack"), "tcp_len", c("evidence_level").alias("s_level"))
-    kept = linked.join(segs, "correlation_id").where(c("t0").isNull() | (F.abs(c("app_timestamp") - c("t0")) <= window))
+    kept = linked.hint("merge").join(segs, "correlation_id").where(c("t0").isNull() | (F.abs(c("app_timestamp") - c("t0")) <= window))
     parts.append(_rows(kept, event_id=c("event_id"), timestamp=c("app_timestamp"), relative_seconds=c("app_timestamp") - c("t0"), source=F.lit("DUAL"), event_type=F.lit("MATCHED_SEGMENT"), side=F.lit("BOTH"), frame=c("app_frame"), stream=c("app_stream"), seq=c("seq"), ack=c("s_ack"), tcp_len=c("tcp_len"), description=F.format_string("Matched segment Seq=%d Len=%d", c("seq"), c("tcp_len")), evidence_level=c("s_level"), **identity))
     return reduce(DataFrame.unionByName, parts)
 
