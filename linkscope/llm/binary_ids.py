@@ -71,7 +71,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_co
         for batch in batches:
             id_pa = batch.schema.field(0).type
             for part in slices(batch):
-                ids = [x + end for x in table.encode(part.column(1).to_pylist())]
+                ids = [x + end for x in table.encode(part.column(1))]
                 n = np.bincount(np.frombuffer(b"".join(ids), dtype="<u4"))
                 if len(n) > len(total):
                     n, total = total, n

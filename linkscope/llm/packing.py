@@ -45,7 +45,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int = 0, max_tokens: int = MAX_
         for batch in batches:
             for part in slices(batch):
                 row, piece, start, length, crc = [], [], [], [], []
-                for k, ids in enumerate(table.encode(part.column(1).to_pylist())):
+                for k, ids in enumerate(table.encode(part.column(1))):
                     ids += end
                     for no, at in enumerate(range(0, len(ids), 4 * max_tokens)):
                         own = ids[at : at + 4 * max_tokens]

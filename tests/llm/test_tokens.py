@@ -4,10 +4,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-from linkscope.llm import binary_ids, packing, token_counts  # noqa: E402
+from linkscope.llm import binary_ids, packing, token_counts, token_ids  # noqa: E402
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -120,3 +121,41 @@ def test_empty_tables(spark):
     assert token_counts.count_tokens(none, PIECES).count() == 0
     assert packing.pack_documents(none, WORDS).count() == 0
     assert binary_ids.round_trip(none, WORDS).count() == 0
+
+
+def test_word_table_equals_the_library():
+    r, letters = random.Random(7), [chr(c) for c in range(256)]
+    own = [x for a in letters for b in letters for x in (a + b, f"x{a}{b}y")] + [f"'{a}{b}" for a in letters for b in "stmdrevl'.x"] + texts()
+    for some in ("ab'stredvlmABÉéß .,!<|\x1c\x85\xa0²½_-\n", "abé中文σΣς'<|İ́\u3000 .\x1d"):
+        own += ["".join(r.choice(some) for _ in range(r.randint(0, 60))) for _ in range(3000)]
+    for limit, own in ((300, own[-2000:]), (token_ids.TABLE_CHUNKS, own)):
+        table = token_ids.WordTable(WORDS, limit)
+        got = [x for k in range(0, len(own), 700) for x in table.encode(pa.array(own[k : k + 700], pa.string()))]
+        want = [np.array(x.ids, dtype="<u4").tobytes() for x in table.tokenizer.encode_batch_fast([t or "" for t in own], add_special_tokens=False)]
+        assert got == want and len(table.known) <= limit
+
+
+def test_new_words_cost_the_model_alone():
+    """Words that were not seen before took the whole tokenizer, one text each, and those beside marks a place for each neighbour."""
+    table, given = token_ids.WordTable(WORDS), []
+
+    class Library:
+        def encode_batch_fast(self, chunks, **options):
+            given.extend(chunks)
+            return whole.encode_batch_fast(chunks, **options)
+
+    whole, table.tokenizer = table.tokenizer, Library()
+    r = random.Random(11)
+    words = ["".join(r.choice("abdehiorst\u00e9") for _ in range(12)) for _ in range(2000)]
+    table.encode(pa.array([f"{a} {b.upper()},{a}; ({b})--{a}'s" for a, b in zip(words, words[1:])]))
+    assert set(table.known) - {"", ",", ";", "(", ")--", "'s"} == set(words)
+    assert set(given) <= {"", ",", ";", "(", ")--", "'s"}
+
+
+def test_slices_are_bounded_in_bytes():
+    own = [None, "", "a" * 10, "é" * 7, None, "b" * 3, "c" * 50, "", "d"] * 30
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(own))), "text": pa.array(own, pa.string())})
+    parts = list(token_ids.slices(batch, most=20))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(len(own)))
+    assert all(sum(len((x or "").encode()) for x in p.column(1).to_pylist()[1:]) <= 20 for p in parts)
+    assert list(token_ids.slices(batch.slice(0, 0))) == []
