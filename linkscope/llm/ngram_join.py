@@ -53,6 +53,8 @@ MOST_BITS = 1 << 16
 BROADCAST_ROWS = 500_000
 #: Pairs for each row up to which a block names the pairs left to verify, each once over all blocks; with more, its sets' arrays come to the block.
 PAIRS_A_ROW = 8
+#: Edges that a task contracts at a time.
+SLICE = 200_000
 _TABLE_WORDS = 500_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
@@ -224,22 +226,55 @@ def verified(pairs: DataFrame, sides: DataFrame, docs: DataFrame, id_col: str, t
     return out
 
 
+def top(above: dict[int, int], x: int) -> int:
+    while above.get(x, x) != x:
+        above[x] = x = above.get(above[x], above[x])
+    return x
+
+
+def forest(edges: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (u, v), u > v, of each SLICE of rows as (node, smallest node of its component in the slice)."""
+
+    def contracted(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        above: dict[int, int] = {}
+        for x, y in zip(t.column("u").to_pylist(), t.column("v").to_pylist()):
+            x, y = top(above, x), top(above, y)
+            if x != y:
+                above[max(x, y)] = min(x, y)
+        return pa.RecordBatch.from_arrays([pa.array(list(above), pa.int64()), pa.array([top(above, x) for x in list(above)], pa.int64())], ["u", "v"])
+
+    held, rows = [], 0
+    for batch in edges:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= SLICE:
+            yield contracted(held)
+            held, rows = [], 0
+    if rows:
+        yield contracted(held)
+
+
 def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """node and root (its component's smallest node) of every node of the links (a, b), by alternating large and small stars."""
+    """node and root (its component's smallest node) of every node of the links (a, b), by alternating large and small stars.
+
+    Edges lead from the larger node. What is written is contracted slice by slice before, so a node leads to few
+    smaller ones (one for each slice at most), and few rounds remain. Contractions and stars never add edges, and
+    lower the sum of their nodes until every component is one star, which they leave as it is.
+    """
     scratch = scratch or Scratch(links.sparkSession, "components")
-    edges = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    kept = lambda pairs: scratch.keep(pairs.mapInArrow(forest, "u bigint, v bigint"), "edges")
+    edges = kept(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
     state = None
     while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == state or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
         state, before = now, edges
-        ways = edges.union(edges.select("v", "u"))
-        least = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = ways.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", "m")).distinct()
-        edges = scratch.keep(small, "edges")
+        least = edges.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
+        large = edges.join(least, edges.v == least.x, "left").select("u", F.coalesce("m", "v").alias("v"))
+        small = large.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("vs"))
+        edges = kept(small.select(F.explode(F.expr("transform(vs, v -> struct(IF(v = m, u, v) AS u, m AS v))")).alias("e")).select("e.u", "e.v"))
         scratch.drop(before)
 
 
@@ -313,16 +348,10 @@ def candidates(t: pa.Table, bits: list[bytes], n: np.ndarray, percent: int) -> I
             yield k, right[good], apart[good]
 
 
-def top(above: dict[int, int], x: int) -> int:
-    while above.get(x, x) != x:
-        above[x] = x = above.get(above[x], above[x])
-    return x
-
-
 def likely(open_: DataFrame, sides: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of open tiles that bit counts let link: of each block those that would span its components, the nearest first."""
 
-    def forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def nearest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, TILE_BLOCK):
             n, ids, roots = t.column("n_shingles").to_numpy(), t.column("set").to_numpy(), t.column("root").to_pylist()
             found = [(np.full(len(them), k), them, apart / (n[k] + n[them])) for k, them, apart in candidates(t, t.column("bits").to_pylist(), n, percent)]
@@ -340,7 +369,7 @@ def likely(open_: DataFrame, sides: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     rows = in_blocks(open_, percent).join(sides, "set").select(*TILE_BLOCK, "own", "set", "root", "n_shingles", "bits")
-    return together(rows).mapInArrow(forest, "a bigint, b bigint").distinct()
+    return together(rows).mapInArrow(nearest, "a bigint, b bigint").distinct()
 
 
 TILE_BLOCK = ("tile", "i", "j")

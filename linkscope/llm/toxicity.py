@@ -136,8 +136,23 @@ def voted(own: list[np.ndarray], shapes: list[list[bool]], lexicon: list[int], i
     return np.column_stack([np.where(hit[:, :-1], 1, -1), np.where(shown, 1, -1), np.where(listed, -1, 0), np.where(stems, -1, 0)])
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
-    """A classifier from texts and their labels (1: toxic)."""
+class Texts:
+    """Texts of an Arrow column as strings, one at a time, as often as they are asked for."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        self.column = column
+
+    def __iter__(self) -> Iterator[str | None]:
+        return (x.as_py() for x in self.column)
+
+
+def fit(texts: Iterable[str | None], labels: list[int]) -> Model:
+    """A classifier from texts, which are read twice, and their labels (1: toxic)."""
+    # Only words of rows with label 1 can be listed; the others, most of all words, are not held.
+    listable = set(INSULTS)
+    for text, label in zip(texts, labels):
+        if label == 1:
+            listable |= features(text)
     number: dict[str, int] = {}
     seen, own, shapes, folds, y, weight = {}, [], [], [], [], []
     for text, label in zip(texts, labels):
@@ -145,7 +160,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         # A digest stands for the words, so that those of one text alone are in memory.
         row = seen.setdefault((hashlib.blake2b(" ".join(f).encode(), digest_size=16).digest(), *shown, label), len(y))
         if row == len(y):
-            own.append(np.fromiter((number.setdefault(w, len(number)) for w in f), dtype=np.int32, count=len(f)))
+            own.append(np.fromiter((number.setdefault(w, len(number)) for w in f if w in listable), dtype=np.int32))
             shapes.append(shown)
             folds.append(min((zlib.crc32(w.encode()) for w in f), default=0) % FOLDS)  # near copies share it mostly
             y.append(label)
@@ -201,9 +216,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     known = labels.where(usable & F.col(label_col).isNotNull()).select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label"))
     share = min(1.0, train_rows / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    got = docs.select(id_col, text_col).join(chosen, F.col(id_col) == F.col("label_id")).select(F.col(text_col).alias("text"), "label").toPandas()
-    got = got.sort_values(["label", "text"])
-    return fit(got["text"].tolist(), got["label"].tolist())
+    got = docs.select(id_col, text_col).join(chosen, F.col(id_col) == F.col("label_id")).select(F.col(text_col).alias("text"), "label").toArrow()
+    got = got.sort_by([("label", "ascending"), ("text", "ascending")])
+    return fit(Texts(got["text"]), got["label"].to_pylist())
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), out: str = "score") -> DataFrame:

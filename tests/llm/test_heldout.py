@@ -2,6 +2,7 @@
 
 import math
 import os
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -63,3 +64,15 @@ def test_labels_of_a_row_do_not_reach_its_own_voters(monkeypatch):
     whole, *folds = seen
     assert whole[0] == 1 and len(folds) == toxicity.FOLDS
     assert sorted(x for x, _ in folds) == [0, 1, 1, 1, 1] and sum(whole[1] - n for _, n in folds) == whole[1]
+
+
+def test_fit_holds_no_words_that_cannot_be_listed():
+    """Words of rows without label 1 are most of all words; the driver held each of them and its stems."""
+    texts = [" ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(200)) + (" zorgling" if k % 50 == 0 else "") for k in range(1000)]
+    labels = [int(k % 50 == 0) for k in range(1000)]
+    toxicity.fit(texts[:20], labels[:20])
+    tracemalloc.start()
+    model = toxicity.fit(texts, labels)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert "zorgling" in model.weights and most < 15_000_000

@@ -165,6 +165,25 @@ def test_stars_find_components(spark):
     assert got == {n: x for n, x in root.items() if any(n in e and e[0] != e[1] for e in edges)}
 
 
+def test_components_take_few_rounds_and_tasks(spark, monkeypatch):
+    """A long path in random order, a hub of many, and slices far smaller than either: every node finds its smallest one."""
+    r = random.Random(2)
+    path, hub = [(n, n + 1) for n in range(1000, 1300)], [(5000, n) for n in range(5001, 5400)] + [(7, 5200)]
+    edges = path + hub
+    r.shuffle(edges)
+    links = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    rounds, least = {}, {n: 1000 for n in range(1000, 1301)} | {n: 7 for n in (7, *range(5000, 5400))}
+    for size in (200_000, 40):
+        monkeypatch.setattr(ngram_join, "SLICE", size)
+        scratch, plans = ngram_join.Scratch(spark, "components"), []
+        keep = scratch.keep
+        monkeypatch.setattr(scratch, "keep", lambda df, name, keep=keep, plans=plans: plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")) or keep(df, name))
+        assert {x.node: x.root for x in ngram_join.components(links, scratch).collect()} == least
+        rounds[size] = plans
+    assert len(rounds[200_000]) <= 4 and len(rounds[40]) <= 8
+    assert max(rounds[200_000]) <= 3 and rounds[200_000][0] == 0
+
+
 @pytest.mark.parametrize("seeds", [decontaminate.BROADCAST_SEEDS, 0])
 def test_substituted_passages_are_found(spark, seeds):
     r = random.Random(5)
