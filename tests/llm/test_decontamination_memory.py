@@ -19,13 +19,19 @@ passage = " ".join(f"item{k}" for k in range(40))
 text = " ".join(f"own{k}" for k in range(500))
 bench = spark.range(60).select(F.col("id").alias("item_id"), F.lit(passage).alias("text"))
 docs = spark.range(2).select(F.col("id").alias("doc_id"), F.repeat(F.lit(text + " " + passage + " "), 40).alias("text"))
+"""
+FOUND = """
 rows = decontaminate.find_overlaps(docs, bench).collect()
 assert len(rows) == 120 and all(x.agreeing == 40 and x.first_word == 500 and x.n_hits == 40 * (31 + 34) for x in rows), rows[:3]
 """
+LEFT = """
+assert [x.doc_id for x in decontaminate.remove_contaminated(docs.union(spark.sql("SELECT 7L, 'of no item'")), bench).collect()] == [7]
+"""
 
 
-def test_a_small_heap_holds_the_hits_of_long_texts_and_repeated_items():
-    run = subprocess.run([sys.executable, "-c", LOW_HEAP], cwd=Path(__file__).parents[2], capture_output=True, text=True, timeout=280)
+@pytest.mark.parametrize("asked", [FOUND, LEFT])
+def test_a_small_heap_holds_the_hits_of_long_texts_and_repeated_items(asked):
+    run = subprocess.run([sys.executable, "-c", LOW_HEAP + asked], cwd=Path(__file__).parents[2], capture_output=True, text=True, timeout=280)
     assert run.returncode == 0, run.stderr[-2000:]
 
 
