@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import packets as P
 from ..schemas import KEYS
@@ -21,6 +25,10 @@ NEAR = 600
 FEW = 64
 #: Rounds of mutual best pairs before the rest is walked through in order.
 ROUNDS = 6
+#: Pairs for each session of a 4-tuple, about, beyond which a task looks for them by turns instead of listing them.
+DENSE = 64
+#: Best free partners that such a session notes at a time.
+NOTED = 64
 
 
 def relative_syn(packets: DataFrame) -> DataFrame:
@@ -35,8 +43,13 @@ def match_flows(app: DataFrame, db: DataFrame, stage: Stage | None = None) -> Da
     that do not overlap score 1 / (1 + gap), if their starts are at most NEAR seconds apart.
     """
     stage = stage or Stage(app.sparkSession, "flows")
-    j = stage.keep(session_pairs(app, db, stage), "pairs")
-    matched = greedy(j, stage)
+    sized = sized_sessions(app, db, stage)
+    if sized.where("many").isEmpty():
+        matched = greedy(stage.keep(pairs_of(sized), "pairs"), stage)
+    else:
+        sized = stage.keep(sized.join(dense_keys(sized).withColumn("dense", F.lit(True)), FLOW_KEY, "left").fillna(False, ["dense"]), "dense", readers=3)
+        listed = stage.keep(pairs_of(sized.where("NOT dense")), "pairs")
+        matched = greedy(listed, stage).unionByName(crowded(sized.where("dense"), listed.schema))
     confidence = F.when(F.col("overlap") <= 0, "SUSPECTED").when((F.col("app_n") > 1) | (F.col("db_n") > 1), "STRONG").otherwise("CONFIRMED")
     rows = matched.withColumn("confidence", confidence).select(*FLOW_KEY, "worse", "app_ord", "db_ord", "app_stream", "db_stream", "app_start", "app_end", "db_start", "db_end", "confidence")
     out = scan.numbered(rows, [*FLOW_KEY, "worse", "app_ord", "db_ord"], "no", stage)
@@ -47,12 +60,30 @@ def session_pairs(app: DataFrame, db: DataFrame, stage: Stage) -> DataFrame:
     """Pairs of sessions that may be one: (4-tuple, worse, app_*, db_*, overlap). The smaller (worse, app_ord, db_ord), the better.
 
     Sessions of a 4-tuple with few of them on a side meet at once; others only where they come near
-    in time, by buckets of it. Both sides are written with their numbers first, so that no task sorts for all joins at once.
+    in time, by buckets of it.
     """
+    return pairs_of(sized_sessions(app, db, stage))
+
+
+def sized_sessions(app: DataFrame, db: DataFrame, stage: Stage) -> DataFrame:
+    """Sessions of both sides with the numbers of either side of their 4-tuple: written first, so that no task sorts for all joins at once."""
     own = lambda s, at_app: s.select(*FLOW_KEY, F.lit(at_app).alias("at_app"), "session_id", "session_ord", "start_time", "end_time", "syn_seq")
     sides = stage.keep(own(app, True).unionByName(own(db, False)), "sides", readers=2)
     sizes = sides.groupBy(*FLOW_KEY).agg(F.count_if("at_app").alias("app_n"), F.count_if(~F.col("at_app")).alias("db_n")).where("app_n > 0 AND db_n > 0")
-    sized = stage.keep(sides.join(sizes.withColumn("many", F.least("app_n", "db_n") > FEW), FLOW_KEY), "sized", readers=2)
+    return stage.keep(sides.join(sizes.withColumn("many", F.least("app_n", "db_n") > FEW), FLOW_KEY), "sized", readers=4)
+
+
+def dense_keys(sized: DataFrame) -> DataFrame:
+    """4-tuples whose sessions come near in time so often that their pairs grow with the square of the sessions: counted by buckets of time."""
+    bucket = lambda c, more: F.floor(F.col(c) / NEAR) + F.when(F.col("at_app"), more).otherwise(0)
+    s = sized.where("many").withColumns({"b0": bucket("start_time", -1), "b1": bucket("end_time", 1)})
+    s = s.withColumn("bucket", F.explode(F.sequence("b0", F.greatest("b0", "b1"))))
+    met = s.groupBy(*FLOW_KEY, "bucket").agg(F.count_if("at_app").alias("a"), F.count_if(~F.col("at_app")).alias("d"), F.max(F.col("app_n") + F.col("db_n")).alias("n"))
+    return met.groupBy(*FLOW_KEY).agg(F.sum(F.col("a") * F.col("d")).alias("pairs"), F.max("n").alias("n")).where(F.col("pairs") > DENSE * F.col("n")).select(*FLOW_KEY)
+
+
+def pairs_of(sized: DataFrame) -> DataFrame:
+    """session_pairs() of sized_sessions()."""
     side = lambda at_app, x: sized.where(F.col("at_app") == at_app).select(*FLOW_KEY, "many", *[F.col(c).alias(f"{x}_{n}") for c, n in (("session_id", "stream"), ("session_ord", "ord"), ("start_time", "start"), ("end_time", "end"), ("syn_seq", "syn"), (f"{x}_n", "n"))])
     a, d = side(True, "app"), side(False, "db")
     bucket = lambda c, more=0: F.floor(F.col(c) / NEAR) + more
@@ -105,6 +136,109 @@ def greedy(pairs: DataFrame, stage: Stage) -> DataFrame:
     return reduce(DataFrame.unionByName, [*taken, rest])
 
 
+class _Free:
+    """Sessions at db that no pair has taken yet, by start."""
+
+    def __init__(self, start: np.ndarray, end: np.ndarray, order: np.ndarray, syn: np.ndarray):
+        self.all, self.used = (start, end, order, syn), np.zeros(len(start), dtype=bool)
+        self._sort(np.argsort(start, kind="stable"))
+
+    def _sort(self, at: np.ndarray) -> None:
+        self.at, (self.start, self.end, self.order, self.syn) = at, (x[at] for x in self.all)
+        # Some session up to here reaches so far: in overlap, or by the start of one that lies NEAR behind it, with room for rounding.
+        self.reach, self.taken = np.maximum.accumulate(np.maximum(self.end, self.start + NEAR + 1)) if len(at) else self.start, 0
+
+    def take(self, k: int) -> None:
+        self.used[k], self.taken = True, self.taken + 1
+        if 2 * self.taken > len(self.at):
+            self._sort(self.at[~self.used[self.at]])
+
+    def best(self, start: float, end: float, syn: int) -> list[tuple]:
+        """The best NOTED of them for an application's session: (worse, order, number, overlap), best first."""
+        lo, hi = np.searchsorted(self.reach, start, "left"), np.searchsorted(self.start, max(end, start + NEAR + 1), "right")
+        s, e = self.start[lo:hi], self.end[lo:hi]
+        overlap, gap = np.maximum(0.0, np.minimum(end, e) - np.maximum(start, s)), np.abs(start - s)
+        ok = ((overlap > 0) | (gap <= NEAR)) & ~self.used[self.at[lo:hi]]
+        if syn:
+            ok &= (self.syn[lo:hi] == 0) | (self.syn[lo:hi] == syn)
+        some = np.flatnonzero(ok)
+        worse = -np.where(overlap[some] > 0, overlap[some], 1 / (1 + gap[some]))
+        if len(some) > NOTED:
+            near = np.flatnonzero(worse <= np.partition(worse, NOTED - 1)[NOTED - 1])
+            some, worse = some[near], worse[near]
+        order = self.order[lo:hi][some]
+        first = np.lexsort((order, worse))[:NOTED]
+        return list(zip(worse[first].tolist(), order[first].tolist(), self.at[lo:hi][some[first]].tolist(), overlap[some[first]].tolist()))
+
+
+def by_turns(app: tuple[np.ndarray, ...], db: tuple[np.ndarray, ...]) -> list[tuple[int, int, float, float]]:
+    """(number at app, number at db, worse, overlap) of what greedy() takes of one 4-tuple, without a list of its pairs.
+
+    app, db: start, end, order, syn (0 where there is none). The best note of each session lies in a heap; one that has been
+    taken meanwhile gives way to the next that is free, which is never better, so what comes off the heap free is the best of all.
+    """
+    free, out, notes, heap = _Free(*db), [], {}, []
+
+    def offer(i: int) -> None:
+        for again in (False, True):
+            if again:
+                notes[i] = iter(free.best(*(app[k][i].item() for k in (0, 1, 3))))
+            for worse, order, j, overlap in notes.get(i, ()):
+                if not free.used[j]:
+                    heapq.heappush(heap, (worse, app[2][i].item(), order, i, j, overlap))
+                    return
+        notes.pop(i)
+
+    for i in range(len(app[0])):
+        offer(i)
+    while heap:
+        worse, _, _, i, j, overlap = heapq.heappop(heap)
+        if free.used[j]:
+            offer(i)
+        else:
+            out.append((i, j, worse, overlap))
+            free.take(j)
+            notes.pop(i)
+    return out
+
+
+def crowded(sized: DataFrame, schema: T.StructType) -> DataFrame:
+    """by_turns() of each 4-tuple: a task holds the sessions of one at a time, never its pairs."""
+    names = ["session_id", "session_ord", "start_time", "end_time", "syn_seq"]
+
+    def of_key(key: tuple, rows: pa.Table) -> pa.RecordBatch:
+        at_app, sides = rows["at_app"].to_numpy(), []
+        for side in (at_app, ~at_app):
+            one = rows.filter(pa.array(side & rows["start_time"].is_valid().to_numpy() & rows["end_time"].is_valid().to_numpy()))
+            sides.append((one, tuple(one[c].to_numpy() for c in ("start_time", "end_time", "session_ord")) + (one["syn_seq"].fill_null(0).to_numpy(),)))
+        (a, own), (d, others) = sides
+        got = by_turns(own, others)
+        x, y = (pa.array([g[k] for g in got], pa.int64()) for k in (0, 1))
+        columns = {**{c: pa.array([v] * len(got)) for c, v in zip(FLOW_KEY, key)}, "worse": pa.array([g[2] for g in got], pa.float64()), "overlap": pa.array([g[3] for g in got], pa.float64())}
+        for side, rows_of, at in (("app", a, x), ("db", d, y)):
+            columns |= {f"{side}_{n}": rows_of[c].take(at) for n, c in (("stream", "session_id"), ("ord", "session_ord"), ("start", "start_time"), ("end", "end_time"), ("n", f"{side}_n"))}
+        target = to_arrow_schema(schema)
+        return pa.Table.from_arrays([columns[n].cast(target.field(n).type) for n in target.names], target.names).combine_chunks()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts = None, []
+        for batch in batches:
+            keys = list(zip(*[batch.column(c).to_pylist() for c in FLOW_KEY]))
+            bounds = [k for k in range(len(keys)) if k == 0 or keys[k] != keys[k - 1]] + [len(keys)]
+            for a, b in zip(bounds, bounds[1:]):
+                if keys[a] != key:
+                    if parts:
+                        yield from of_key(key, pa.Table.from_batches(parts).combine_chunks()).to_batches()
+                    key, parts = keys[a], []
+                parts.append(batch.slice(a, b - a))
+        if parts:
+            yield from of_key(key, pa.Table.from_batches(parts).combine_chunks()).to_batches()
+
+    tasks = 8 * int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = sized.select(*FLOW_KEY, "at_app", *names, "app_n", "db_n").withColumns({"start_time": F.col("start_time").cast("double"), "end_time": F.col("end_time").cast("double"), "session_ord": F.col("session_ord").cast("long"), "syn_seq": F.col("syn_seq").cast("long")})
+    return rows.repartition(tasks, *FLOW_KEY).sortWithinPartitions(*FLOW_KEY).mapInArrow(run, schema)
+
+
 def unmatched(sessions: DataFrame, flows: DataFrame, stream: str) -> DataFrame:
     return sessions.join(flows.select(F.col(stream).alias("session_id")), "session_id", "left_anti").select("session_id")
 
